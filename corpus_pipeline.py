@@ -3,18 +3,44 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import read, spool
+from tidemark.llm.common import crc_mod, read, spool
+from tidemark.llm.language_id import UNDETERMINED, identify, learn
+from tidemark.llm.minhash import near_documents
 from tidemark.llm.packing import pack
+from tidemark.llm.pii import redact
 from tidemark.llm.queries import WORD_MODEL
 
+#: Documents whose language is less probable than this are rejected, as those without a letter are.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a language; the identifier learns from two folds of three."""
+    model = learn(docs, crc_mod(F.col("doc_id"), 3) != 1)
+    named = identify(docs, model)
+    return named.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep of each group of near copies the document with the smallest id: five-word shingles, similarity 0.8 or more."""
+    kept = near_documents(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
+    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace personal data in the texts; no document goes. n_chars follows the text."""
+    out = redact(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs, WORD_MODEL)
 
 
-STAGES = [("best_fit_packing", best_fit)]
-#: SQL can't express a tokenizer; the pipeline is tested against a brute-force version.
+STAGES = [("language_id", language), ("minhash_near_dedup", near_dedup), ("pii", personal_data), ("best_fit_packing", best_fit)]
+#: SQL can't express the tokenizer or the trained models; the pipeline is tested against brute force.
 ORACLE_SQL = None
 
 

@@ -9,8 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_codec
 from .common import read
+from .embedding_dedup import near_vectors
+from .jpeg import media_column
+from .language_id import language_id
+from .lattice_lm import score_documents
+from .minhash import near_documents
 from .packing import pack
+from .pii import find
 from .token_counts import length_histogram, limit_table
+from .url_rules import judge
 
 BYTE_RANKS, WORD_MODEL, PIECE_MODEL = (tokenizers.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
 
@@ -19,6 +26,18 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec(read(spark, sf_dir, "documents"), BYTE_RANKS, tokenizers.PATTERN)
 
 
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"), PIECE_MODEL)
+
+
+def op4_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), WORD_MODEL)
 
@@ -27,5 +46,26 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limit_table(length_histogram(read(spark, sf_dir, "documents"), BYTE_RANKS, tokenizers.PATTERN))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op5_best_fit_packing, op6_token_counts)}
+def op7_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_documents(read(spark, sf_dir, "documents"))
+
+
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "pages"))
+
+
+def op9_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_column(read(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(read(spark, sf_dir, "documents"))
+
+
+_ALL = (
+    op1_byte_bpe, op2_cross_polytope, op3_lattice_lm, op4_pii_boosting, op5_best_fit_packing,
+    op6_token_counts, op7_odd_sketches, op8_url_rules, op9_progressive_jpeg, op10_language_id,
+)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+#: No operator is wholly expressible in SQL (hash digests, tokenizers, trained models): tests compare with brute force.
 ORACLES: dict[str, str] = {}
