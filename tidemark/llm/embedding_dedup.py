@@ -40,7 +40,7 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 def codes(unit: np.ndarray, tables: int = TABLES, hashes: int = HASHES) -> np.ndarray:
     """(rows, tables, 1 + hashes): each table's own key, then its probes."""
     n, d = unit.shape
-    wide = 1 << max(0, d - 1).bit_length()
+    wide = 1 << max(1, (d - 1).bit_length())
     x = np.zeros((n, wide))
     x[:, :d] = unit
     signs, row, out = np.random.default_rng(20_240_229), np.arange(n), np.zeros((n, tables, 1 + hashes), np.int64)
