@@ -5,8 +5,8 @@ MinHash values: bands of them are bucket keys, and all of them are folded into a
 value flips one bit, so that the population count of two sketches' XOR estimates a high similarity precisely.
 
 In each bucket, every class is first compared with the bucket's smallest class (a star, linear in the bucket). What is
-then still in several components is compared across components in blocks of bounded size by their sketches. Pairs that
-the sketch doesn't rule out are confirmed on full sets. A pair at the threshold shares no band with a probability of
+then still in several components is compared across components in blocks of bounded size by finer sketches, made for these
+classes only. Pairs that the sketches don't rule out are confirmed on full sets. A pair at the threshold shares no band with a probability of
 about (1 - 0.85^6)^24 = 1e-5; above it the probability vanishes.
 
 Edge cases: a null text, or one without words, has the empty set and links with nothing; fewer words than a shingle
@@ -30,9 +30,18 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Pairs whose sketches estimate less than this below the threshold are ruled out (over four standard errors).
 SLACK = 0.17
+#: The same of the sketch that is made for classes in buckets of several components.
+FINE_SAMPLES, FINE_BITS, FINE_SLACK = 1024, 4096, 0.05
 BLOCK = 512
-_ODD = np.random.default_rng(5).integers(0, 1 << 32, (2, SAMPLES), dtype=np.uint32)
-_ODD[0] |= 1
+
+
+def _multipliers(n: int, seed: int) -> np.ndarray:
+    out = np.random.default_rng(seed).integers(0, 1 << 32, (2, n), dtype=np.uint32)
+    out[0] |= 1
+    return out
+
+
+_BANDED, _FINE = _multipliers(SAMPLES, 5), _multipliers(FINE_SAMPLES, 6)
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -49,24 +58,30 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
-def minima(found: np.ndarray) -> np.ndarray:
+def minima(found: np.ndarray, hashes: np.ndarray = _BANDED) -> np.ndarray:
     x = (found >> np.uint64(32)).astype(np.uint32) ^ found.astype(np.uint32)
-    out = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(x), 512):
-        out = np.minimum(out, (x[at : at + 512, None] * _ODD[0] + _ODD[1]).min(0))
+    out = np.full(hashes.shape[1], 0xFFFFFFFF, np.uint32)
+    step = (1 << 16) // hashes.shape[1]  # stays in a core's cache
+    for at in range(0, len(x), step):
+        out = np.minimum(out, (x[at : at + step, None] * hashes[0] + hashes[1]).min(0))
     return out
 
 
-def sketch(low: np.ndarray) -> bytes:
-    """Odd sketch of the samples (position, value)."""
-    mixed = (low.astype(np.uint64) + np.arange(SAMPLES, dtype=np.uint64) * np.uint64(1 << 32)) * np.uint64(0xD6E8FEB86659FD93)
-    hit = np.bincount(((mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(55)).astype(np.int64), minlength=SKETCH_BITS)
+def sketch(low: np.ndarray, bits: int = SKETCH_BITS) -> bytes:
+    """Odd sketch of the samples (position, value): each flips one bit. bits is a power of two."""
+    mixed = (low.astype(np.uint64) + np.arange(len(low), dtype=np.uint64) * np.uint64(1 << 32)) * np.uint64(0xD6E8FEB86659FD93)
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    hit = np.bincount((mixed >> np.uint64(65 - bits.bit_length())).astype(np.int64), minlength=bits)
     return np.packbits((hit & 1).astype(np.uint8)).tobytes()
 
 
-def most_bits(least: float) -> int:
+def fine_sketch(found: np.ndarray) -> bytes:
+    return sketch(minima(found, _FINE), FINE_BITS)
+
+
+def most_bits(least: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, slack: float = SLACK) -> int:
     """Largest XOR population count of a pair that isn't ruled out."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - least + SLACK) / SKETCH_BITS)))
+    return int(bits / 2 * (1 - np.exp(-4 * samples * (1 - least + slack) / bits)))
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -109,59 +124,81 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, bits: int) ->
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs of classes (a, b) whose full sets are similar enough."""
-    pairs = spool(pairs)
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
+def _sets(wanted: DataFrame, docs: DataFrame, members: DataFrame, width: int, fine: bool = False) -> DataFrame:
+    """cls, set (and a fine sketch) of the wanted classes, from one text of each."""
 
     def run(batches):
         for batch in batches:
             found = [shingles(text, width) for (text,) in rows(batch)]
             cls = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.binary()), pa.array([x.view(np.int64).tolist() for x in found], pa.list_(pa.int64()))], names=["cls", "set"])
+            columns = [pa.array(cls, pa.binary()), pa.array([x.view(np.int64).tolist() for x in found], pa.list_(pa.int64()))]
+            if fine:
+                columns.append(pa.array([fine_sketch(x) if len(x) else None for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "set", "fine"][: len(columns)])
+
+    first = members.where("cls is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    ids = spool(first.select("doc_id").distinct())
+    texts = docs.join(ids.where("doc_id is not null"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
+    sets = texts.mapInArrow(run, "cls binary, set array<long>" + ", fine binary" * fine).join(wanted, "cls", "left_semi")
+    return spool(sets.dropDuplicates(["cls"]))
 
-    first = members.where("cls is not null and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = first.join(wanted, "cls", "left_semi").select("doc_id").distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
-    sets = texts.mapInArrow(run, "cls binary, set array<long>").join(wanted, "cls", "left_semi")
-    sets = spool(sets.dropDuplicates(["cls"]))
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of classes (a, b) whose full sets are similar enough."""
     one = pairs.join(sets.select(F.col("cls").alias("b"), F.col("set").alias("sb")), "b")
     two = one.join(sets.select(F.col("cls").alias("a"), F.col("set").alias("sa")), "a")
     both = F.size(F.array_intersect("sa", "sb"))
     return two.where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _across(keyed: DataFrame, roots: DataFrame, classes: DataFrame, percent: int, bits: int) -> DataFrame:
-    """Pairs (a, b) within buckets, of different components, that sizes and sketches don't rule out.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
 
-    A bucket's rows outside its largest component are compared with all its rows, in blocks.
-    """
+
+def _mixed(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """key, cls, root, size, main, n: the rows of buckets that hold several components, with the largest one and its rows."""
     labelled = keyed.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
     mixed = labelled.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 2 and lo <> hi").select("key", "size")
     within = spool(labelled.join(mixed, "key"))
     largest = within.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", "n").alias("main"), F.max("n").alias("n"))
-    placed = within.join(spool(largest), "key").join(classes.select("cls", "n_shingles", "sketch"), "cls")
-    placed = placed.select(
-        "key", "cls", "root", "n_shingles", "sketch", (F.col("root") != F.col("main")).alias("minor"), F.expr("abs(xxhash64(cls) % 1000003)").alias("h"),
+    return spool(within.join(largest, "key"))
+
+
+def _across(within: DataFrame, sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) within buckets, of different components, that sizes and fine sketches don't rule out.
+
+    A bucket's rows outside its largest component are compared with all its rows, in blocks; a pair counts in the
+    smallest bucket that it shares.
+    """
+    bits = most_bits(percent / 100, FINE_SAMPLES, FINE_BITS, FINE_SLACK)
+    known = spool(classes.select("cls", "n_shingles", "bands").join(sets.select("cls", "fine"), "cls"))
+    placed = within.join(known, "cls").select(
+        "key", "cls", "root", "n_shingles", "fine", "bands", (F.col("root") != F.col("main")).alias("minor"), F.expr("abs(xxhash64(cls) % 1000003)").alias("h"),
         F.ceil((F.col("size") - F.col("n")) / BLOCK).alias("minors"), F.ceil(F.col("size") / BLOCK).alias("blocks"),
     )
     every = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("minors") - 1)).alias("i"), (F.col("h") % F.col("blocks")).alias("j"), F.lit(False).alias("left"))
     minor = placed.where("minor").select("*", (F.col("h") % F.col("minors")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("left"))
-    dealt = every.unionByName(minor).select("key", "i", "j", "left", "cls", "root", "n_shingles", "sketch")
+    dealt = every.unionByName(minor).select("key", "i", "j", "left", "cls", "root", "n_shingles", "fine", "bands")
 
     def compare(t: pa.Table):
-        left = t.column(3).to_numpy(zero_copy_only=False)
+        key, left = t.column(0)[0].as_py(), t.column(3).to_numpy(zero_copy_only=False)
         cls, root = (np.array(t.column(k).to_pylist(), object) for k in (4, 5))
         _, label = np.unique(root, return_inverse=True)
         n, s = t.column(6).to_numpy(), fixed(t.column(7), "u8")
+        bands = np.array(t.column(8).to_pylist(), np.int64)
         a, b = np.flatnonzero(left), np.flatnonzero(~left)
         out: list[tuple] = []
-        for at in range(0, len(a), 64):
-            part = a[at : at + 64]
-            apart = np.bitwise_count(s[part][:, None, :] ^ s[b][None, :, :]).sum(2, dtype=np.int64)
+        for at in range(0, len(a), 32):
+            part = a[at : at + 32]
             small, big = np.minimum(n[part][:, None], n[b]), np.maximum(n[part][:, None], n[b])
-            x, y = np.nonzero((apart <= bits) & (label[part][:, None] != label[b]) & (100 * small >= percent * big))
-            out += {(min(p, q), max(p, q)) for p, q in zip(cls[part[x]], cls[b[y]], strict=True)}
+            x, y = np.nonzero((label[part][:, None] != label[b]) & (100 * small >= percent * big))
+            x, y = part[x], b[y]
+            for k in range(0, len(x), 4096):
+                p, q = x[k : k + 4096], y[k : k + 4096]
+                near = np.bitwise_count(s[p] ^ s[q]).sum(1, dtype=np.int64) <= bits
+                p, q = p[near], q[near]
+                shared = np.where(bands[p] == bands[q], bands[p], np.iinfo(np.int64).max).min(1)
+                out += {(min(c, d), max(c, d)) for c, d in zip(cls[p[shared == key]], cls[q[shared == key]], strict=True)}
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([q for _, q in out], pa.binary())], names=["a", "b"])
 
@@ -179,9 +216,12 @@ def near_documents(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFr
     sizes = keyed.groupBy("key").agg(F.count("*").alias("size"), F.min("cls").alias("a")).where("size > 1").select("key", "a")
     keyed = spool(keyed.join(spool(sizes), "key"))
     stars = keyed.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
-    linked = spool(_confirmed(_plausible(stars, classes, percent, bits), docs, members, width, percent))
+    likely = spool(_plausible(stars, classes, percent, bits))
+    linked = spool(_confirmed(likely, _sets(_ends(likely), docs, members, width), percent))
     roots = spool(components(linked))
-    more = _confirmed(_across(keyed.select("key", "cls"), roots, classes, percent, bits), docs, members, width, percent)
+    within = _mixed(keyed.select("key", "cls"), roots)
+    sets = _sets(within.select("cls").distinct(), docs, members, width, fine=True)
+    more = _confirmed(spool(_across(within, sets, classes, percent)), sets, percent)
     roots = components(linked.unionByName(more))
     known = spool(classes.select("cls", "first_id", "n_shingles").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
     table = spool(known.join(known.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("cls", "component_id"))
