@@ -7,11 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from . import lexicon as L
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def norm_cdf(x: pd.Series) -> pd.Series:
     """Standard normal distribution function (Spark has no erf)."""
     return x.map(lambda v: None if pd.isna(v) else 0.5 * (1 + math.erf(v / math.sqrt(2))))
@@ -19,7 +20,7 @@ def norm_cdf(x: pd.Series) -> pd.Series:
 
 def py_round(digits: int):
     """Rounding of the exact binary value, half to even, as an Arrow function (round() rounds half up)."""
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def run(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if pd.isna(v) else float(round(v, digits)))
 

@@ -7,13 +7,14 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon as L
 
 TOKEN = r"([\p{L}\p{N}_]+)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
@@ -112,7 +113,8 @@ def coerce_difficulty(s: Column) -> Column:
 
 def scaled_difficulty(value: Column, highest: Column) -> Column:
     """0 to 100, rounded half up; a column whose highest value is at most 1 is read as shares."""
-    return F.least(F.round(F.when(highest <= 1, value * 100).otherwise(value), 0).cast("int"), F.lit(100))
+    whole = F.round(F.when(highest <= 1, value * 100).otherwise(value), 0).cast("int")
+    return F.when(whole > 100, 100).otherwise(whole)
 
 
 def serp_features(s: Column) -> Column:

@@ -53,12 +53,12 @@ def canonical_records(spark, sf):
     return B.keywords(spark, sf).select("kw_idx", "keyword", "source", "volume", "difficulty", "position", F.array_join("serp_features", "|").alias("features"), "parent_topic", "competitor_url")
 
 
-@query(CHAIN + "select kw_idx, language, round(language_confidence, 4) as confidence from la")
+@query(CHAIN + "select kw_idx, language, round(language_confidence::double, 4) as confidence from la")
 def keyword_language(spark, sf):
     return K.language(B.keywords(spark, sf)).select("kw_idx", "language", F.round("language_confidence", 4).alias("confidence"))
 
 
-@query(Q.texts() + "select doc_id, keyword, language, round(language_confidence, 4) as confidence from lt")
+@query(Q.texts() + "select doc_id, keyword, language, round(language_confidence::double, 4) as confidence from lt")
 def text_language(spark, sf):
     return K.language(B.first_lines(spark, sf)).select("doc_id", "keyword", "language", F.round("language_confidence", 4).alias("confidence"))
 
@@ -78,7 +78,7 @@ def intent_histogram(spark, sf):
     return K.enrich(B.keywords(spark, sf), CONFIG).groupBy("query_type").agg(F.count("*").alias("n"), F.sum(F.coalesce("volume", F.lit(0))).alias("volume"))
 
 
-@query(CHAIN + "select kw_idx, branded, case when branded then 'steel' else '' end as brand_match, question_shape, round(least(1.0, asks), 2) as question_confidence, token_count, length(keyword) as char_count, case when token_count <= 2 then 'head' when token_count <= 4 then 'mid' else 'long_tail' end as tail_class from sc")
+@query(CHAIN + "select kw_idx, branded, case when branded then 'steel' else '' end as brand_match, question_shape, round(least(1.0, asks)::double, 2) as question_confidence, token_count, length(keyword) as char_count, case when token_count <= 2 then 'head' when token_count <= 4 then 'mid' else 'long_tail' end as tail_class from sc")
 def keyword_shape(spark, sf):
     return K.enrich(B.keywords(spark, sf), CONFIG).select("kw_idx", "branded", "brand_match", "question_shape", F.round("question_confidence", 2).alias("question_confidence"), F.col("token_count").cast("long"), F.col("char_count").cast("long"), "tail_class")
 

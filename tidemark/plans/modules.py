@@ -372,7 +372,7 @@ def italian_forms(spark, sf):
     return df.select("doc_id", I.morphology(F.col("keyword")).alias("morphology"), I.shape(F.col("keyword")).alias("shape"))
 
 
-@query(Q.texts(_IT) + "select doc_id, case when it_score > engine_score and language_confidence < 1 then 'it' else language end as language, case when it_score > engine_score and language_confidence < 1 then round(least(1.0, 0.5 + 0.15 * it_score), 4) else round(language_confidence, 4) end as confidence from iv")
+@query(Q.texts(_IT) + "select doc_id, case when it_score > engine_score and language_confidence < 1 then 'it' else language end as language, case when it_score > engine_score and language_confidence < 1 then round(least(1.0, 0.5 + 0.15 * it_score)::double, 4) else round(language_confidence::double, 4) end as confidence from iv")
 def corrected_language(spark, sf):
     df = K.language(B.first_lines(spark, sf)).withColumns({"serp_features": F.array().cast("array<string>"), "query_type": F.lit("informational")})
     return I.correct(df).select("doc_id", "language", F.round("language_confidence", 4).alias("confidence"))
