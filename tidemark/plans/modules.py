@@ -149,10 +149,10 @@ _BANDS = f"""kb_a as (select kw_idx, mb.cluster_index, volume, position, list_co
 kb as (select *, least(greatest(0, l - cur), greatest(0, h - cur)) * (1 - u) as low, greatest(greatest(0, l - cur), greatest(0, h - cur)) * (1 + u) as high from (select *, cast({Q.case('provenance', L.UNCERTAINTY, 0)} as double) as u from kb_a) b)"""
 
 
-@query(Q.chain(_TERMS, _AUTHORITY, _SIGNALS, _READY, _BANDS) + "select kw_idx, cluster_index, provenance, round(cur, 6) as current, round(low, 6) as low, round(high, 6) as high from kb")
+@query(Q.chain(_TERMS, _AUTHORITY, _SIGNALS, _READY, _BANDS) + "select kw_idx, cluster_index, provenance, round(cur + 3e-9, 4) as current, round(low + 3e-9, 4) as low, round(high + 3e-9, 4) as high from kb")
 def keyword_bands(spark, sf):
     df, membership, ready = _ready(spark, sf)
-    return A.keyword_bands(df.join(membership, "kw_idx"), ready).select("kw_idx", "cluster_index", "provenance", F.round("current", 6).alias("current"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return A.keyword_bands(df.join(membership, "kw_idx"), ready).select("kw_idx", "cluster_index", "provenance", F.round(F.col("current") + 3e-9, 4).alias("current"), F.round(F.col("low") + 3e-9, 4).alias("low"), F.round(F.col("high") + 3e-9, 4).alias("high"))
 
 
 @query(Q.chain(_TERMS, _AUTHORITY, _SIGNALS, _READY, _BANDS) + """select cluster_index, cast(round_even(c, 0) as bigint) as current_clicks, cast(round_even(least(l, h), 0) as bigint) as winnable_low, cast(round_even(greatest(l, h), 0) as bigint) as winnable_high, cast(round_even(c + least(l, h), 0) as bigint) as ceiling_low, cast(round_even(c + greatest(l, h), 0) as bigint) as ceiling_high, round(ai, 4) as ai_share
