@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc_mod
+from .common import crc_mod, rows
 
 #: Labelled rows that the classifier is fitted on, at most; one in five of them calibrates the temperature.
 SAMPLE = 4000
@@ -146,16 +146,17 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     def featurise(batches):
         for batch in batches:
             out = []
-            for r, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for r, lang, text in rows(batch):
                 if (seen := counts(text)) is not None:
                     index = np.flatnonzero(seen)
-                    out.append((r, lang, index.tolist(), seen[index].tolist()))
+                    out.append((r, lang, index.astype("<u2").tobytes(), seen[index].astype("<u4").tobytes()))
             columns = list(zip(*out, strict=True)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)], names=["r", "lang", "index", "count"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["r", "lang", "index", "count"])
 
-    drawn = labelled.where(rank <= bound).select(rank.alias("r"), "lang", "text").limit(2 * sample)  # a limit only against repeated ids
-    found = drawn.mapInArrow(featurise, "r long, lang string, index array<long>, count array<long>").collect()
-    return fit([(x["lang"], np.array(x["index"]), np.array(x["count"])) for x in sorted(found, key=lambda x: (x["r"], x["lang"], x["index"], x["count"]))])
+    drawn = labelled.where(rank <= bound).select(rank.alias("r"), "lang", "text").mapInArrow(featurise, "r long, lang string, index binary, count binary")
+    found = drawn.limit(2 * sample).toArrow()  # the limit only holds against repeated ids
+    in_order = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
+    return fit([(lang, np.frombuffer(index, "<u2").astype(np.int64), np.frombuffer(count, "<u4")) for _, lang, index, count in in_order])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

@@ -124,7 +124,7 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, bits: int) ->
     return pairs.join(a, "a").join(b, "b").where(near).select("a", "b")
 
 
-def _sets(wanted: DataFrame, docs: DataFrame, members: DataFrame, width: int, fine: bool = False) -> DataFrame:
+def _sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, width: int, fine: bool = False) -> DataFrame:
     """cls, set (and a fine sketch) of the wanted classes, from one text of each."""
 
     def run(batches):
@@ -136,8 +136,7 @@ def _sets(wanted: DataFrame, docs: DataFrame, members: DataFrame, width: int, fi
                 columns.append(pa.array([fine_sketch(x) if len(x) else None for x in found], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=["cls", "set", "fine"][: len(columns)])
 
-    first = members.where("cls is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    ids = spool(first.select("doc_id").distinct())
+    ids = spool(classes.join(wanted, "cls", "left_semi").select(F.col("first_id").alias("doc_id")).distinct())
     texts = docs.join(ids.where("doc_id is not null"), "doc_id", "left_semi").select("text").unionByName(docs.where("doc_id is null").select("text"))
     sets = texts.mapInArrow(run, "cls binary, set array<long>" + ", fine binary" * fine).join(wanted, "cls", "left_semi")
     return spool(sets.dropDuplicates(["cls"]))
@@ -217,10 +216,10 @@ def near_documents(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFr
     keyed = spool(keyed.join(spool(sizes), "key"))
     stars = keyed.where("cls <> a").select("a", F.col("cls").alias("b")).distinct()
     likely = spool(_plausible(stars, classes, percent, bits))
-    linked = spool(_confirmed(likely, _sets(_ends(likely), docs, members, width), percent))
+    linked = spool(_confirmed(likely, _sets(_ends(likely), docs, classes, width), percent))
     roots = spool(components(linked))
     within = _mixed(keyed.select("key", "cls"), roots)
-    sets = _sets(within.select("cls").distinct(), docs, members, width, fine=True)
+    sets = _sets(within.select("cls").distinct(), docs, classes, width, fine=True)
     more = _confirmed(spool(_across(within, sets, classes, percent)), sets, percent)
     roots = components(linked.unionByName(more))
     known = spool(classes.select("cls", "first_id", "n_shingles").join(roots.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
