@@ -37,12 +37,12 @@ def _when(test: Column, value: float) -> Column:
 
 
 def _pick(pairs: list[tuple[str, Column]]) -> Column:
-    """Name of the largest value; ties go to the first."""
-    top = F.greatest(*(v for _, v in pairs))
-    out = F.lit(pairs[-1][0])
-    for name, value in reversed(pairs[:-1]):
-        out = F.when(value == top, F.lit(name)).otherwise(out)
-    return out
+    """Name of the largest value; ties go to the first. Each value stands in the expression once.
+
+    Filters on what is picked are pushed below the projection with the whole expression in place of the column, so an
+    expression that repeats its inputs would grow with each stage.
+    """
+    return F.array_max(F.array(*(F.struct(v.cast("double").alias("v"), F.lit(-k).alias("k"), F.lit(n).alias("n")) for k, (n, v) in enumerate(pairs))))["n"]
 
 
 def language(df: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def language(df: DataFrame) -> DataFrame:
     df = df.withColumns({f"_v_{c}": votes(c) for c in L.LANGUAGES})
     best = F.greatest(*(F.col(f"_v_{c}") for c in L.LANGUAGES))
     return df.withColumns({
-        "language": F.when(best == 0, "en").otherwise(_pick([(c, F.col(f"_v_{c}")) for c in L.LANGUAGES])),
+        "language": _pick([(c, F.col(f"_v_{c}")) for c in L.LANGUAGES]),  # without a vote, the first
         "language_confidence": F.when(best == 0, 0.4).otherwise(F.least(F.lit(1.0), 0.5 + best * 0.15)),
     }).drop(*(f"_v_{c}" for c in L.LANGUAGES))
 
@@ -85,12 +85,11 @@ def intent(df: DataFrame) -> DataFrame:
     keyword = F.col("keyword")
     per = {code: intent_weights(keyword, F.col("serp_features"), F.col("intent_label_raw"), L.INTENT_MARKERS[code], L.QUESTION_PRONOUNS[code]) for code in L.LANGUAGES}
     df = df.withColumns({f"_w_{k}": X.by_language(F.col("language"), lambda code, k=k: per[code][k]) for k in L.INTENTS})
-    none = sum((F.col(f"_w_{k}") for k in L.INTENTS[1:]), F.col(f"_w_{L.INTENTS[0]}")) == 0
-    df = df.withColumn("_w_informational", F.when(none, 0.3).otherwise(F.col("_w_informational")))
-    query_type = _pick([(k, F.col(f"_w_{k}")) for k in L.INTENTS])
+    query_type = _pick([(k, F.col(f"_w_{k}")) for k in L.INTENTS])  # without evidence, the first
+    top = F.greatest(*(F.col(f"_w_{k}") for k in L.INTENTS))
     modality = F.when(X.has_any(keyword, L.CONVERSATION) | (F.size(X.words(keyword)) > 8), "conversational_ai").when(X.has_any(keyword, L.VOICE), "voice").otherwise("typed")
     temporal = F.when(X.has_any(keyword, L.SEASONS), "seasonal").when(keyword.rlike(YEAR), "event_driven").otherwise("evergreen")
-    df = df.withColumns({"query_type": query_type, "intent_confidence": F.least(F.lit(1.0), F.greatest(*(F.col(f"_w_{k}") for k in L.INTENTS))), "modality": modality, "temporal": temporal})
+    df = df.withColumns({"query_type": query_type, "intent_confidence": F.when(top == 0, 0.3).otherwise(F.least(F.lit(1.0), top)), "modality": modality, "temporal": temporal})
     stage = F.create_map(*(F.lit(x) for kv in L.FUNNEL.items() for x in kv))
     return df.withColumn("funnel_stage", F.element_at(stage, F.col("query_type"))).drop(*(f"_w_{k}" for k in L.INTENTS))
 
