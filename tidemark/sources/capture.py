@@ -12,6 +12,7 @@ from ..functions import lexicon as L
 from ..functions import text as X
 from .exports import SourceError
 
+# Fields of the capture format.
 _BODY = """version string, client_domain string, captured_at string, notes string,
  search_console struct<property: string, date_range: string, rows: array<struct<query: string, clicks: string, impressions: string, ctr: string, position: string>>>,
  ai_citations struct<rows: array<struct<query: string, surface: string, observed_on: string, citations: array<struct<domain: string, is_client: boolean>>>>>"""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 
+# Slots of the run-state format, in order.
 SLOTS = ("language_layer", "entity_web", "fan_out_radar", "demand_pulse", "citation_grid", "click_ceiling", "live_wire", "output_forge")
 VERSION = "0.2.0"
 
