@@ -18,6 +18,7 @@ import hashlib
 import os
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import rows, ship, spool
 
 CAPACITY = 2048
-#: Words a Python worker remembers; when full it starts anew.
-CACHE = 600_000
+#: Words a Python worker remembers. When full, and at the end of a task, it keeps those that it met first: frequent words come early.
+CACHE, KEPT_IN_TASK, KEPT_BETWEEN_TASKS = 500_000, 200_000, 80_000
 CACHED_BYTES = 48
 #: The end id of every document.
 END = 0
@@ -57,10 +58,16 @@ class WordTokenizer(dict):
             ids = array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
         if len(word) <= CACHED_BYTES:
             if len(self) >= CACHE:
-                self.clear()
+                self.trim(KEPT_IN_TASK)
             self[word] = ids
         return ids
 
+    def trim(self, most: int) -> None:
+        if len(self) > most:
+            kept = list(islice(self.items(), most))
+            self.clear()
+            self.update(kept)
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.encode("utf-8", "replace").lower().split()))
 
@@ -96,6 +103,7 @@ def pieces(docs: DataFrame, model_path: str, capacity: int = CAPACITY) -> DataFr
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             types = [batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        tokenizer.trim(KEPT_BETWEEN_TASKS)  # idle workers stay, and later stages need the memory
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(cut, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long, task int, rank long")
