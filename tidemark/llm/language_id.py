@@ -105,18 +105,16 @@ def fit(sample: list[tuple[str, np.ndarray, np.ndarray]], alpha=0.5, beta=1.0, l
         return -shrunk / ((beta + np.sqrt(n[i])) / alpha + l2)
 
     order = np.random.default_rng(7)
-    prepared = []
-    for label, index, count in train:
-        x = np.log1p(count) * model.idf[index]
-        prepared.append((labels.index(label), np.append(index, DIMENSIONS), np.append(x / np.sqrt((x * x).sum()), 1.0)))
     for _ in range(epochs):
-        for k in order.permutation(len(prepared)):
-            y, i, x = prepared[k]
+        for k in order.permutation(len(train)):  # the weighted features are made again each time: the counts take less memory
+            label, index, count = train[k]
+            x = np.log1p(count) * model.idf[index]
+            i, x = np.append(index, DIMENSIONS), np.append(x / np.sqrt((x * x).sum()), 1.0)
             w = weights(i)
             s = x @ w
             p = np.exp(s - s.max())
             p /= p.sum()
-            p[y] -= 1
+            p[labels.index(label)] -= 1
             g = x[:, None] * p
             g2 = n[i] + g * g
             z[i] += g - (np.sqrt(g2) - np.sqrt(n[i])) / alpha * w
@@ -156,7 +154,7 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     drawn = labelled.where(rank <= bound).select(rank.alias("r"), "lang", "text").mapInArrow(featurise, "r long, lang string, index binary, count binary")
     found = drawn.limit(2 * sample).toArrow()  # the limit only holds against repeated ids
     in_order = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
-    return fit([(lang, np.frombuffer(index, "<u2").astype(np.int64), np.frombuffer(count, "<u4")) for _, lang, index, count in in_order])
+    return fit([(lang, np.frombuffer(index, "<u2"), np.frombuffer(count, "<u4")) for _, lang, index, count in in_order])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
