@@ -276,6 +276,29 @@ def test_local_search():
         assert Counter(x for p, n in bins.groups.items() for x in p for _ in range(n)) == histogram and all(sum(p) <= 100 for p in bins.groups)
 
 
+def test_local_search_leaves_no_improving_pair():
+    rnd = random.Random(16)
+    for low, high, n in ((17, 40, 300), (1, 60, 200), (30, 45, 400)):
+        bins = local_search(best_fit(dict(Counter(rnd.randint(low, high) for _ in range(n))), 100))
+        under = [p for p, k in bins.groups.items() if sum(p) < 100 for _ in range(min(k, 2))]
+        for i, a in enumerate(under):
+            for j, b in enumerate(under):
+                if i != j and sum(a) >= sum(b):
+                    gives = {*b, *(y + z for k, y in enumerate(b) for z in b[k + 1 :])}
+                    assert not any(0 < y - x <= 100 - sum(a) for x in (0, *a) for y in gives)
+
+
+def test_local_search_of_many_middling_lengths():
+    for low, high, share in ((350, 800, 0.98), (500, 1000, 0.97)):
+        rnd = random.Random(1)
+        histogram = Counter(rnd.randint(low, high) for _ in range(100_000))
+        bins = best_fit(dict(histogram))
+        before = bins.count()
+        local_search(bins)
+        assert bins.count() < share * before
+        assert sum((Counter({x: n * k for x, k in Counter(p).items()}) for p, n in bins.groups.items()), Counter()) == histogram and all(sum(p) <= 2048 for p in bins.groups)
+
+
 # ---------------------------------------------------------------- 7
 
 

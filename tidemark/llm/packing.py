@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import os
 import zlib
 from array import array
@@ -182,68 +183,166 @@ def _without(pattern: tuple[int, ...], *parts: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def _better(a: tuple[int, ...], b: tuple[int, ...], capacity: int):
-    """The change between bins a and b (a the fuller) that fills a most: a move, one for one, or two for one."""
-    room = capacity - sum(a)
-    best, change = 0, None
-    ours, theirs = sorted(set(a)), sorted(set(b))
-    for y in theirs:  # move y from b to a
-        if best < y <= room:
-            best, change = y, ((), (y,))
-    for x in ours:  # exchange x of a for one larger y of b
-        k = bisect.bisect_right(theirs, x + room) - 1
-        if k >= 0 and theirs[k] - x > best:
-            best, change = theirs[k] - x, ((x,), (theirs[k],))
-    if best == room:
-        return best, change
-    for i, y in enumerate(theirs):  # two of b for one of a, or for none
-        if y > room + (ours[-1] if ours else 0):
-            break
-        others = theirs[i + (b.count(y) < 2) :]
-        for x in (0, *ours):
-            k = bisect.bisect_right(others, x + room - y) - 1
-            if k >= 0 and others[k] + y - x > best:
-                best, change = others[k] + y - x, ((x,) if x else (), (y, others[k]))
-        if best == room:
-            break
-    return best, change
+def _sums(pattern: tuple[int, ...]) -> int:
+    """Bit set of what a bin can give at once: one length, or two."""
+    bits = 0
+    for k, y in enumerate(pattern):
+        if k and pattern[k - 1] == y:
+            continue
+        bits |= 1 << y
+        for z in set(pattern[k + 1 :]):
+            bits |= 1 << y + z
+    return bits
+
+
+def _parts(pattern: tuple[int, ...], total: int) -> tuple[int, ...]:
+    """One or two lengths of the pattern that make up total."""
+    if total in pattern:
+        return (total,)
+    for k, y in enumerate(pattern):
+        if total - y in pattern[k + 1 :]:
+            return y, total - y
+    raise ValueError(total)
 
 
-def local_search(bins: Bins, budget: int = 60_000, partners: int = 40) -> Bins:
-    """Raise the sum of squared fills by changes between underfull bins, emptying the least filled first.
+class Underfull:
+    """Underfull groups by fill; over the fills a binary tree of the sums that bins can give.
 
-    Moving weight d from bin b to a fuller-or-equal bin a raises the sum by 2d(fill(a) - fill(b) + d) > 0, so every
-    change is an improvement and the search ends; budget bounds the pairs of bin groups looked at (work on the driver
-    that doesn't depend on the corpus).
+    A fill's sums may be too many after a group has gone; they are made anew when a sum isn't found there.
     """
-    capacity, looked = bins.capacity, 0
-    while looked < budget:
-        under = sorted((p for p in bins.groups if sum(p) < capacity), key=sum)
-        if not under:
-            break
-        improved = False
-        for b in under[: max(1, partners)]:
-            for a in sorted((p for p in under if p in bins.groups and sum(p) >= sum(b)), key=lambda p: (-sum(p), p))[: 8 * partners]:
-                if b not in bins.groups:
-                    break
-                if a not in bins.groups or a == b and bins.groups[a] < 2:
-                    continue
-                looked += 1
-                gain, change = _better(a, b, capacity)
-                if not change:
-                    continue
-                n = bins.groups[a] // 2 if a == b else min(bins.groups[a], bins.groups[b])
-                out, into = change
-                bins.take(a, n)
-                bins.take(b, n)
-                bins.add(tuple(sorted((*_without(a, *out), *into), reverse=True)), n)
-                bins.add(tuple(sorted((*_without(b, *into), *out), reverse=True)), n)
-                improved = True
+
+    def __init__(self, capacity: int):
+        self.size = 1 << capacity.bit_length()
+        self.tree = [0] * (2 * self.size)
+        self.at: dict[int, dict[tuple[int, ...], int]] = {}
+
+    def add(self, pattern: tuple[int, ...]) -> None:
+        fill, bits = sum(pattern), _sums(pattern)
+        self.at.setdefault(fill, {})[pattern] = bits
+        k = fill + self.size
+        while k and self.tree[k] | bits != self.tree[k]:
+            self.tree[k] |= bits
+            k >>= 1
+
+    def remove(self, pattern: tuple[int, ...]) -> None:
+        fill = sum(pattern)
+        del self.at[fill][pattern]
+        if not self.at[fill]:
+            self.renew(fill)
+
+    def renew(self, fill: int) -> None:
+        bits = 0
+        for x in self.at[fill].values():
+            bits |= x
+        k = fill + self.size
+        while self.tree[k] != bits:
+            self.tree[k] = bits
+            k >>= 1
+            if not k:
                 break
-            if improved or looked >= budget:
+            bits = self.tree[2 * k] | self.tree[2 * k + 1]
+
+    def sums(self, most: int) -> int:
+        """Of all bins filled to `most` or less."""
+        bits, k = 0, most + self.size
+        bits = self.tree[k]
+        while k > 1:
+            if k & 1:
+                bits |= self.tree[k - 1]
+            k >>= 1
+        return bits
+
+    def giver(self, total: int, most: int, but: tuple[int, ...] | None) -> tuple[int, ...] | None:
+        """The least filled group, up to `most` and other than `but`, that can give total."""
+        bit = 1 << total
+        while True:
+            k = 1
+            if not self.tree[k] & bit:
+                return None
+            while k < self.size:
+                k = 2 * k if self.tree[2 * k] & bit else 2 * k + 1
+            fill = k - self.size
+            if fill > most:
+                return None
+            own = False
+            for pattern, bits in self.at[fill].items():
+                if bits & bit:
+                    if pattern != but:
+                        return pattern
+                    own = True
+            if own:  # no other at this fill; `but` is as full as `most`, so that fuller ones don't count
+                return None
+            self.renew(fill)
+
+
+def _change(pattern: tuple[int, ...], count: int, under: Underfull, capacity: int):
+    """(giver, what leaves the bin, what comes in) of the change that fills the bin most; None if none fills it."""
+    fill = sum(pattern)
+    room, best, found = capacity - fill, 0, None
+    but = pattern if count < 2 else None
+    bits = under.sums(fill)
+    for x in (0, *sorted(set(pattern))):
+        while True:
+            d = (bits >> x + 1 & (1 << room) - 1).bit_length()  # the largest sum in x+1 .. x+room, less x
+            if d <= best:
                 break
-        if not improved:
+            giver = under.giver(x + d, fill, but)
+            if giver is not None:
+                best, found = d, (giver, (x,) if x else (), _parts(giver, x + d))
+                break
+            bits &= ~(1 << x + d)
+        if best == room:
             break
+    return found
+
+
+def local_search(bins: Bins) -> Bins:
+    """Raise the sum of squared fills until no pair of underfull bins allows it, the fullest first and from the least filled.
+
+    A change moves one or two pieces of bin b to a fuller-or-equal bin a, for one piece of a or none. Moving weight d
+    raises the sum by 2d(fill(a) - fill(b) + d) > 0, so every change is an improvement and the search ends. All bins of a
+    group change at once; what a bin lacks is looked up among the sums that others can give, so that only pairs that
+    improve are met, and a last pass over all groups finds none.
+    """
+    capacity = bins.capacity
+    under = Underfull(capacity)
+    for p in bins.groups:
+        if sum(p) < capacity:
+            under.add(p)
+
+    def put(pattern: tuple[int, ...], n: int) -> None:
+        if pattern and pattern not in bins.groups and sum(pattern) < capacity:
+            under.add(pattern)
+        bins.add(pattern, n)
+
+    def take(pattern: tuple[int, ...], n: int) -> None:
+        bins.take(pattern, n)
+        if pattern not in bins.groups:
+            under.remove(pattern)
+
+    improved = True
+    while improved:
+        improved = False
+        todo = [(-sum(p), p) for p in bins.groups if sum(p) < capacity]
+        heapq.heapify(todo)
+        while todo:
+            a = heapq.heappop(todo)[1]
+            if a not in bins.groups:
+                continue
+            found = _change(a, bins.groups[a], under, capacity)
+            if found is None:
+                continue
+            b, out, into = found
+            n = bins.groups[a] // 2 if a == b else min(bins.groups[a], bins.groups[b])
+            take(a, n)
+            take(b, n)
+            for p in (tuple(sorted((*_without(a, *out), *into), reverse=True)), tuple(sorted((*_without(b, *into), *out), reverse=True))):
+                put(p, n)
+                if sum(p) < capacity:
+                    heapq.heappush(todo, (-sum(p), p))
+            if a in bins.groups:
+                heapq.heappush(todo, (-sum(a), a))
+            improved = True
     return bins
 
 
