@@ -370,6 +370,14 @@ def test_mined_rules_block(spark):
     assert {r["page_id"] for r in got if r["verdict"] == "block"} == set(range(40))  # spam2 by tokens that the others share
 
 
+def test_mined_rules_reach_pages_without_a_rule(spark):
+    made = ((0, 300, "blog{}.shop.com/en/buy/{}"), (1000, 300, "news{}.net/de/read/{}"), (2000, 500, "blog{}.shop.biz/fr/buy/{}"), (3000, 500, "news{}.biz/fr/read/{}"), (4000, 3, "q{}.org/es/rare/{}"), (5000, 5, "q{}.biz/fr/rare/{}"))
+    data = [(at + k, "http://" + form.format(k % 7, k)) for at, n, form in made for k in range(n)]
+    got = table(judge(spark.createDataFrame(data, "page_id long, url string")))  # production rules and parameters
+    assert {r["page_id"] for r in got if r["verdict"] == "block"} == {*range(300), *range(2000, 2500), *range(4000, 4003)}
+    assert all(r["rule"] is None for r in got if r["page_id"] >= 2000 and r["page_id"] < 4000)
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -1,9 +1,11 @@
 """URL filters by association rules (operator 8), with DataFrame functions only.
 
 Given rules (host, path) decide the pages that they fit; the longest wins. For all others, FP-growth mines combinations
-of URL tokens over the whole table, labelled by the given rules' verdicts (pages that none fits count as allowed), and
-keeps rules "tokens imply block" of enough support and confidence. Rules with more tokens than one that already blocks
-are dropped; the rest are matched by an inverted index from token to rules, within the row.
+of URL tokens over all pages that a given rule decides, labelled by its verdict, and keeps rules "tokens imply block" of
+enough support and confidence; the confidence counts by the rule of succession, (blocked + 1) / (pages + 2), so that tokens
+seen on a few decided pages judge no others. Pages without a verdict are what is to be judged and no evidence; only where
+the given rules allow no page at all, so that any token would imply block, they count as allowed. Rules with more tokens
+than one that already blocks are dropped; the rest are matched by an inverted index from token to rules, within the row.
 
 The rules' number is bounded by the support threshold and not by the table, so they may be collected.
 
@@ -62,10 +64,15 @@ def tokens() -> Column:
 
 
 def mine(labelled: DataFrame, support: float, confidence: float) -> list[list[str]]:
-    """Token combinations that imply block, smallest first, none containing another. labelled: tokens, verdict."""
+    """Token combinations that imply block, smallest first, none containing another. labelled: tokens, verdict (null if undecided)."""
+    total, decided, allowed = labelled.agg(F.count("*"), F.count("verdict"), F.count_if(F.col("verdict") == "allow")).first()
+    if allowed:
+        labelled, total = labelled.where("verdict is not null"), decided
     baskets = labelled.select(F.when(F.col("verdict") == "block", F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCKED)).select("antecedent").collect()
+    blocked = F.round(F.col("support") * total)
+    expected = (blocked + 1) / (F.round(blocked / F.col("confidence")) + 2)
+    found = model.associationRules.where(F.array_contains("consequent", BLOCKED) & (expected >= confidence)).select("antecedent").collect()
     kept: list[set] = []
     for row in sorted(sorted(r.antecedent) for r in found):
         kept.append(set(row))
