@@ -333,6 +333,15 @@ def test_near_documents(spark, docs, none):
     assert near_documents(none).count() == 0
 
 
+def test_near_documents_at_a_lower_threshold(spark):
+    data = []
+    for k in range(20_000):  # eight words of ten are shared: exactly 0.80
+        same = " ".join(f"w{k}x{j}" for j in range(8))
+        data += [(2 * k, f"{same} a{k}"), (2 * k + 1, f"{same} b{k}")]
+    kept = near_documents(spark.createDataFrame(data, "doc_id long, text string"), 1, 80).where("kept").count()
+    assert kept - 20_000 <= 3  # at 24 bands about 14 pairs would be missed
+
+
 def test_odd_sketch_estimates_high_similarities():
     rnd = random.Random(9)
     for share in (0.75, 0.85, 0.95):

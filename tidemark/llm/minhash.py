@@ -6,8 +6,8 @@ value flips one bit, so that the population count of two sketches' XOR estimates
 
 In each bucket, every class is first compared with the bucket's smallest class (a star, linear in the bucket). What is
 then still in several components is compared across components in blocks of bounded size by finer sketches, made for these
-classes only. Pairs that the sketches don't rule out are confirmed on full sets. A pair at the threshold shares no band with a probability of
-about (1 - 0.85^6)^24 = 1e-5; above it the probability vanishes.
+classes only. Pairs that the sketches don't rule out are confirmed on full sets. A pair at a threshold of 0.85 shares no band with a probability of
+about (1 - 0.85^6)^24 = 1e-5; above it the probability vanishes. Lower thresholds get as many bands as keep it there (38 at 0.80).
 
 Edge cases: a null text, or one without words, has the empty set and links with nothing; fewer words than a shingle
 are one shingle; null ids are rows of their own, whose component is the smallest id reachable (null if none); repeated
@@ -16,6 +16,9 @@ rows are copies of each other; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,6 +44,18 @@ def _multipliers(n: int, seed: int) -> np.ndarray:
     return out
 
 
+def bands_at(percent: int) -> int:
+    """Bands that miss a pair at percent/100 as rarely as BANDS bands do at 0.85."""
+    if percent >= 85:
+        return BANDS
+    return math.ceil(BANDS * math.log1p(-(0.85**ROWS)) / math.log1p(-((percent / 100) ** ROWS)))
+
+
+@lru_cache(maxsize=4)
+def _banded(bands: int) -> np.ndarray:
+    return _multipliers(bands * ROWS, 5)
+
+
 _BANDED, _FINE = _multipliers(SAMPLES, 5), _multipliers(FINE_SAMPLES, 6)
 
 
@@ -84,7 +99,7 @@ def most_bits(least: float, samples: int = SAMPLES, bits: int = SKETCH_BITS, sla
     return int(bits / 2 * (1 - np.exp(-4 * samples * (1 - least + slack) / bits)))
 
 
-def fingerprints(docs: DataFrame, width: int) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int, n_bands: int = BANDS) -> DataFrame:
     """doc_id, cls (digest of the set, null if empty), n_shingles, bands, sketch."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "cls", "n_shingles", "bands", "sketch"]
@@ -99,12 +114,12 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                     continue
                 cls = xxhash.xxh3_128_digest(found.tobytes())
                 if cls not in seen:
-                    low = minima(found)
-                    keys = [xxhash.xxh3_64_intdigest(part.tobytes(), seed=k) >> 1 for k, part in enumerate(low.reshape(BANDS, ROWS))]
+                    low = minima(found, _banded(n_bands))
+                    keys = [xxhash.xxh3_64_intdigest(part.tobytes(), seed=k) >> 1 for k, part in enumerate(low.reshape(n_bands, ROWS))]
                     if len(seen) < 10_000:
-                        seen[cls] = keys, sketch(low)
+                        seen[cls] = keys, sketch(low[:SAMPLES])
                     else:
-                        out.append((doc_id, cls, len(found), keys, sketch(low)))
+                        out.append((doc_id, cls, len(found), keys, sketch(low[:SAMPLES])))
                         continue
                 out.append((doc_id, cls, len(found), *seen[cls]))
             columns = list(zip(*out, strict=True)) if out else [()] * 5
@@ -208,7 +223,7 @@ def near_documents(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFr
     """doc_id, n_shingles, component_id, kept for every row of docs; links need percent/100 of similarity at least."""
     docs = docs.select("doc_id", "text")
     bits = most_bits(percent / 100)
-    prints = spool(fingerprints(docs, width))
+    prints = spool(fingerprints(docs, width, bands_at(percent)))
     members = prints.select("doc_id", "cls", "n_shingles")
     classes = spool(prints.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.any_value("sketch").alias("sketch")))
     keyed = classes.select(F.explode("bands").alias("key"), "cls")
