@@ -24,7 +24,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of near copies the document with the smallest id: five-word shingles, similarity 0.8 or more."""
+    """Keep of each group of near copies the document with the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Rows without an id can't be told apart by it: they all stay, copies of each other or of other documents included.
+    """
     kept = near_documents(docs, width=5, percent=80).where("kept").select("doc_id").distinct()
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
@@ -40,7 +43,7 @@ def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("language_id", language), ("minhash_near_dedup", near_dedup), ("pii", personal_data), ("best_fit_packing", best_fit)]
-#: SQL can't express the tokenizer or the trained models; the pipeline is tested against brute force.
+#: SQL can't express the tokenizer or the trained models; tests/llm/test_pipeline.py compares each stage with brute force (language with the trained model row by row, personal data by the rules' spans).
 ORACLE_SQL = None
 
 
