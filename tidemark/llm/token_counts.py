@@ -13,14 +13,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import token_lengths
+from .common import spool
 
 #: Lengths in one block of the two-level suffix sums: a task sums one block, and one row for each block meets in the last.
 BLOCK = 4096
 
 
 def length_histogram(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """(n_tokens, n_docs): how many documents have each encoded length."""
-    return token_lengths(docs, ranks_path, pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    """(n_tokens, n_docs): how many documents have each encoded length. Written once, so that no later use encodes the texts anew."""
+    return spool(token_lengths(docs, ranks_path, pattern).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")))
 
 
 def limit_table(histogram: DataFrame) -> DataFrame:
