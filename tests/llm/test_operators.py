@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tidemark.llm import jpeg, minhash
+from tidemark.llm import embedding_dedup, jpeg, minhash
 from tidemark.llm.bpe import Bpe, bpe_codec
 from tidemark.llm.embedding_dedup import near_vectors
 from tidemark.llm.graph import components
@@ -137,6 +137,46 @@ def test_near_vectors(spark):
     assert near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_near_vectors_long_and_extreme(spark):
+    """Lengths beyond 4,096, norms beyond the range of doubles, and lengths that are mixed."""
+    rng = np.random.default_rng(8)
+    data = []
+    for d in (1, 2, 4096, 4100):
+        x = rng.normal(size=d)
+        data += [list(x + 0.02 * rng.normal(size=d)) for _ in range(3)]
+    data += [[1e200] * 4, [3e200] * 4, [-1e200] * 4, [1e-200] * 4, [1e-200, 1e-200, -1e-200, 1e-200], [5e-324] * 4, [0.95, math.sqrt(1 - 0.95**2) + 1e-9, 0.0, 0.0], [1.0, 0.0, 0.0, 0.0]]
+    data = [(k, [float(v) for v in x]) for k, x in enumerate(data)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in table(near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>")))}
+    unit = {k: np.array(x) / max(map(abs, x)) for k, x in data}
+    unit = {k: x / np.linalg.norm(x) for k, x in unit.items()}
+    links = [(a, b) for a in unit for b in unit if a < b and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.95]
+    degree, root = Counter(x for p in links for x in p), brute_components(len(data), links)
+    assert got == {k: (degree[k], root[k]) for k, _ in data}
+    assert [got[k][0] for k in range(6, 12)] == [2] * 6 and [got[k][0] for k in (12, 13, 15, 17)] == [3] * 4
+
+
+def test_near_vectors_in_blocks(spark, monkeypatch):
+    """A hot group cut into blocks: every link counts once."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=16) + 0.1 * rng.normal(size=(150, 16)), rng.normal(size=(50, 16))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {r["vec_id"]: r["n_links"] for r in table(near_vectors(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")))}
+    near = x @ x.T >= 0.95
+    assert got == {k: int(near[k].sum()) - 1 for k in range(len(x))}
+    assert sum(got.values()) > 1000
+
+
+@pytest.mark.parametrize("d", [8, 48, 64, 256, 768])
+def test_pairs_at_the_threshold_meet(d):
+    """Recall of random pairs at exactly the threshold, by buckets and by sketches, for tables of 1e4 vectors and of many more."""
+    for n in (10**4, 10**9 if d <= 64 else 10**5):
+        a, b = (embedding_dedup.codes(x, *embedding_dedup.plan(d, n, 0.95)) for x in embedding_dedup.pairs_at(0.95, 400, d, seed=7))
+        assert (a[:, :, :, None] == b[:, :, None, :]).any((1, 2, 3)).mean() >= 0.997
+    a, b = (embedding_dedup.sketches(x).view("u8") for x in embedding_dedup.pairs_at(0.95, 20_000, d, seed=7))
+    assert (np.bitwise_count(a ^ b).sum(1) <= embedding_dedup.most_bits(0.95)).mean() >= 0.9999
+
+
 def test_components(spark):
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(180)] + [(k, k + 1) for k in range(400, 440)] + [(500, k) for k in range(501, 560)]
