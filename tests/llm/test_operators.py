@@ -15,7 +15,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from tidemark.llm import embedding_dedup, jpeg, minhash
+from tidemark.llm import embedding_dedup, jpeg, minhash, pii
 from tidemark.llm.bpe import Bpe, bpe_codec
 from tidemark.llm.embedding_dedup import near_vectors
 from tidemark.llm.graph import components
@@ -270,10 +270,70 @@ def test_personal_data(spark, docs, none):
     assert find(none).count() == 0
 
 
+def test_added_spans_and_decoys(spark, docs):
+    """Production parameters: spelled-out data are added, decoys of the same formats refused, overlaps with base spans left."""
+    texts = {
+        1: "write to mail maria.lopez at kovbel dot com soon", 2: "they met at noon dot matrix printers hum", 3: "card 4111.1111.1111.1111 expires", 4: "serial: 4111.1111.1111.1112 of the part",
+        5: "call 523-555-1055 now", 6: "order 523-555-1055 now", 7: "host 10[.]0[.]0[.]1 is down", 8: "version 910[.]20[.]700[.]1 is out", 9: "tel +1 (523) 555-1055 or 523-555-1055",
+    }
+    out = find(docs.select("doc_id", "text").union(spark.createDataFrame([(30_000 + k, t) for k, t in texts.items()], "doc_id long, text string")))
+    got = {r["doc_id"] - 30_000: r["spans"] for r in out.where("doc_id > 30000").collect()}
+    span = lambda k, part, kind: f"{kind}:{texts[k].index(part)}:{texts[k].index(part) + len(part)}"
+    assert got[1] == span(1, "maria.lopez at kovbel dot com", "email")
+    assert got[3] == span(3, "4111.1111.1111.1111", "card")
+    assert got[5] == span(5, "523-555-1055", "phone")
+    assert got[7] == span(7, "10[.]0[.]0[.]1", "ip")
+    assert got[2] == got[4] == got[6] == got[8] == ""
+    assert got[9].startswith("phone:4:21") and got[9].count("phone") <= 2  # the part within the base span isn't added
+
+
+def test_trees_on_fresh_examples(docs):
+    """Precision and recall of the trees over values planted anew, by kind; the labels are what was planted."""
+    from pyspark.sql import functions as F
+
+    score, thresholds = pii.learn(docs)
+    assert set(thresholds) == set(pii.KINDS)
+    fresh = pii.labelled(pii.planted(docs, salt=5)).where("generator like 'm%'")
+    limit = F.create_map(*(F.lit(x) for kv in thresholds.items() for x in kv))
+    by = fresh.withColumn("p", F.expr(score)).withColumn("yes", F.col("p") >= limit[F.col("kind")]).groupBy("kind").agg(F.sum(F.col("label") * F.col("yes").cast("int")).alias("right"), F.count_if("yes").alias("added"), F.sum("label").alias("all"), F.count("*").alias("n"))
+    for r in by.collect():
+        assert 50 < r["all"] < r["n"] - 50, r  # both right and wrong candidates
+        assert r["right"] >= 0.92 * r["added"] and r["right"] >= 0.6 * r["all"], r
+
+
+def test_overlaps(spark):
+    rnd = random.Random(4)
+    cut = lambda n: sorted((a, a + rnd.randint(1, 6), "email") for a in rnd.sample(range(60), n))
+    data = [(k, cut(rnd.randint(0, 8)), cut(rnd.randint(0, 8))) for k in range(200)]
+    frame = spark.createDataFrame(data, "k int, t array<struct<start:int,end:int,kind:string>>, c array<struct<start:int,end:int,kind:string>>")
+    for r in pii._apart(frame, "c", frame["t"], "free").collect():
+        assert [tuple(x)[1:] for x in r.free] == [(a, b) for a, b, _ in r.c if not any(x < b and a < y for x, y, _ in r.t)]
+
+
+def test_many_spans(spark):
+    """A log-like text of 1e5 spans costs n log n: counts, positions and redaction."""
+    text = "".join(f"😀 u{k}@x.org 10.0.{k % 300}.7;" for k in range(50_000))
+    frame = spark.createDataFrame([(1, text), (2, "1 " * 100_000), (3, "1" * 300_000), (4, "1.1." * 50_000 + "x@" * 50_000)], "doc_id long, text string").cache()
+    got = {r["doc_id"]: r for r in table(pii.find(frame))}
+    base = base_spans(text)
+    assert got[1]["n_email"] == 50_000 and got[1]["n_ip"] == sum(s.startswith("ip") for s in base)
+    assert got[1]["base_sha256"] == hashlib.sha256(",".join(base).encode()).hexdigest()
+    assert [got[k]["spans"] for k in (2, 3)] == ["", ""]
+    clean = {r["doc_id"]: r["text"] for r in table(redact(frame))}
+    at, want = 0, []
+    for start, end, kind in sorted((int(a), int(b), k) for k, a, b in (s.split(":") for s in got[1]["spans"].split(","))):
+        want.append(f"{text[at:start]}[{kind.upper()}]")
+        at = end
+    assert clean[1] == "".join(want) + text[at:]
+
+
 def test_redact(spark):
-    data = [(1, "mail a@b.co and +1 (523) 555-1055."), (2, None), (3, "nothing"), (4, "\U0001f600 10.0.0.1")]
-    got = {r["doc_id"]: r["text"] for r in table(redact(spark.createDataFrame(data, "doc_id long, text string")))}
-    assert got == {1: "mail [EMAIL] and [PHONE].", 2: None, 3: "nothing", 4: "\U0001f600 [IP]"}
+    data = [(1, "mail a@b.co and +1 (523) 555-1055."), (2, None), (3, "nothing"), (4, "😀 10.0.0.1"), (None, "+1.2.3.4 5678901 x"), (4, "a@b.co" * 3)]
+    want = {"mail [EMAIL] and [PHONE].", None, "nothing", "😀 [IP]", "[PHONE] x", "[EMAIL]@[EMAIL]"}
+    assert {r["text"] for r in table(redact(spark.createDataFrame(data, "doc_id long, text string")))} == want
+    clash = spark.createDataFrame([(i, t, "kept", 1, [2], "dot") for i, t in data], "doc_id long, text string, base string, every int, b0 array<int>, `a.b` string")
+    got = redact(clash)
+    assert got.columns == clash.columns and {r["text"] for r in table(got)} == want and {(r["base"], r["a.b"]) for r in table(got)} == {("kept", "dot")}
 
 
 # ---------------------------------------------------------------- 5
