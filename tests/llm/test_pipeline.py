@@ -47,9 +47,12 @@ def test_pipeline(spark, tmp_path, monkeypatch):
     got = spool(steps["language_id"](spark, docs, str(tmp_path)))
     assert Counter(rows_of(got)) == Counter(want)
 
-    kept = {i for i, _, _, keep in near_brute([r[:2] for r in want], 5, 80) if keep}
-    want = [r for r in want if r[0] is None or r[0] in kept]
-    assert sum(r[0] is None for r in want) == 2 and 40_000 not in kept
+    brute = near_brute([(k, r[1]) for k, r in enumerate(want)], 5, 80)
+    groups = {}
+    for k, (_, _, root, _) in enumerate(brute):
+        groups.setdefault(root, []).append(want[k])
+    want = [min(rows, key=lambda r: (r[0] is None, r[0] or 0)) for rows in groups.values()]
+    assert not any(r[0] is None for r in want) and {40_000} & {r[0] for r in want} == set() and max(Counter(r[0] for r in want).values()) == 1
     got = spool(steps["minhash_near_dedup"](spark, got, str(tmp_path)))
     assert Counter(rows_of(got)) == Counter(want)
 
@@ -81,3 +84,17 @@ def test_pipeline(spark, tmp_path, monkeypatch):
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_keep_columns_whatever_their_names(spark, tmp_path):
+    text = SHORT[0] + " It was a long day, and all of them were tired of it. x@y.org"
+    rows = [(1, text, "en", "s", 5, 7.0, "zz", 3, "dot"), (1, text, "en", "s", 5, 7.0, "zz", 3, "dot"), (1, SHORT[1] + " Il fait beau dans la ville.", "fr", "s", 5, 7.0, "zz", 3, "dot"), (None, text, "en", "s", 5, 7.0, "zz", 3, "dot"), (None, SHORT[2], "de", "s", 5, 7.0, "zz", 3, "dot")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", score double, lang_pred string, row int, `a.b` string")
+    steps = dict(corpus_pipeline.STAGES)
+    got = steps["minhash_near_dedup"](spark, docs, str(tmp_path))
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter([(1, text), rows[2][:2], rows[4][:2]])
+    for name in ("language_id", "pii"):
+        got = steps[name](spark, docs, str(tmp_path))
+        assert got.columns == docs.columns
+        assert {(r["score"], r["lang_pred"], r["row"], r["a.b"]) for r in got.collect()} <= {(7.0, "zz", 3, "dot")}

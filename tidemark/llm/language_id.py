@@ -137,8 +137,10 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` rows of those usable that have a text and a lang."""
     rank = F.xxhash64("doc_id")
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    bound = labelled.select(rank.alias("r")).orderBy("r").limit(sample).agg(F.max("r")).first()[0]
-    if bound is None:
+    # ordered by content as well, so that the bound cuts rows of one id the same way each time
+    own, content = rank.alias("r"), F.xxhash64("lang", "text").alias("t")
+    last = labelled.select(own, content).orderBy("r", "t").limit(sample).agg(F.max(F.struct("r", "t"))).first()[0]
+    if last is None:
         return fit([])
 
     def featurise(batches):
@@ -151,26 +153,27 @@ def learn(docs: DataFrame, usable: Column, sample: int = SAMPLE) -> Model:
             columns = list(zip(*out, strict=True)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.binary(), pa.binary()), strict=True)], names=["r", "lang", "index", "count"])
 
-    drawn = labelled.where(rank <= bound).select(rank.alias("r"), "lang", "text").mapInArrow(featurise, "r long, lang string, index binary, count binary")
-    found = drawn.limit(2 * sample).toArrow()  # the limit only holds against repeated ids
+    drawn = labelled.select(own, content, "lang", "text").where((F.col("r") < last.r) | (F.col("r") == last.r) & (F.col("t") <= last.t)).dropDuplicates(["r", "t"])
+    found = drawn.select("r", "lang", "text").mapInArrow(featurise, "r long, lang string, index binary, count binary").toArrow()  # at most `sample` rows
     in_order = sorted(zip(*(c.to_pylist() for c in found.columns), strict=True))
     return fit([(lang, np.frombuffer(index, "<u2"), np.frombuffer(count, "<u4")) for _, lang, index, count in in_order])
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score."""
-    docs = docs.drop("lang_pred", "score")
+def identify(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, under these names; columns of docs that have them go."""
+    docs = docs.drop(*names)
+    had, at = docs.columns, docs.columns.index("text")
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches):
         own = shipped.value
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text"))
+            texts = batch.column(at)
             found = [own.predict(texts[k].as_py()) for k in range(batch.num_rows)]
             columns = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*had, *names])
 
-    return docs.mapInArrow(predict, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.toDF(*(f"c{k}" for k in range(len(had)))).mapInArrow(predict, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def language_id(docs: DataFrame, fold: int = 3, held: int = 1) -> DataFrame:

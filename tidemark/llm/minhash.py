@@ -242,3 +242,22 @@ def near_documents(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFr
     full = members.where("cls is not null").join(table, "cls").select("doc_id", "n_shingles", "component_id")
     empty = members.where("cls is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.expr("doc_id <=> component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """docs (integer doc_id, text, any other columns) with one row of each group of near copies: that with the smallest id.
+
+    Rows are told apart even where they repeat an id or have none: of rows with one id any may stay, a row without an id
+    stays only where its group has none with an id. Rows without words are no copies and all stay.
+    """
+    same = [F.col(f"`{c}`") for c in docs.columns]
+    repeated = spool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    plain = docs.where("doc_id is not null").join(repeated, "doc_id", "left_anti").select(*same)
+    odd = docs.where("doc_id is not null").join(repeated, "doc_id", "left_semi").select(*same).unionByName(docs.where("doc_id is null"))
+    odd = spool(odd.select(F.struct(*same).alias("row"), F.monotonically_increasing_id().alias("n")))  # written once, so that the numbers hold
+    key = lambda c: F.lpad((F.col(c).cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")  # noqa: E731  # sorts as the id does
+    number = F.concat(F.coalesce(key("row.doc_id"), F.lit("none")), F.lit("."), F.lpad(F.col("n").cast("string"), 19, "0"))
+    numbered = odd.select(number.alias("doc_id"), F.col("row.text").alias("text"), "row")
+    kept = spool(near_documents(plain.select(key("doc_id").alias("doc_id"), "text").unionByName(numbered.select("doc_id", "text")), width, percent).where("kept").select("doc_id"))
+    first = plain.select("*", key("doc_id").alias("row key")).join(kept.withColumnRenamed("doc_id", "row key"), "row key", "left_semi").select(*same)
+    return first.unionByName(numbered.join(kept, "doc_id", "left_semi").select("row.*"))
