@@ -258,6 +258,7 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
     key = lambda c: F.lpad((F.col(c).cast("decimal(20,0)") + F.expr("9223372036854775808BD")).cast("string"), 20, "0")  # noqa: E731  # sorts as the id does
     number = F.concat(F.coalesce(key("row.doc_id"), F.lit("none")), F.lit("."), F.lpad(F.col("n").cast("string"), 19, "0"))
     numbered = odd.select(number.alias("doc_id"), F.col("row.text").alias("text"), "row")
-    kept = spool(near_documents(plain.select(key("doc_id").alias("doc_id"), "text").unionByName(numbered.select("doc_id", "text")), width, percent).where("kept").select("doc_id"))
-    first = plain.select("*", key("doc_id").alias("row key")).join(kept.withColumnRenamed("doc_id", "row key"), "row key", "left_semi").select(*same)
-    return first.unionByName(numbered.join(kept, "doc_id", "left_semi").select("row.*"))
+    gone = spool(near_documents(plain.select(key("doc_id").alias("doc_id"), "text").unionByName(numbered.select("doc_id", "text")), width, percent).where("not kept").select("doc_id"))
+    known = F.expr("cast(substring(doc_id, 1, 20) as decimal(20,0)) - 9223372036854775808BD").cast(docs.schema["doc_id"].dataType)
+    plain_gone = spool(gone.where("length(doc_id) = 20").select(known.alias("doc_id")))  # ids as they were: fewer bytes, and fewer than those that stay
+    return plain.join(plain_gone, "doc_id", "left_anti").select(*same).unionByName(numbered.join(gone, "doc_id", "left_anti").select("row.*"))
