@@ -54,13 +54,13 @@ def keywords_sql(name: str = "kw", when: str = "true") -> str:
  from (select p_partkey, lower(p_name) as nm, coalesce(q, 0) as q from part left join (select l_partkey, cast(sum(l_quantity) as bigint) as q from lineitem where {when} group by 1) d on l_partkey = p_partkey) b)"""
 
 
-def first_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short texts: up to twelve tokens of each document's first line."""
-    line = F.regexp_extract_all(F.lower(F.split("text", "\n")[0]), F.lit(X.TOKEN), F.lit(1))
-    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.array_join(F.slice(line, 1, 12), " ").alias("keyword"))
+def whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's whole text as its tokens, in lower case and joined by blanks."""
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(X.TOKEN), F.lit(1))
+    return read(spark, sf_dir, "documents").select("doc_id", "lang", F.array_join(tokens, " ").alias("keyword"))
 
 
-FIRST_LINES_SQL = r"fl as (select doc_id, lang, array_to_string(list_slice(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}_]+'), 1, 12), ' ') as keyword from documents)"
+WHOLE_TEXTS_SQL = r"fl as (select doc_id, lang, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), ' ') as keyword from documents)"
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

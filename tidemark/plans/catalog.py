@@ -60,12 +60,12 @@ def keyword_language(spark, sf):
 
 @query(Q.texts() + "select doc_id, keyword, language, round(language_confidence::double, 4) as confidence from lt")
 def text_language(spark, sf):
-    return K.language(B.first_lines(spark, sf)).select("doc_id", "keyword", "language", F.round("language_confidence", 4).alias("confidence"))
+    return K.language(B.whole_texts(spark, sf)).select("doc_id", "keyword", "language", F.round("language_confidence", 4).alias("confidence"))
 
 
 @query(Q.texts() + "select lang, language, count(*) as n from lt group by 1, 2")
 def language_confusion(spark, sf):
-    return K.language(B.first_lines(spark, sf)).groupBy("lang", "language").agg(F.count("*").alias("n"))
+    return K.language(B.whole_texts(spark, sf)).groupBy("lang", "language").agg(F.count("*").alias("n"))
 
 
 @query(CHAIN + f"select kw_idx, query_type, round(intent_confidence, 4) as confidence, {Q.case('query_type', {k: Q.q(v) for k, v in L.FUNNEL.items()}, 'null')} as funnel_stage, modality, temporal from en")
@@ -222,9 +222,9 @@ def page_domains(spark, sf):
     return B.read(spark, sf, "pages").select("page_id", X.domain(F.col("url")).alias("host"))
 
 
-@query(r"select doc_id, array_to_string(list_filter(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\p{L}\p{N}_]+'), lambda t: len(t) >= 2), ' ') as norm from documents")
+@query(r"select doc_id, array_to_string(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda t: len(t) >= 2), ' ') as norm from documents")
 def norm_keys(spark, sf):
-    return B.read(spark, sf, "documents").select("doc_id", X.norm_key(F.split("text", "\n")[0]).alias("norm"))
+    return B.read(spark, sf, "documents").select("doc_id", X.norm_key(F.col("text")).alias("norm"))
 
 
 @query("select o_orderkey, try_cast(regexp_replace(cast(cast(o_totalprice as decimal(18,2)) as varchar), '[,.]', '', 'g') as bigint) as as_int, round(try_cast(cast(cast(o_totalprice as decimal(18,2)) as varchar) as double) / 100, 6) as as_share from orders")

@@ -89,9 +89,9 @@ def citation_grouping_sets(spark, sf):
     return spark.sql("select domain, query, round(sum(weight / n), 6) as weight, cast(grouping(query) as bigint) as total from tidemark_cited group by grouping sets ((query, domain), (domain))")
 
 
-@query("select doc_id, nfc_normalize(string_split(text, chr(10))[1]) as composed from documents")
+@query("select doc_id, nfc_normalize(text) as composed from documents")
 def composed_lines(spark, sf):
-    line = F.split("text", "\n")[0]
+    line = F.col("text")
     return B.read(spark, sf, "documents").select("doc_id", F.when(line.rlike(r"[^\x00-\x7F]"), X.nfc(line)).otherwise(line).alias("composed"))
 
 
@@ -101,11 +101,11 @@ def pinned_years(spark, sf):
     return B.read(spark, sf, "orders").select("o_orderkey", F.substring(stamp, 1, 4).cast("int").alias("year"), F.date_format(F.to_timestamp(stamp, "yyyy-MM-dd'T'HH:mm:ssX"), "yyyy-MM").alias("period"))
 
 
-@query("select o_orderpriority as norm_kw, m as period, cast(v as double) as value from (select o_orderpriority, count(*) filter (month(o_orderdate) = 1) as m01, count(*) filter (month(o_orderdate) = 2) as m02, count(*) filter (month(o_orderdate) = 3) as m03 from orders group by 1) b unpivot (v for m in (m01, m02, m03))")
+@query("select o_orderpriority as norm_kw, m as period, cast(v as double) as value from (select o_orderpriority, " + ", ".join(f"count(*) filter (month(o_orderdate) = {k}) as m{k:02d}" for k in range(1, 13)) + " from orders group by 1) b unpivot (v for m in (" + ", ".join(f"m{k:02d}" for k in range(1, 13)) + "))")
 def month_unpivot(spark, sf):
-    months = [F.count_if(F.month("o_orderdate") == k).cast("double").alias(f"m{k:02d}") for k in (1, 2, 3)]
+    months = [F.count_if(F.month("o_orderdate") == k).cast("double").alias(f"m{k:02d}") for k in range(1, 13)]
     wide = B.read(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("norm_kw")).agg(*months)
-    return wide.unpivot("norm_kw", ["m01", "m02", "m03"], "period", "value")
+    return wide.unpivot("norm_kw", [f"m{k:02d}" for k in range(1, 13)], "period", "value")
 
 
 @query("select l_orderkey, l_linenumber, round(least(100.0::double, 100 * log10(l_extendedprice) / log10(100000)), 6) as volume_score, cast(case when p = 1 then 100 when p <= 3 then 90 when p <= 10 then 80 - (p - 4) * 5 when p <= 20 then 50 - (p - 11) * 3 when p <= 50 then greatest(5, 25 - (p - 21) * 0.5::double) else 5 end as double) as position_score from (select *, cast(l_quantity as int) as p from lineitem where l_extendedprice > 0) b")

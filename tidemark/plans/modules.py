@@ -201,13 +201,13 @@ def client_pages(spark, sf):
 
 
 _NORM = f"array_to_string({_TOK}, ' ')"
-_OBSERVED = f"nk as (select {_NORM} as norm, min(kw_idx) as kw_idx from kw group by 1), ob as (select {_NORM} as norm, clicks, impressions, position from kw where kw_idx % 3 = 0 union all select 'unheard of', 5, 10, 1)"
+_OBSERVED = f"nk as (select {_NORM} as norm, min(kw_idx) as kw_idx from kw group by 1), ob as (select {_NORM} as norm, clicks, impressions, position from kw union all select array_to_string(" + _TOK.replace("keyword", "s_name") + ", ' '), s_suppkey % 23, s_suppkey % 997, cast(null as int) from supplier)"
 
 
 def _observed(spark, sf):
     kw = B.keywords(spark, sf).withColumn("norm", X.norm_key(F.col("keyword")))
-    strange = spark.createDataFrame([("unheard of", 5, 10, 1)], "norm string, clicks long, impressions long, position int")
-    return kw, kw.where("kw_idx % 3 = 0").select("norm", "clicks", "impressions", "position").unionByName(strange)
+    strange = B.read(spark, sf, "supplier").select(X.norm_key(F.col("s_name")).alias("norm"), (F.col("s_suppkey") % 23).alias("clicks"), (F.col("s_suppkey") % 997).alias("impressions"), F.lit(None).cast("int").alias("position"))
+    return kw, kw.select("norm", "clicks", "impressions", "position").unionByName(strange)
 
 
 @query(Q.chain(_OBSERVED) + "select cluster_index, cast(sum(clicks) as bigint) as clicks, count(*) as matched, round(sum(position * impressions) filter (impressions > 0 and position is not null)::double / sum(impressions) filter (impressions > 0 and position is not null), 2) as mean_position from ob join nk using (norm) join mb using (kw_idx) group by 1")
@@ -358,23 +358,32 @@ _IT = f"""iv as (select *, len(list_filter(ws, lambda t: list_contains({Q.array(
 
 @query(Q.texts(_IT) + "select doc_id, it_score, engine_score from iv")
 def italian_votes(spark, sf):
-    return I.votes(K.language(B.first_lines(spark, sf))).select("doc_id", F.col("it_score").cast("long"), F.col("engine_score").cast("int"))
+    return I.votes(K.language(B.whole_texts(spark, sf))).select("doc_id", F.col("it_score").cast("long"), F.col("engine_score").cast("int"))
 
 
 @query(Q.texts(_IT) + "select italian, engine, bearing, share, bearing >= 10 and share >= 0.5 as prior from (select count(*) filter (it_score >= 1) as italian, count(*) filter (language_confidence >= 0.65) as engine, count(*) filter (it_score >= 1 or language_confidence >= 0.65) as bearing, round(count(*) filter (it_score >= 1)::double / count(*) filter (it_score >= 1 or language_confidence >= 0.65), 4) as share from iv) b")
 def italian_evidence(spark, sf):
-    return I.evidence(I.votes(K.language(B.first_lines(spark, sf))))
+    return I.evidence(I.votes(K.language(B.whole_texts(spark, sf))))
 
 
-@query(Q.texts() + f"select doc_id, len(list_filter(ws, lambda t: not regexp_matches(t, '[{L.IT_FOREIGN_LETTERS}]') and regexp_matches(t, '.{{2}}({'|'.join(L.IT_SUFFIXES)})$'))) > 0 as morphology, len(list_filter(ws, lambda t: not regexp_full_match(t, '[0-9]+'))) > 0 and len(list_filter(ws, lambda t: not regexp_full_match(t, '[0-9]+') and (regexp_matches(t, '[{L.IT_FOREIGN_LETTERS}]|oo') or not regexp_matches(t, '[{L.IT_VOWELS}]$')))) = 0 as shape from lt")
+_MORPHOLOGY = f"len(list_filter(ws, lambda t: not regexp_matches(t, '[{L.IT_FOREIGN_LETTERS}]') and regexp_matches(t, '.{{2}}({'|'.join(L.IT_SUFFIXES)})$'))) > 0"
+_SHAPE = f"(len(list_filter(ws, lambda t: not regexp_full_match(t, '[0-9]+'))) > 0 and len(list_filter(ws, lambda t: not regexp_full_match(t, '[0-9]+') and (regexp_matches(t, '[{L.IT_FOREIGN_LETTERS}]|oo') or not regexp_matches(t, '[{L.IT_VOWELS}]$')))) = 0)"
+
+
+@query(Q.texts() + f"select doc_id, {_MORPHOLOGY} as morphology, {_SHAPE} as shape from lt")
 def italian_forms(spark, sf):
-    df = B.first_lines(spark, sf)
+    df = B.whole_texts(spark, sf)
     return df.select("doc_id", I.morphology(F.col("keyword")).alias("morphology"), I.shape(F.col("keyword")).alias("shape"))
 
 
-@query(Q.texts(_IT) + "select doc_id, case when it_score > engine_score and language_confidence < 1 then 'it' else language end as language, case when it_score > engine_score and language_confidence < 1 then round(least(1.0, 0.5 + 0.15 * it_score)::double, 4) else round(language_confidence::double, 4) end as confidence from iv")
+_REASON = f"""pp as (select count(*) filter (it_score >= 1 or language_confidence >= 0.65) >= 10 and round(count(*) filter (it_score >= 1)::double / count(*) filter (it_score >= 1 or language_confidence >= 0.65), 4) >= 0.5 as prior from iv),
+ir as (select iv.*, case when language_confidence >= 1 then null when it_score > engine_score then 'vote' when prior and it_score >= 1 and it_score = engine_score then 'tie_break'
+ when prior and it_score = 0 and engine_score = 0 and {_MORPHOLOGY} then 'morphology' when prior and it_score = 0 and engine_score = 0 and {_SHAPE} then 'shape' end as reason from iv, pp)"""
+
+
+@query(Q.texts(_IT, _REASON) + "select doc_id, case when reason is not null then 'it' else language end as language, case when reason = 'vote' then round(least(1.0, 0.5 + 0.15 * it_score)::double, 4) when reason is not null then 0.55 else round(language_confidence::double, 4) end as confidence from ir")
 def corrected_language(spark, sf):
-    df = K.language(B.first_lines(spark, sf)).withColumns({"serp_features": F.array().cast("array<string>"), "query_type": F.lit("informational")})
+    df = K.language(B.whole_texts(spark, sf)).withColumns({"serp_features": F.array().cast("array<string>"), "query_type": F.lit("informational")})
     return I.correct(df).select("doc_id", "language", F.round("language_confidence", 4).alias("confidence"))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
-from .bindings import CLIENT, FIRST_LINES_SQL, SERIES_SQL, keywords_sql
+from .bindings import CLIENT, WHOLE_TEXTS_SQL, SERIES_SQL, keywords_sql
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
 any_of = lambda col, parts: "(" + " or ".join(f"contains({col}, {q(p)})" for p in parts) + ")"
@@ -82,7 +82,7 @@ def chain(*more: str) -> str:
 
 
 def texts(*more: str) -> str:
-    return "with " + ",\n".join([FIRST_LINES_SQL, language_sql("lt", "fl"), *more]) + "\n"
+    return "with " + ",\n".join([WHOLE_TEXTS_SQL, language_sql("lt", "fl"), *more]) + "\n"
 
 
 def monthly(*more: str) -> str:
