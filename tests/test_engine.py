@@ -9,6 +9,7 @@ from collections import Counter
 from decimal import Decimal
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def plain(v):
     return round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v
 
 
-FAST = ["canonical_records", "keyword_language", "text_language", "intent_vector", "composite_scores", "demand_opportunity_score", "keyword_gaps", "parent_clusters", "entity_extract", "mann_kendall", "theil_sen", "citation_shares", "sibling_heads", "bm25_scores", "keyword_bands", "audit_rows", "italian_forms", "difficulty_scale"]
+FAST = ["canonical_records", "keyword_language", "text_language", "intent_vector", "composite_scores", "demand_opportunity_score", "keyword_gaps", "parent_clusters", "entity_extract", "mann_kendall", "theil_sen", "citation_shares", "sibling_heads", "bm25_scores", "keyword_bands", "audit_rows", "italian_forms", "difficulty_scale",
+        "corrected_language", "norm_keys", "observed_clicks", "unmatched_queries", "month_unpivot", "stems_of_texts", "entity_gaps", "gap_heads", "top_opportunities", "reanchored_bands", "citation_checklist", "intent_shift", "gap_changes", "dominant_language", "citation_readiness", "demand_states"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -137,6 +139,58 @@ def test_trends(spark):
     assert {r.grp: r.state for r in P.states(df).collect()} == {"up": "rising", "flat": "flat", "two": "unknown", "line": "rising"}
 
 
+def test_seasonal_strength(spark):
+    """Made series: a pure cycle on a line, noise alone, a cycle with outliers, and series too short for it."""
+    rnd = random.Random(1)
+    cycle = [5 * math.sin(math.pi * k / 6) + 3 * (k % 12 == 2) for k in range(72)]
+    made = {"cycle": [10 + 0.1 * k + c for k, c in enumerate(cycle)], "noise": [10 + rnd.gauss(0, 1) for _ in range(72)], "outliers": [10 + c + (60 if k in (20, 45) else 0) + rnd.gauss(0, 0.3) for k, c in enumerate(cycle)], "short": cycle[:23], "constant": [4.0] * 30}
+    df = spark.createDataFrame([(g, k, float(v)) for g, y in made.items() for k, v in enumerate(y)], "grp string, pos long, v double")
+    got = {r.grp: r for r in P.seasonal_strength(df).collect()}
+    assert set(got) == {"cycle", "noise", "outliers", "constant"}
+    assert got["cycle"].seasonal_strength > 0.99 and got["noise"].seasonal_strength < 0.75 and got["constant"].seasonal_strength == 0
+    seasonal, trend, rest = P.decompose(np.array(made["cycle"]))
+    assert np.abs(seasonal + trend + rest - made["cycle"]).max() < 1e-9 and np.abs(seasonal - cycle + np.mean(cycle[:12])).max() < 0.3
+    seasonal, _, rest = P.decompose(np.array(made["outliers"]))
+    assert {*np.argsort(-np.abs(rest))[:2]} == {20, 45} and np.abs(seasonal - cycle + np.mean(cycle[:12])).max() < 1.5  # outliers stay out of the cycle
+    state = {r.grp: r.state for r in P.states(df, P.seasonal_strength(df)).collect()}
+    assert state["cycle"] == "seasonal" and state["constant"] == "flat"
+
+
+def test_loess_fits_lines_and_follows_weights():
+    y = 3.0 + 2.0 * np.arange(20)
+    assert P._loess(y, np.array([-1.0, 0.0, 7.5, 20.0]), 7, np.ones(20)) == pytest.approx([1, 3, 18, 43])
+    bent = y.copy()
+    bent[10] = 500
+    weights = np.ones(20)
+    weights[10] = 0
+    assert P._loess(bent, np.array([10.0]), 7, weights) == pytest.approx([23])
+
+
+def test_checklist_and_run_changes(spark):
+    rows = [(0, "what are shoes", 100, None, ["paa"]), (1, "red shoes", 50, 3, ["shopping", "paa"]), (2, "boots", 10, None, [])]
+    df = spark.createDataFrame([(*r, "question" if r[0] == 0 else "neither", r[0] == 0) for r in rows], "kw_idx long, keyword string, volume long, position int, serp_features array<string>, question_paa string, question_shape boolean")
+    membership = spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "kw_idx long, cluster_index long")
+    spread = spark.createDataFrame([("shoes", 0), ("red", 0)], "term string, dominant_cluster long")
+    gaps = spark.createDataFrame([("shoes", 5, 0)], "term string, demand_volume long, suggested_cluster long")
+    fan = spark.createDataFrame([(0, ["why"], ["recent"]), (1, [], ["recent", "implicit"])], "cluster_index long, gatekeepers array<string>, missing array<string>")
+    state = spark.createDataFrame([(0, "rising"), (1, "unknown")], "cluster_index long, state string")
+    got = {(r.cluster_index, r.component): r for r in A.checklist(df, membership, spread, gaps, fan, state).collect()}
+    assert len(got) == 12
+    assert [got[0, c].examples for c in ("extractability", "entity_coverage", "structured_signals", "information_gain")] == ["red shoes|what are shoes", "shoes", "paa|shopping", "why"]
+    assert [got[1, c].examples for c in ("extractability", "entity_coverage", "structured_signals", "information_gain")] == ["", "", "", "implicit|recent"]
+    assert got[0, "freshness_proxy"].basis.endswith(": rising") and "unknown" in got[1, "freshness_proxy"].basis
+
+
+def test_hot_stems_pair_only_plain_sets(spark):
+    """A stem that all sets hold: the prefix filter gives the same pairs as comparing all, without a join on that stem alone."""
+    rnd = random.Random(3)
+    sets = sorted({tuple(sorted({"hot", *rnd.sample([f"w{k}" for k in range(30)], rnd.randint(0, 4))})) for _ in range(150)})
+    df = spark.createDataFrame([(list(s),) for s in sets], "set array<string>")
+    got = {(tuple(r.s), tuple(r.h)): r.overlap for r in C._candidates(df, df, 0.6).collect()}
+    share = lambda a, b: len({*a} & {*b}) / max(len(a), len(b))
+    assert got == {(a, b): share(a, b) for a in sets for b in sets if share(a, b) >= 0.6}
+
+
 def test_bm25_and_coverage(spark):
     docs = spark.createDataFrame([(0, 0, "running shoes"), (0, 1, "trail shoes"), (0, 2, "dog food")], "cluster_index long, kw_idx long, keyword string")
     q = spark.createDataFrame([(0, "shoes", "shoes", "related"), (0, "dog", "dog", "implicit"), (0, "cat", "cat", "recent")], "cluster_index long, query string, norm string, archetype string")

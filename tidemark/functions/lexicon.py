@@ -149,3 +149,24 @@ IT_MARKERS = {
     "informational": [*IT_PRONOUNS, *"guida significato tutorial esempi esempio differenza differenze".split()],
     "navigational": "login,accedi,accesso,sito,area clienti,registrati".split(","),
 }
+
+# The six signals of the citation checklist, what each needs and asks for, and its grounds; the action texts are part of the output.
+CHECKLIST = {
+    "extractability": ("offline", "Open each section with a self-contained answer of 25 words or fewer, before the detail."),
+    "entity_coverage": ("offline", "Name and define the cluster's key entities; close the owned-gap entities first."),
+    "structured_signals": ("offline", "Add a table or ordered list and at least one explicit statistic with its unit."),
+    "information_gain": ("passage_text", "Add information beyond the competing pages; answer the gatekeeper sub-queries and the missing fan-out angles."),
+    "freshness_proxy": ("offline", "Show a visible publication or update date; refresh on a cadence that matches the demand trend."),
+    "source_cues": ("passage_text", "Cite authoritative sources, add an author byline with credentials, and Organization schema with sameAs links."),
+}
+CHECKLIST_BASIS = {
+    "questions": "answer-shaped queries in the cluster",
+    "no_questions": "no answer-shaped query detected; add question-form subheadings",
+    "entities": "topical authority and entity gaps",
+    "features": "SERP features present for this cluster",
+    "no_features": "no structured SERP feature detected; structure still aids passage extraction",
+    "fan_out": "gatekeeper sub-queries and missing archetypes",
+    "state": "demand state: ",
+    "no_state": "demand trend unknown; a visible date still helps",
+    "sources": "citation and authorship cues are read from the page, not from the keyword set",
+}

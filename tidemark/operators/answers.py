@@ -46,8 +46,9 @@ def readiness(signals: DataFrame, authority: DataFrame | None = None, coverage:
         "structured_demand": F.col("structured_demand"), "freshness": freshness(F.col("state")),
     })
     df = df.select("cluster_index", score.alias("readiness"), "demand").withColumn("w", F.col("readiness") * F.col("demand"))
-    total = F.sum("w").over(Window.partitionBy())  # one row a cluster
-    return df.select("cluster_index", "readiness", F.when(total > 0, F.round(100 * F.col("w") / total, 4)).otherwise(0.0).alias("expected_share"))
+    total = df.agg(F.sum("w").alias("total"))
+    shared = df.crossJoin(F.broadcast(total))  # one row of one number
+    return shared.select("cluster_index", "readiness", F.when(F.col("total") > 0, F.round(100 * F.col("w") / F.col("total"), 4)).otherwise(0.0).alias("expected_share"))
 
 
 def keyword_bands(df: DataFrame, readiness_: DataFrame | None = None) -> DataFrame:
@@ -110,3 +111,62 @@ def competitor_split(shares: DataFrame, top: int = 8) -> DataFrame:
     first = shares.orderBy(F.col("share").desc(), "domain").select("domain").limit(top).withColumn("kept", F.lit(True))
     named = shares.join(F.broadcast(first), "domain", "left").select(F.when(F.col("kept"), F.col("domain")).otherwise("other").alias("domain"), "share")
     return named.groupBy("domain").agg(F.round(F.sum("share"), 4).alias("share"))
+
+
+def top_opportunities(bands: DataFrame, top: int = 6) -> DataFrame:
+    """(cluster_index, rank, kw_idx, low, high): each cluster's keywords of most winnable clicks, in whole clicks; equals in the corpus's order."""
+    order = Window.partitionBy("cluster_index").orderBy(F.round("high", 6).desc(), "kw_idx")
+    ranked = bands.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    return ranked.select("cluster_index", "rank", "kw_idx", F.bround("low", 0).cast("long").alias("low"), F.bround("high", 0).cast("long").alias("high"))
+
+
+def provenance_mix(bands: DataFrame) -> DataFrame:
+    """(cluster_index, provenance, n): how the members' ranks are known."""
+    return bands.groupBy("cluster_index", "provenance").agg(F.count("*").alias("n"))
+
+
+def reanchored(bands: DataFrame, observed: DataFrame) -> DataFrame:
+    """Observed clusters with the winnable band that measured clicks leave: the ceilings less the clicks, 0 at least."""
+    both = observed.join(bands.select("cluster_index", "current_clicks", "winnable_low", "winnable_high", "ceiling_low", "ceiling_high"), "cluster_index", "left")
+    rest = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.col(c) - F.col("clicks")))
+    low, high = rest("ceiling_low"), rest("ceiling_high")
+    whole = lambda c: F.bround(c, 0).cast("long")
+    return both.select("cluster_index", "matched", whole(F.col("clicks").cast("double")).alias("observed_clicks"), "mean_position", "current_clicks", "winnable_low", "winnable_high", whole(F.least(low, high)).alias("observed_low"), whole(F.greatest(low, high)).alias("observed_high"))
+
+
+def checklist(df: DataFrame, membership: DataFrame, spread: DataFrame, gaps: DataFrame, fan: DataFrame | None = None, state: DataFrame | None = None, top: int = 8) -> DataFrame:
+    """(cluster_index, component, requires, basis, action, examples): six structural signals for each cluster with members.
+
+    spread: (term, dominant_cluster); gaps: (term, demand_volume, suggested_cluster); fan: (cluster_index, gatekeepers, missing),
+    arrays; state: (cluster_index, state). Examples are at most `top`, joined by a bar.
+    """
+    rows = df.join(membership, "kw_idx")
+    answer = F.col("question_paa").isin(*ANSWER_LABELS) | F.col("question_shape") | _has("featured_snippet", "paa", "ai_overview")
+    questions = rows.groupBy("cluster_index").agg(F.array_sort(F.collect_set(F.when(answer, F.col("keyword")))).alias("questions"))
+    counted = rows.select("cluster_index", F.explode("serp_features").alias("f")).where(F.col("f").isin("featured_snippet", "paa", "shopping")).groupBy("cluster_index", "f").agg(F.count("*").alias("n"))
+    rewarded = counted.groupBy("cluster_index").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "f"))), lambda x: x["f"]).alias("rewarded"))
+    own = spread.groupBy(F.col("dominant_cluster").alias("cluster_index")).agg(F.array_sort(F.collect_set("term")).alias("own"))
+    open_ = gaps.groupBy(F.col("suggested_cluster").alias("cluster_index")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("demand_volume")).alias("v"), "term"))), lambda x: x["term"]).alias("open"))
+    out = questions
+    for slot in (rewarded, own, open_):
+        out = out.join(slot, "cluster_index", "left")
+    out = out.join(fan.select("cluster_index", "gatekeepers", "missing"), "cluster_index", "left") if fan is not None else out.withColumns({"gatekeepers": F.lit(None).cast("array<string>"), "missing": F.lit(None).cast("array<string>")})
+    out = out.join(state.select("cluster_index", "state"), "cluster_index", "left") if state is not None else out.withColumn("state", F.lit(None).cast("string"))
+    none = F.array().cast("array<string>")
+    some = lambda c: F.size(F.coalesce(c, none)) > 0
+    either = lambda a, b: F.when(some(F.col(a)), F.col(a)).otherwise(F.array_sort(F.coalesce(F.col(b), none)))
+    moving = F.col("state").isNotNull() & (F.col("state") != "unknown")
+    examples = {
+        "extractability": F.col("questions"), "entity_coverage": either("open", "own"), "structured_signals": F.col("rewarded"),
+        "information_gain": F.when(some(F.col("gatekeepers")), F.array_sort("gatekeepers")).otherwise(F.array_sort(F.coalesce("missing", none))), "freshness_proxy": none, "source_cues": none,
+    }
+    basis = {
+        "extractability": F.when(some(F.col("questions")), L.CHECKLIST_BASIS["questions"]).otherwise(L.CHECKLIST_BASIS["no_questions"]), "entity_coverage": F.lit(L.CHECKLIST_BASIS["entities"]),
+        "structured_signals": F.when(some(F.col("rewarded")), L.CHECKLIST_BASIS["features"]).otherwise(L.CHECKLIST_BASIS["no_features"]), "information_gain": F.lit(L.CHECKLIST_BASIS["fan_out"]),
+        "freshness_proxy": F.when(moving, F.concat(F.lit(L.CHECKLIST_BASIS["state"]), "state")).otherwise(L.CHECKLIST_BASIS["no_state"]), "source_cues": F.lit(L.CHECKLIST_BASIS["sources"]),
+    }
+    items = [
+        F.struct(F.lit(name).alias("component"), F.lit(requires).alias("requires"), basis[name].alias("basis"), F.lit(action).alias("action"), F.array_join(F.slice(F.coalesce(examples[name], none), 1, top), "|").alias("examples"))
+        for name, (requires, action) in L.CHECKLIST.items()
+    ]
+    return out.select("cluster_index", F.explode(F.array(*items)).alias("i")).select("cluster_index", "i.*")

@@ -3,11 +3,15 @@
 Visiting keywords by descending volume, a keyword joins the head that it overlaps most (at least `overlap`), or else
 becomes a head. The heads are the lexicographically first maximal independent set of the graph whose edges join
 sufficiently overlapping stem sets, which is found in rounds: a keyword with an earlier head beside it is a member, one
-whose earlier neighbours are all members is a head. Candidate pairs come from an equi-join on stems with a size filter.
+whose earlier neighbours are all members is a head. Candidate pairs come from an equi-join on the rarest stems of each set
+(prefix filter), so that a frequent stem pairs only sets that have no rarer ones.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,13 +19,24 @@ from ..functions import text as X
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder (a temporary one where none is set)."""
-    import tempfile
+    """Write df once in the session's shared checkpoint folder and read it back: cuts the lineage without computing it twice.
 
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
-    return df.checkpoint()
+    Only a local master may do without spark.checkpoint.dir; it then gets a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        sc = spark.sparkContext
+        if not sc._jsc.sc().getCheckpointDir().isDefined():
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+        folder = sc._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def parent_clusters(df: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -34,12 +49,22 @@ def parent_clusters(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return clusters, membership
 
 
+def _prefixes(sets: DataFrame, counts: DataFrame, overlap: float) -> DataFrame:
+    """(set, stem): each set's rarest stems, as many as must hold a stem that any set of enough overlap shares."""
+    ranked = sets.select("set", F.explode("set").alias("stem")).join(counts, "stem").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("n", "stem"))).alias("by"))
+    needed = F.ceil(overlap * F.size("by") - 1e-9).cast("int")  # a little less only lengthens the prefix
+    return ranked.select("set", F.explode(F.slice("by", F.lit(1), F.size("by") - needed + 1)).alias("x")).select("set", F.col("x.stem").alias("stem"))
+
+
 def _candidates(sets: DataFrame, against: DataFrame, overlap: float) -> DataFrame:
-    """Pairs (s, h) of stem sets with their overlap, at least `overlap`, through shared stems."""
-    a = sets.select(F.col("set").alias("s"), F.size("set").alias("ns"), F.explode("set").alias("stem"))
-    b = against.select(F.col("set").alias("h"), F.size("set").alias("nh"), F.explode("set").alias("stem"))
-    shared = a.join(b, "stem").where(F.least("ns", "nh") >= overlap * F.greatest("ns", "nh")).groupBy("s", "h", "ns", "nh").agg(F.count("*").alias("both"))
-    return shared.select("s", "h", (F.col("both") / F.greatest("ns", "nh")).alias("overlap")).where(F.col("overlap") >= overlap)
+    """Pairs (s, h) of sets of distinct stems with their overlap, at least `overlap` of the larger one."""
+    sets, against = sets.select("set").distinct(), against.select("set").distinct()
+    counts = sets.unionByName(against).select(F.explode("set").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
+    a = _prefixes(sets, counts, overlap).select(F.col("set").alias("s"), "stem")
+    b = _prefixes(against, counts, overlap).select(F.col("set").alias("h"), "stem")
+    ns, nh = F.size("s"), F.size("h")
+    near = a.join(b, "stem").where(F.least(ns, nh) >= overlap * F.greatest(ns, nh)).select("s", "h").distinct()
+    return near.withColumn("overlap", F.size(F.array_intersect("s", "h")) / F.greatest(ns, nh)).where(F.col("overlap") >= overlap)
 
 
 def leader_clusters(df: DataFrame, overlap: float = 0.60) -> tuple[DataFrame, DataFrame]:
@@ -83,3 +108,11 @@ def describe(clusters: DataFrame, membership: DataFrame, df: DataFrame) -> DataF
     by_intent = rows.groupBy("cluster_index", "query_type").agg(F.count("*").alias("n"), F.min("kw_idx").alias("first"), F.sum(F.coalesce("volume", F.lit(0))).alias("v"))
     total = by_intent.groupBy("cluster_index").agg(F.sum("n").alias("size"), F.sum("v").alias("volume_total"), F.max_by("query_type", F.struct("n", -F.col("first"))).alias("dominant_intent"))
     return clusters.join(total, "cluster_index")
+
+
+def dominant_language(df: DataFrame, membership: DataFrame, other: str = "en") -> DataFrame:
+    """(cluster_index, language): the members' most frequent language, the first seen of equals; `other` where none has one."""
+    rows = membership.join(df.select("kw_idx", "language"), "kw_idx")
+    by = rows.where("language <> ''").groupBy("cluster_index", "language").agg(F.count("*").alias("n"), F.min("kw_idx").alias("first"))
+    best = by.groupBy("cluster_index").agg(F.max_by("language", F.struct("n", -F.col("first"))).alias("language"))
+    return rows.select("cluster_index").distinct().join(best, "cluster_index", "left").select("cluster_index", F.coalesce("language", F.lit(other)).alias("language"))

@@ -70,3 +70,24 @@ def source_concentration(df: DataFrame) -> DataFrame:
     counts = df.groupBy("source").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("t"), F.count("*").alias("k"))
     return counts.crossJoin(F.broadcast(total)).where("k > 1 and n > 0.9 * t").select("source", F.round(F.col("n") / F.col("t"), 4).alias("share"))  # one row
+
+
+def intent_shift(base: DataFrame, current: DataFrame, column: str = "query_type") -> DataFrame:
+    """(value, base, current, delta) over the union of both runs' values."""
+    b, c = (df.groupBy(F.col(column).alias("value")).agg(F.count("*").alias(n)) for df, n in ((base, "base"), (current, "current")))
+    both = b.join(c, "value", "full_outer").select("value", F.coalesce("base", F.lit(0)).alias("base"), F.coalesce("current", F.lit(0)).alias("current"))
+    return both.withColumn("delta", F.col("current") - F.col("base"))
+
+
+def gap_changes(base: DataFrame, current: DataFrame) -> DataFrame:
+    """Gaps (gap, n, samples joined by a bar) of two runs: counts, their change, samples closed and opened, and whether those are partial."""
+    side = lambda df, p: df.select("gap", F.col("n").alias(f"{p}_count"), F.split("samples", r"\|").alias(f"{p}_s"))
+    both = side(base, "base").join(side(current, "current"), "gap", "full_outer")
+    none = F.array().cast("array<string>")
+    b, c = (F.array_distinct(F.coalesce(f"{p}_s", none)) for p in ("base", "current"))
+    capped = lambda p, s: F.coalesce(F.col(f"{p}_count"), F.lit(0)) > F.size(s)
+    listed = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), "|")
+    return both.select(
+        "gap", F.coalesce("base_count", F.lit(0)).alias("base_count"), F.coalesce("current_count", F.lit(0)).alias("current_count"),
+        (F.coalesce("current_count", F.lit(0)) - F.coalesce("base_count", F.lit(0))).alias("delta"), listed(b, c).alias("closed"), listed(c, b).alias("opened"), (capped("base", b) | capped("current", c)).alias("partial"),
+    )

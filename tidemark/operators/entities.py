@@ -77,3 +77,18 @@ def authority(df: DataFrame, entities: DataFrame, membership: DataFrame) -> Data
     held = terms(df).join(few, "term").join(membership, "kw_idx").select("cluster_index", "term", "demand_volume", "owned").distinct()
     got = held.groupBy("cluster_index").agg(F.sum("demand_volume").alias("weight"), F.sum(F.when(F.col("owned"), F.col("demand_volume")).otherwise(0)).alias("o"))
     return got.select("cluster_index", F.when(F.col("weight") > 0, F.round(F.col("o") / F.col("weight"), 4)).otherwise(0.0).alias("authority"), "weight")
+
+
+def spread(df: DataFrame, entities: DataFrame, membership: DataFrame) -> DataFrame:
+    """(term, clusters, dominant_cluster): the clusters of an entity's keywords, and that of most of them (the first seen of equals)."""
+    few = F.broadcast(entities.select("term"))
+    held = terms(df).join(few, "term").select("term", "kw_idx").distinct().join(membership, "kw_idx")
+    per = held.groupBy("term", "cluster_index").agg(F.count("*").alias("n"), F.min("kw_idx").alias("first"))
+    return per.groupBy("term").agg(F.array_sort(F.collect_set("cluster_index")).alias("clusters"), F.max_by("cluster_index", F.struct("n", -F.col("first"))).alias("dominant_cluster"))
+
+
+def gap_heads(found: DataFrame, spread_: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Entity gaps with the cluster that should close them and its head ('' where there is none)."""
+    placed = found.join(spread_.select("term", F.col("dominant_cluster").alias("suggested_cluster")), "term", "left")
+    heads = clusters.select(F.col("cluster_index").alias("suggested_cluster"), F.col("head").alias("suggested_head"))
+    return placed.join(heads, "suggested_cluster", "left").select("term", "demand_volume", "suggested_cluster", F.coalesce("suggested_head", F.lit("")).alias("suggested_head"))

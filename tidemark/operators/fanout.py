@@ -102,3 +102,10 @@ def gatekeepers(by_query: DataFrame, volumes: DataFrame) -> DataFrame:
     """Central sub-queries without demand of their own. volumes: norm, volume; queries are matched by normal form."""
     most = volumes.groupBy(F.col("norm").alias("query")).agg(F.max("volume").alias("volume"))
     return by_query.join(most, "query", "left").where("centrality >= 2 and coalesce(volume, 0) = 0").select("cluster_index", "query", "centrality")
+
+
+def run_summary(coverage_: DataFrame, gatekeepers_: DataFrame | None = None) -> DataFrame:
+    """One row: clusters, their mean coverage, and the gatekeepers of all."""
+    out = coverage_.agg(F.count("*").alias("clusters"), F.coalesce(F.round(F.avg("coverage"), 4), F.lit(0.0)).alias("mean_coverage"))
+    keepers = gatekeepers_.agg(F.count("*").alias("gatekeepers")) if gatekeepers_ is not None else None
+    return out.crossJoin(F.broadcast(keepers)) if keepers is not None else out.withColumn("gatekeepers", F.lit(0).cast("long"))  # two rows of counts

@@ -214,6 +214,19 @@ def stems_english(spark, sf):
     return K.language(B.keywords(spark, sf)).where("language = 'en'").select("kw_idx", F.array_join(F.array_sort(F.array_distinct(X.stems(F.col("keyword"), F.col("language")))), " ").alias("stems"))
 
 
+def _stem_sql(c: str) -> str:
+    """A stem of token t in language c: the first suffix that leaves three letters goes."""
+    whens = " ".join(f"when ends_with(t, {Q.q(s)}) and len(t) - {len(s)} >= 3 then " + ("concat(t[:-4], 'y')" if (c, s) == ("en", "ies") else f"t[:-{len(s) + 1}]") for s in L.STEM_SUFFIXES[c])
+    return f"list_sort(list_distinct(list_transform(list_filter(ws, lambda t: len(t) >= 3 and not list_contains({Q.array(L.STOP_WORDS[c])}, t)), lambda t: case when len(t) <= 3 then t {whens} else t end)))"
+
+
+@query(Q.texts() + "select doc_id, lang, array_to_string(case lang " + " ".join(f"when {Q.q(c)} then {_stem_sql(c)}" for c in L.LANGUAGES) + " end, ' ') as stems from lt")
+def stems_of_texts(spark, sf):
+    """Stems of whole texts by their own language, all four."""
+    texts = B.whole_texts(spark, sf)
+    return texts.select("doc_id", "lang", F.array_join(F.array_sort(F.array_distinct(X.stems(F.col("keyword"), F.col("lang")))), " ").alias("stems"))
+
+
 # ---------------------------------------------------------------- scalars on driver tables
 
 
@@ -253,4 +266,4 @@ def labels_and_escapes(spark, sf):
     return B.read(spark, sf, "customer").select("c_custkey", X.label(F.col("c_name")).alias("label"), X.escape_html(F.concat(F.lit("<"), "c_mktsegment", F.lit("&>"))).alias("escaped"))
 
 
-from . import modules, lookups  # noqa: E402, F401, I001  they register their queries
+from . import modules, lookups, portfolio  # noqa: E402, F401, I001  they register their queries

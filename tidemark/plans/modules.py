@@ -60,9 +60,20 @@ def entity_degrees(spark, sf):
     return E.degrees(E.graph(*_entities(spark, sf)))
 
 
-@query(ENTITIES + "select term, demand_volume from sa where owned_support = 0 and demand_volume > 0 order by demand_volume desc, term limit 50")
+#: For gaps: keywords that hold these words have no rank, so that some entities are not owned.
+UNRANKED = ("anvil", "rod")
+_GAP_TERMS = _TERMS.replace("a.position > 0", "not regexp_matches(a.keyword, '" + "|".join(UNRANKED) + "') and a.position > 0")
+
+
+def _gap_entities(spark, sf):
+    df = engine(spark, sf)
+    df = df.withColumn("position", F.when(~F.col("keyword").rlike("|".join(UNRANKED)), F.col("position")))
+    return df, E.salient(df)
+
+
+@query(Q.chain(_GAP_TERMS) + "select term, demand_volume from sa where owned_support = 0 and demand_volume > 0 order by demand_volume desc, term limit 50")
 def entity_gaps(spark, sf):
-    return E.gaps(_entities(spark, sf)[1])
+    return E.gaps(_gap_entities(spark, sf)[1])
 
 
 _AUTHORITY = "au as (select cluster_index, cast(sum(demand_volume) as bigint) as weight, case when sum(demand_volume) > 0 then round(sum(case when owned_support > 0 then demand_volume else 0 end)::double / sum(demand_volume), 4) else 0 end as authority from (select distinct cluster_index, sa.term, demand_volume, owned_support from ex_a join sa using (term) join mb using (kw_idx)) d group by 1)"
@@ -345,9 +356,9 @@ def audit_findings(spark, sf):
     return R.findings(R.audit_rows(B.keywords(spark, sf)))
 
 
-@query("select o_orderstatus as source, round(n::double / t, 4) as share from (select o_orderstatus, count(*) as n, sum(count(*)) over () as t from orders group by 1) b where n > 0.9 * t")
+@query("select source, round(n::double / t, 4) as share from (select case when l_quantity <= 2 then 'small' else 'large' end as source, count(*) as n, sum(count(*)) over () as t from lineitem group by 1) b where n > 0.9 * t")
 def source_concentration(spark, sf):
-    return R.source_concentration(B.read(spark, sf, "orders").select(F.col("o_orderstatus").alias("source")))
+    return R.source_concentration(B.read(spark, sf, "lineitem").select(F.when(F.col("l_quantity") <= 2, "small").otherwise("large").alias("source")))
 
 
 # ---------------------------------------------------------------- language correction

@@ -46,6 +46,15 @@ def analyze(keywords: DataFrame, config: K.Config = K.Config()) -> Run:
     return Run(scored, C.settle(C.describe(clusters, membership, scored)), membership)
 
 
+def _fan(slots: dict) -> DataFrame | None:
+    """(cluster_index, gatekeepers, missing) of the fan-out slots, where they are."""
+    if "coverage" not in slots:
+        return None
+    keepers = slots["gatekeepers"].groupBy("cluster_index").agg(F.array_sort(F.collect_set("query")).alias("gatekeepers"))
+    missing = F.filter(F.split("missing", ","), lambda a: a != "")
+    return slots["coverage"].select("cluster_index", missing.alias("missing")).join(keepers, "cluster_index", "left")
+
+
 def run_modules(run: Run, modules=("entity_web", "fan_out_radar", "demand_pulse", "citation_grid", "click_ceiling"), series: DataFrame | None = None, year: int = 2026) -> Run:
     """Add slots in the given order; each reads the slots that are there."""
     kw, slots = run.keywords, run.slots
@@ -57,7 +66,8 @@ def run_modules(run: Run, modules=("entity_web", "fan_out_radar", "demand_pulse"
         elif m == "entity_web":
             slots["entities"] = C.settle(E.salient(kw))
             slots["graph"] = E.graph(kw, slots["entities"])
-            slots["entity_gaps"] = E.gaps(slots["entities"])
+            slots["spread"] = C.settle(E.spread(kw, slots["entities"], run.membership))
+            slots["entity_gaps"] = C.settle(E.gap_heads(E.gaps(slots["entities"]), slots["spread"], run.clusters))
             slots["authority"] = C.settle(E.authority(kw, slots["entities"], run.membership))
         elif m == "fan_out_radar":
             docs = C.settle(run.membership.join(kw.select("kw_idx", "keyword"), "kw_idx"))
@@ -70,15 +80,21 @@ def run_modules(run: Run, modules=("entity_web", "fan_out_radar", "demand_pulse"
             queries = made.select("cluster_index", F.col("norm").alias("query"), "norm", "archetype")
             slots["sub_queries"], slots["coverage"] = O.coverage(queries, O.bm25(queries, docs))
             slots["gatekeepers"] = O.gatekeepers(slots["sub_queries"], kw.select(X.norm_key(F.col("keyword")).alias("norm"), "volume"))
+            slots["fan_out"] = O.run_summary(slots["coverage"], slots["gatekeepers"])
         elif m == "demand_pulse" and series is not None:
             keyed = kw.select("kw_idx", X.norm_key(F.col("keyword")).alias("norm_kw")).join(series, "norm_kw").select("kw_idx", "period", "value")
-            slots["state"] = P.states(P.cluster_series(keyed, run.membership)).withColumnRenamed("grp", "cluster_index")
+            whole = C.settle(P.cluster_series(keyed, run.membership))
+            slots["state"] = P.states(whole, P.seasonal_strength(whole)).withColumnRenamed("grp", "cluster_index")
+            slots["markers"] = P.markers(kw, run.membership)
         elif m == "citation_grid":
             slots["readiness"] = C.settle(A.readiness(A.cluster_signals(kw, run.membership), slots.get("authority"), slots.get("coverage"), slots.get("state")))
+            if "spread" in slots:
+                slots["checklist"] = A.checklist(kw, run.membership, slots["spread"], slots["entity_gaps"], _fan(slots), slots.get("state"))
         elif m == "click_ceiling":
             bands = A.keyword_bands(kw.join(run.membership, "kw_idx"), slots.get("readiness"))
             slots["keyword_bands"] = bands
             slots["bands"] = A.cluster_bands(bands, slots.get("state"), slots.get("authority"), slots.get("coverage"))
+            slots["opportunities"], slots["provenance"] = A.top_opportunities(bands), A.provenance_mix(bands)
     return run
 
 
@@ -89,11 +105,12 @@ def from_exports(spark: SparkSession, inputs, config: K.Config = K.Config(), mod
     return run_modules(analyze(exports.read_exports(spark, paths), config), modules, series, year or 2026)
 
 
-def compare(base: Run, current: Run, key: str = "keyword") -> dict[str, DataFrame]:
+def compare(base: Run, current: Run, key: str = "keyword", client: str = "") -> dict[str, DataFrame]:
     """Movements between two runs."""
     fields = ["quick_win", "position", "volume", "score_main", "score_aeo"]
     pairs = R.paired(R.representatives(base.keywords, key), R.representatives(current.keywords, key), fields, key)
     return {
         "quick_wins": pairs.select(key, R.resolution().alias("movement")).where("movement is not null"), "deltas": R.score_deltas(pairs, ["score_main", "score_aeo"]),
-        "added": pairs.where("in_current and not in_base").select(key), "dropped": pairs.where("in_base and not in_current").select(key),
+        "added": pairs.where("in_current and not in_base").select(key), "dropped": pairs.where("in_base and not in_current").select(key), "intents": R.intent_shift(base.keywords, current.keywords),
+        "gaps": R.gap_changes(base.gaps(client), current.gaps(client)), "risers": R.movers(pairs, "score_main", True), "fallers": R.movers(pairs, "score_main", False),
     }
