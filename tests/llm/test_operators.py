@@ -487,6 +487,39 @@ def test_mined_rules_reach_pages_without_a_rule(spark):
     assert all(r["rule"] is None for r in got if r["page_id"] >= 2000 and r["page_id"] < 4000)
 
 
+def tokens_brute(url):
+    scheme, _, rest = url.partition("://")
+    host, path, query = re.match(r"([^/?#]*)([^?#]*)(?:\?([^#]*))?", rest).groups()
+    labels = host.lower().split(".")
+    return {f"scheme={scheme}", *(f"host={'.'.join(labels[k:])}" for k in range(len(labels))), *(f"path={p}" for p in path.split("/") if p), *(f"query={k.split('=')[0]}" for k in (query or "").split("&") if k)}
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_mined_rules_equal_brute_force(spark, labelled):
+    """Support, confidence and matching against all combinations of up to three tokens, at production parameters."""
+    from itertools import combinations
+
+    rnd = random.Random(12)
+    urls = [f"http{rnd.choice(['', 's'])}://{rnd.choice(['m', 'www', 'blog'])}.{rnd.choice(['spam', 'bets', 'news', 'cats'])}.{rnd.choice(['com', 'net', 'org', 'biz'])}/{rnd.choice(['en', 'de', 'es', 'fr'])}/{rnd.choice(['buy', 'read'])}" + rnd.choice(["", "?ad=1", "?page=2&ad=3"]) for _ in range(1500)]
+    spark_pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = [(k, "block" if "spam" in u and "ad=" in u else "allow") for k, u in enumerate(urls) if k % 2]
+    given = {r["page_id"]: (r["rule"], r["verdict"]) for r in table(judge(spark_pages))}
+    truth = dict(labels) if labelled else {k: v for k, (rule, v) in given.items() if rule}
+    every = {k: tokens_brute(u) for k, u in enumerate(urls)}
+    n, blocked = Counter(), Counter()
+    for k, v in truth.items():
+        for size in (1, 2, 3):
+            for combo in combinations(sorted(every[k]), size):
+                n[combo] += 1
+                blocked[combo] += v == "block"
+    rules = {c for c in n if blocked[c] >= 0.005 * len(truth) and (blocked[c] + 1) / (n[c] + 2) >= 0.95}
+    assert rules and not all(len(c) == 1 for c in rules)
+    got = table(judge(spark_pages, labels=spark.createDataFrame(labels, "page_id long, label string"))) if labelled else table(judge(spark_pages))
+    own = [r for r in got if r["rule"] is None]
+    assert {r["page_id"] for r in own if r["verdict"] == "block"} == {r["page_id"] for r in own if any(c in rules for size in (1, 2, 3) for c in combinations(sorted(every[r["page_id"]]), size))}
+    assert 0 < sum(r["verdict"] == "block" for r in own) < len(own)
+
+
 # ---------------------------------------------------------------- 9
 
 

@@ -7,7 +7,8 @@ seen on a few decided pages judge no others. Pages without a verdict are what is
 the given rules allow no page at all, so that any token would imply block, they count as allowed. Rules with more tokens
 than one that already blocks are dropped; the rest are matched by an inverted index from token to rules, within the row.
 
-The rules' number is bounded by the support threshold and not by the table, so they may be collected.
+Rules have LONGEST tokens at most, so that their number is bounded by the tokens of a URL and the support threshold, not by
+the table; longer ones are dropped before the rules are collected. Where pages have labels of their own, judge takes them.
 
 Edge cases: a null url, or one without `://`, has empty host and path and is allowed; hosts are lower-cased in A-Z only;
 repeated rows get repeated results; an empty table gives no rows; extra columns are ignored.
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.95
+#: Tokens of a mined rule, at most: with it, rules number at most (combinations of so many of a URL's tokens) / MIN_SUPPORT.
+LONGEST = 3
 BLOCKED = "verdict=block"
 #: verdict, host, path
 RULES = (
@@ -63,7 +66,7 @@ def tokens() -> Column:
     return F.when(F.col("host") != "", every).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float) -> list[list[str]]:
+def mine(labelled: DataFrame, support: float, confidence: float, longest: int = LONGEST) -> list[list[str]]:
     """Token combinations that imply block, smallest first, none containing another. labelled: tokens, verdict (null if undecided)."""
     total, decided, allowed = labelled.agg(F.count("*"), F.count("verdict"), F.count_if(F.col("verdict") == "allow")).first()
     if allowed:
@@ -72,7 +75,7 @@ def mine(labelled: DataFrame, support: float, confidence: float) -> list[list[st
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     blocked = F.round(F.col("support") * total)
     expected = (blocked + 1) / (F.round(blocked / F.col("confidence")) + 2)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCKED) & (expected >= confidence)).select("antecedent").collect()
+    found = model.associationRules.where(F.array_contains("consequent", BLOCKED) & (F.size("antecedent") <= longest) & (expected >= confidence)).select("antecedent").collect()
     kept: list[set] = []
     for row in sorted(sorted(r.antecedent) for r in found):
         kept.append(set(row))
@@ -97,10 +100,11 @@ def blocked_by(rules: list[list[str]]) -> Column:
     return F.exists(hits, lambda h: F.size(F.filter(hits, lambda g: g["r"] == h["r"])) == h["n"])
 
 
-def judge(pages: DataFrame, rules=RULES, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """page_id, host, path, rule, verdict."""
+def judge(pages: DataFrame, rules=RULES, support: float = MIN_SUPPORT, confidence: float = MIN_CONFIDENCE, labels: DataFrame | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict. labels (page_id, label: block or allow) replace the given rules as what is mined from."""
     rule, verdict = fitting(rules)
     parts = split_url(pages.select("page_id", "url")).select("page_id", "host", "path", tokens().alias("tokens"), rule.alias("rule"), verdict.alias("verdict"))
-    mined = mine(parts.select("tokens", "verdict"), support, confidence)
+    evidence = parts.select("tokens", "verdict") if labels is None else parts.select("page_id", "tokens").join(labels, "page_id", "left").select("tokens", F.col("label").alias("verdict"))
+    mined = mine(evidence, support, confidence)
     own = F.when(blocked_by(mined), "block").otherwise("allow")
     return parts.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"))
