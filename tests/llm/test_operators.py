@@ -229,6 +229,33 @@ def test_score_documents(docs, none):
     assert score_documents(none, PIECES).count() == 0
 
 
+def test_document_scores_equal_brute_force(docs):
+    """log10 of the product of every word's marginal and the end, with piece counts gathered in plain Python."""
+    model = open(PIECES, "rb").read()
+    plain = Lattice(model)
+    counts = np.zeros(plain.sp.get_piece_size())
+    data = pairs_of(docs)
+    for i, t in data:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            for w in words_of(t):
+                for k in plain.sp.encode(w.decode()):
+                    counts[k] += 1
+            counts[plain.sp.eos_id()] += 1
+    own = Lattice(model, counts)
+    known = {}
+    want = Counter()
+    for i, t in data:
+        total = own.end
+        for w in words_of(t):
+            if w not in known:
+                known[w] = own.word(w.decode())
+            total += known[w]
+        want[i, round(total / math.log(10), 3)] += 1
+    got = Counter((r["doc_id"], round(r["score"], 3)) for r in table(score_documents(docs, PIECES)))
+    assert sum((got - want).values()) <= 2  # sums in another order may round otherwise
+    assert {i for i, _ in got} == {i for i, _ in want}
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -675,6 +702,20 @@ def test_language_id(spark, none):
     assert np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) >= 0.98
     assert all(0 <= r["score"] <= 1 for r in got)
     assert language_id(none).count() == 0
+    right, score = (np.array([float(x) for x in v]) for v in ([r["lang_pred"] == truth[r["doc_id"]] for r in held], [r["score"] for r in held]))
+    off = sum(abs(right[m].mean() - score[m].mean()) * m.mean() for a in np.arange(0, 1, 0.1) if (m := (score > a) & (score <= a + 0.1)).any())
+    assert off < 0.03  # expected calibration error over ten bins of the held-out rows
+
+
+def test_language_sample_is_the_same_each_time(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.language_id import learn
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    again = docs.union(docs.where("doc_id < 40")).union(docs.where("doc_id < 20").withColumn("text", F.concat("text", F.lit(" x"))))
+    one, two = (learn(df, F.col("doc_id") % 3 != 1, sample=60) for df in (again.repartition(2), again.repartition(5, "text")))
+    assert one.labels == two.labels and np.array_equal(one.weights, two.weights) and one.temperature == two.temperature
 
 
 def test_language_id_odd_rows(docs):
