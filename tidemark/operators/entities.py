@@ -42,9 +42,19 @@ def extract(df: DataFrame, min_df: int = 2, max_ngram: int = 2) -> DataFrame:
     return got.crossJoin(F.broadcast(total)).select("term", "tf", "df", F.round(F.ln(F.col("n") / F.col("df")), 6).alias("idf"), F.round(factor, 6).alias("position_factor"), F.round(F.col("df") * factor, 6).alias("score"))  # one row of one number
 
 
-def salient(df: DataFrame, top: int = TOP_ENTITIES) -> DataFrame:
+#: Extractors by name: functions of a corpus that return (term, tf, df, idf, position_factor, score); more may be registered.
+EXTRACTORS = {"ngram": extract}
+
+
+def extractor(name: str = "ngram"):
+    if name not in EXTRACTORS:
+        raise ValueError(f"unknown extractor {name!r}; there are {sorted(EXTRACTORS)}")
+    return EXTRACTORS[name]
+
+
+def salient(df: DataFrame, top: int = TOP_ENTITIES, by: str = "ngram") -> DataFrame:
     """The most salient entities with rank, demand and ownership. df: kw_idx, keyword, language, volume, position."""
-    best = extract(df).orderBy(F.col("score").desc(), "term").limit(top)
+    best = extractor(by)(df).orderBy(F.col("score").desc(), "term").limit(top)
     best = best.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "term")))  # `top` rows
     support = terms(df).select("term", "kw_idx").distinct().join(F.broadcast(best.select("term")), "term")
     owned = F.coalesce((F.col("position") > 0) & (F.col("position") <= OWNED_TO), F.lit(False))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Mapping
+from dataclasses import dataclass, field
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,13 +17,38 @@ from .keywords import _pick, intent_weights
 PRIOR_SHARE, PRIOR_EVIDENCE, PRIOR_CONFIDENCE = 0.5, 10, 0.55
 
 
+@dataclass(frozen=True)
+class Gazetteer:
+    """Words that vote for Italian, question pronouns, and intent markers by axis."""
+
+    cues: tuple[str, ...] = tuple(L.IT_CUES)
+    pronouns: tuple[str, ...] = tuple(L.IT_PRONOUNS)
+    markers: Mapping[str, tuple[str, ...]] = field(default_factory=lambda: {k: tuple(v) for k, v in L.IT_MARKERS.items()})
+
+
+def load_gazetteer(path: str | None = None) -> Gazetteer:
+    """The built-in gazetteer, or one from a JSON file (language_cues, question_pronouns, intent_markers by four axes); every call gives its own."""
+    if path is None:
+        return Gazetteer()
+    try:
+        data = json.loads(Path(path).read_text(encoding="utf-8"))
+    except FileNotFoundError as e:
+        raise ValueError(f"no gazetteer: {path}") from e
+    except json.JSONDecodeError as e:
+        raise ValueError(f"not JSON: {path}") from e
+    fields, axes = ("language_cues", "question_pronouns", "intent_markers"), ("transactional", "commercial", "informational", "navigational")
+    if missing := [f for f in fields if f not in data] or [f"intent_markers.{a}" for a in axes if a not in data["intent_markers"]]:
+        raise ValueError(f"{path}: missing {', '.join(missing)}")
+    return Gazetteer(tuple(data["language_cues"]), tuple(data["question_pronouns"]), {a: tuple(data["intent_markers"][a]) for a in axes})
+
+
 def _array(words) -> Column:
     return F.array(*(F.lit(w) for w in words))
 
 
-def votes(df: DataFrame) -> DataFrame:
+def votes(df: DataFrame, words: Gazetteer = Gazetteer()) -> DataFrame:
     """it_score and engine_score of each keyword (keyword, language, language_confidence)."""
-    cues = _array(sorted({*L.IT_CUES, *L.IT_PRONOUNS}))
+    cues = _array(sorted({*words.cues, *words.pronouns}))
     it = F.size(F.filter(X.words(F.col("keyword")), lambda t: F.array_contains(cues, t))) + F.when(F.col("keyword").rlike(f"[{L.IT_DIACRITICS}]"), 2).otherwise(0)
     engine = F.when(F.col("language_confidence") < 0.5, 0).otherwise(F.bround((F.col("language_confidence") - 0.5) / 0.15, 0).cast("int"))
     return df.withColumns({"it_score": it, "engine_score": engine})
@@ -44,9 +74,9 @@ def evidence(voted: DataFrame) -> DataFrame:
     return got.withColumn("share", share).withColumn("prior", (F.col("bearing") >= PRIOR_EVIDENCE) & (F.col("share") >= PRIOR_SHARE))
 
 
-def correct(df: DataFrame) -> DataFrame:
+def correct(df: DataFrame, words: Gazetteer = Gazetteer()) -> DataFrame:
     """df with language, language_confidence and query_type corrected, and reason (null where nothing changed)."""
-    voted = votes(df)
+    voted = votes(df, words)
     both = voted.crossJoin(F.broadcast(evidence(voted).select("prior")))  # one row of one flag
     k = F.col("keyword")
     zero = (F.col("it_score") == 0) & (F.col("engine_score") == 0)
@@ -56,11 +86,11 @@ def correct(df: DataFrame) -> DataFrame:
         .when(F.col("prior") & zero & morphology(k), "morphology").when(F.col("prior") & zero & shape(k), "shape")
     )
     out = both.withColumn("reason", reason)
-    w = intent_weights(k, F.col("serp_features"), None, L.IT_MARKERS, L.IT_PRONOUNS)
+    w = intent_weights(k, F.col("serp_features"), None, words.markers, words.pronouns)
     padded = F.concat(F.lit(" "), k, F.lit(" "))
     fired = (
-        F.substring_index(k, " ", 1).isin(*L.IT_PRONOUNS) | X.has_any(k, L.IT_MARKERS["transactional"]) | X.has_any(padded, [f" {m} " for m in L.IT_MARKERS["commercial"]])
-        | X.has_any(k, L.IT_MARKERS["navigational"]) | F.arrays_overlap(X.words(k), _array(L.IT_MARKERS["informational"]))
+        F.substring_index(k, " ", 1).isin(*words.pronouns) | X.has_any(k, words.markers["transactional"]) | X.has_any(padded, [f" {m} " for m in words.markers["commercial"]])
+        | X.has_any(k, words.markers["navigational"]) | F.arrays_overlap(X.words(k), _array(words.markers["informational"]))
     )
     changed = F.col("reason").isNotNull()
     sure = F.when(F.col("reason") == "vote", F.least(F.lit(1.0), 0.5 + 0.15 * F.col("it_score"))).otherwise(PRIOR_CONFIDENCE)

@@ -178,7 +178,7 @@ def scores(df: DataFrame, config: Config = Config()) -> DataFrame:
     return df.withColumns({
         "score_main": F.round(main, 1), "confidence_main": F.round(sure, 3),
         "score_quick_win": F.when(wins, F.round(quick, 1)).otherwise(0.0), "confidence_quick_win": F.when(wins, 0.85).otherwise(0.0),
-        "score_strategic": F.round(strategic, 1), "score_aeo": F.round(defence, 1),
+        "score_strategic": F.round(strategic, 1), "confidence_strategic": F.lit(0.80), "score_aeo": F.round(defence, 1), "confidence_aeo": F.lit(0.80),
     }).withColumn("action", action())
 
 

@@ -51,3 +51,32 @@ def action_histogram(df: DataFrame) -> DataFrame:
 
 def top(df: DataFrame, score: str, n: int = 20) -> DataFrame:
     return df.orderBy(F.col(score).desc(), "kw_idx").select("kw_idx", "keyword", score).limit(n)
+
+
+# The format that suits an intent.
+FORMAT_BY_INTENT = {
+    "informational": "guide or explainer article",
+    "commercial_investigation": "comparison or review page",
+    "transactional": "product or category page",
+    "navigational": "brand or destination page",
+}
+
+
+def briefs(df: DataFrame, clusters: DataFrame, membership: DataFrame, secondaries: int = 5, questions: int = 6) -> DataFrame:
+    """cluster_index, head, size, volume_total, intent, format, action, primary, secondaries, questions (joined by a bar).
+
+    The primary keyword has the most volume (the first of equals), secondaries follow it without repeats; questions are in
+    the corpus's order; the action is that of most members (the first seen of equals).
+    """
+    rows = df.select("kw_idx", "keyword", F.coalesce("volume", F.lit(0)).alias("v"), "question_shape", "action").join(membership, "kw_idx")
+    distinct = rows.groupBy("cluster_index", "keyword").agg(F.max("v").alias("v"), F.min_by("kw_idx", F.struct(-F.col("v"), F.col("kw_idx"))).alias("at"), F.min(F.when(F.col("question_shape"), F.col("kw_idx"))).alias("asked"))
+    by_volume = distinct.withColumn("r", F.row_number().over(Window.partitionBy("cluster_index").orderBy(F.col("v").desc(), "at"))).where(F.col("r") <= 1 + secondaries)
+    listed = lambda order: F.transform(F.array_sort(F.collect_list(F.struct(order, "keyword"))), lambda x: x["keyword"])
+    best = by_volume.groupBy("cluster_index").agg(F.min_by("keyword", "r").alias("primary"), F.array_join(F.slice(listed("r"), 2, secondaries), "|").alias("secondaries"))
+    asked = distinct.where("asked is not null").withColumn("q", F.row_number().over(Window.partitionBy("cluster_index").orderBy("asked"))).where(F.col("q") <= questions)
+    asked = asked.groupBy("cluster_index").agg(F.array_join(listed("q"), "|").alias("questions"))
+    by_action = rows.groupBy("cluster_index", "action").agg(F.count("*").alias("n"), F.min("kw_idx").alias("first"))
+    action = by_action.groupBy("cluster_index").agg(F.max_by("action", F.struct("n", -F.col("first"))).alias("action"))
+    form = F.create_map(*(F.lit(x) for kv in FORMAT_BY_INTENT.items() for x in kv))
+    out = clusters.select("cluster_index", "head", "size", "volume_total", F.col("dominant_intent").alias("intent")).join(best, "cluster_index").join(action, "cluster_index").join(asked, "cluster_index", "left")
+    return out.withColumn("questions", F.coalesce("questions", F.lit(""))).withColumn("format", F.coalesce(F.element_at(form, F.col("intent")), F.lit("article")))

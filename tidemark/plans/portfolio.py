@@ -12,6 +12,7 @@ from ..operators import entities as E
 from ..operators import fanout as O
 from ..operators import pulse as P
 from ..operators import summary as S
+from ..sources import reports
 from . import bindings as B
 from . import modules as M
 from . import sql as Q
@@ -156,3 +157,32 @@ _EXCEPT = "array_to_string(list_sort(list_distinct(list_filter({}, lambda k: not
 def gap_changes(spark, sf):
     base, current = (S.gaps(df, B.CLIENT) for df in _runs(spark, sf))
     return R.gap_changes(base, current)
+
+
+_BRIEF = f"""bi as (select cluster_index, arg_max(query_type, n * 1000000000 - first) as intent, cast(sum(n) as bigint) as size, cast(sum(v) as bigint) as volume_total from (select cluster_index, query_type, count(*) as n, min(kw_idx) as first, sum(coalesce(volume, 0)) as v from mb join ac using (kw_idx) group by 1, 2) x group by 1),
+ba as (select cluster_index, arg_max(action, n * 1000000000 - first) as action from (select cluster_index, action, count(*) as n, min(kw_idx) as first from mb join ac using (kw_idx) group by 1, 2) x group by 1),
+bd as (select cluster_index, keyword, max(coalesce(volume, 0)) as v, arg_max(kw_idx, coalesce(volume, 0) * 1000000000 - kw_idx) as seen, min(kw_idx) filter (question_shape) as asked from mb join ac using (kw_idx) group by 1, 2),
+br as (select *, row_number() over (partition by cluster_index order by v desc, seen) as r, row_number() over (partition by cluster_index order by asked nulls last) as q from bd),
+bp as (select cluster_index, arg_min(keyword, r) as "primary", coalesce(string_agg(keyword, '|' order by r) filter (r between 2 and 6), '') as secondaries, coalesce(string_agg(keyword, '|' order by q) filter (asked is not null and q <= 6), '') as questions from br group by 1)"""
+
+
+@query(Q.chain(_BRIEF) + f"select cluster_index, head, bi.size, bi.volume_total, intent, action, \"primary\", secondaries, questions, {Q.case('intent', {k: Q.q(v) for k, v in S.FORMAT_BY_INTENT.items()}, Q.q('article'))} as format from cl join bi using (cluster_index) join ba using (cluster_index) join bp using (cluster_index)")
+def cluster_briefs(spark, sf):
+    df, clusters, membership = clustered(spark, sf)
+    return S.briefs(df, C.describe(clusters.select("cluster_index", "head"), membership, df), membership)
+
+
+_YES = "case when {} then 'yes' else '' end".format
+_FULL = {
+    "keyword": "keyword", "keyword_original": "null", "source": "source", "language": "language", "country": "null", "volume": "volume", "difficulty": "difficulty", "cpc": "null", "position": "position", "serp_features": "array_to_string(serp_features, ',')",
+    "traffic_potential": "null", "clicks": "clicks", "impressions": "impressions", "ctr": "null", "intent_query_type": "query_type", "intent_funnel_stage": Q.case("query_type", {k: Q.q(v) for k, v in L.FUNNEL.items()}, "null"), "intent_modality": "modality",
+    "intent_temporal": "temporal", "cluster_head": "coalesce(head, '')", "cluster_size": "coalesce(sz, 0)", "aio_eligibility": "aio_label", "geo_opportunity": "geo_label", "quick_win_flag": _YES("wins"), "striking_distance_flag": "case when strikes then striking else '' end",
+    "branded_flag": _YES("branded"), "question_flag": _YES("question_shape"), "paa_flag": _YES("paa"), "seasonality_class": "seasonality", "long_tail_flag": "long_tail", "score_main": "score_main", "score_quick_win": "score_quick_win", "score_strategic": "score_strategic",
+    "score_aeo_defensive": "score_aeo", "confidence_main": "confidence_main", "confidence_quick_win": "case when wins then 0.85 else 0.0 end", "confidence_strategic": "0.8", "confidence_aeo_defensive": "0.8", "recommended_action_class": "action", "source_file": "null", "source_row": "null",
+}
+
+
+@query(Q.chain() + "select " + ", ".join(f"{v} as {k}" for k, v in _FULL.items()) + " from ac left join mb using (kw_idx) left join (select cluster_index, head, size as sz from cl) c using (cluster_index)")
+def enriched_full(spark, sf):
+    df, clusters, membership = clustered(spark, sf)
+    return reports.enriched(df, C.describe(clusters.select("cluster_index", "head"), membership, df), membership).withColumn("confidence_quick_win", F.round("confidence_quick_win", 4))

@@ -67,13 +67,17 @@ def file_checks(path: Path) -> list[tuple]:
 
 
 def ragged(spark: SparkSession, path: Path) -> DataFrame:
-    """Rows whose number of cells isn't the header's (row, cells, expected): separators outside quotes, by line."""
+    """Rows whose number of cells isn't the header's (row, cells, expected).
+
+    The file is parsed as the scan parses it, as one ordered unit: quoted cells may span lines, and rows count as there.
+    """
     s = exports.sniff(path)
-    encoding = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-8": "UTF-8", "iso-8859-1": "ISO-8859-1"}[s.encoding]
-    lines = spark.read.option("encoding", encoding).text(str(path)).withColumn("row", F.monotonically_increasing_id() + 1)
-    bare = F.regexp_replace("value", r'"[^"]*"', "")
+    schema = ", ".join(f"c{k} string" for k in range(len(s.headers))) + ", broken string"
+    rows = exports.reader(spark, s).schema(schema).option("columnNameOfCorruptRecord", "broken").csv(str(path)).withColumn("row", F.monotonically_increasing_id() + 2)
+    bare = F.regexp_replace("broken", r'"[^"]*"', "")
     cells = F.length(bare) - F.length(F.replace(bare, F.lit(s.separator), F.lit(""))) + 1
-    return lines.where((F.trim("value") != "") & (F.col("row") > 1) & (cells != len(s.headers))).select(F.col("row").cast("int").alias("row"), cells.alias("cells"), F.lit(len(s.headers)).alias("expected"))
+    held = F.length(F.concat_ws("", "c0", "broken")) > 0  # names another column too, as the reader refuses a scan of the broken one alone
+    return rows.where(F.col("broken").isNotNull() & (F.trim("broken") != "") & held).select(F.col("row").cast("int").alias("row"), cells.alias("cells"), F.lit(len(s.headers)).alias("expected"))
 
 
 def audit(spark: SparkSession, inputs, brands=(), client_domain: str = "") -> DataFrame:

@@ -82,7 +82,8 @@ def sniff(path: str | Path) -> Sniffed:
     path = Path(path)
     if path.stat().st_size > MOST_BYTES:
         raise SourceError(f"{path}: over {MOST_BYTES} bytes")
-    raw = path.read_bytes()[: 1 << 20]
+    with path.open("rb") as f:
+        raw = f.read(1 << 20)
     encoding = encoding_of(raw[:SNIFF_BYTES])
     lines = raw.decode(encoding, "replace").splitlines()
     if not lines or not lines[0].strip():
@@ -124,14 +125,19 @@ def show_mapping(spark: SparkSession, paths) -> DataFrame:
     return spark.createDataFrame(rows, "file string, tool string, header string, field string")
 
 
-def raw_rows(spark: SparkSession, s: Sniffed) -> DataFrame:
-    """The file's cells as strings, with source_row (the header is row 1). One file is one ordered read."""
+def reader(spark: SparkSession, s: Sniffed):
+    """A CSV reader of the file's dialect. A multi-line file is read by one task from start to end, so that row ids count its rows."""
     encoding = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-8": "UTF-8", "iso-8859-1": "ISO-8859-1"}[s.encoding]
-    names = [f"c{k}" for k in range(len(s.headers))]
-    schema = ", ".join(f"{n} string" for n in names)
-    reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("sep", s.separator).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", encoding)
-    # a multi-line file is read by one task from start to end, so that this id counts its rows
-    return reader.csv(s.path).withColumn("source_row", F.monotonically_increasing_id() + 2)
+    return spark.read.option("header", True).option("enforceSchema", True).option("sep", s.separator).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", encoding)
+
+
+def raw_rows(spark: SparkSession, s: Sniffed) -> DataFrame:
+    """The file's cells as strings, with source_row (the header is row 1); a file without rows is an error."""
+    schema = ", ".join(f"c{k} string" for k in range(len(s.headers)))
+    rows = reader(spark, s).schema(schema).csv(s.path)
+    if not rows.limit(1).count():
+        raise SourceError(f"{s.path}: no rows")
+    return rows.withColumn("source_row", F.monotonically_increasing_id() + 2)
 
 
 def _field(s: Sniffed, mapping: dict[str, str], name: str) -> Column:

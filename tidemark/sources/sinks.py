@@ -83,10 +83,12 @@ def load_state(path: str) -> dict:
 
 
 def md_table(df: DataFrame, most: int = 50) -> str:
-    """A Markdown table of the first rows (a report's top list)."""
+    """A Markdown table of the first rows (a report's top list); a last line says so where there are more."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in df.limit(most).collect())])
+    rows = df.limit(most + 1).collect()
+    more = [f"\nOnly the first {most} rows are listed."] if len(rows) > most else []
+    return "\n".join([*lines, *("| " + " | ".join(map(cell, r)) + " |" for r in rows[:most]), *more])
 
 
 def report(title: str, sections: dict[str, DataFrame], pinned_at: str) -> str:
@@ -110,8 +112,10 @@ def dashboard(title: str, sections: dict[str, DataFrame], charts: dict[str, list
     style = f"body{{font-family:{brand.get('font_family', 'sans-serif')};color:{brand.get('colors', {}).get('text', '#222222')}}}rect{{fill:{brand.get('colors', {}).get('primary', '#336699')}}}td,th{{padding:2px 8px;text-align:left}}"
     parts = [f"<h2>{html.escape(n)}</h2>{bar_chart(v)}" for n, v in charts.items()]
     for name, df in sections.items():
-        rows = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in df.limit(50).collect())
-        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>{rows}</table>")
+        listed = df.limit(51).collect()
+        rows = "".join("<tr>" + "".join(f"<td>{'' if v is None else html.escape(str(v))}</td>" for v in r) + "</tr>" for r in listed[:50])
+        more = "<p>Only the first 50 rows are listed.</p>" if len(listed) > 50 else ""
+        parts.append(f"<h2>{html.escape(name)}</h2><table><tr>{''.join(f'<th>{html.escape(c)}</th>' for c in df.columns)}</tr>{rows}</table>{more}")
     return f'<!doctype html><html><head><meta charset="utf-8"><title>{html.escape(title)}</title><style>{style}</style></head><body><h1>{html.escape(title)}</h1>{"".join(parts)}</body></html>\n'
 
 
@@ -120,18 +124,11 @@ def json_island(data) -> str:
     return json.dumps(data, sort_keys=True).replace("<", "\\u003c")
 
 
-def manifest(folder: str, skipped: dict[str, str] | None = None) -> dict:
-    """Bytes and digest of each artefact, and why formats are missing."""
+def manifest(folder: str, skipped: dict[str, str] | None = None, brand: dict | None = None) -> dict:
+    """Bytes and digest of each artefact, why formats are missing, and a digest of the brand they were drawn with."""
     files = sorted(p for p in Path(folder).iterdir() if p.is_file())
-    return {"files": [{"name": p.name, "bytes": p.stat().st_size, "sha256": hashlib.sha256(p.read_bytes()).hexdigest()} for p in files], "skipped": dict(sorted((skipped or {}).items()))}
-
-
-def office_formats() -> dict[str, str]:
-    """Reasons why Office outputs are not written here; empty where their libraries are."""
-    import importlib.util
-
-    need = {"xlsx": "openpyxl", "docx": "docx", "pptx": "pptx"}
-    return {k: f"{v} is not installed" for k, v in need.items() if importlib.util.find_spec(v) is None}
+    own = hashlib.sha256(json.dumps(brand or {}, sort_keys=True).encode()).hexdigest()
+    return {"files": [{"name": p.name, "bytes": p.stat().st_size, "sha256": hashlib.sha256(p.read_bytes()).hexdigest()} for p in files], "skipped": dict(sorted((skipped or {}).items())), "brand_sha256": own}
 
 
 def normalise_zip(data: bytes) -> bytes:
@@ -141,19 +138,3 @@ def normalise_zip(data: bytes) -> bytes:
         for name in sorted(a.namelist()):
             b.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), a.read(name), zipfile.ZIP_DEFLATED)
     return out.getvalue()
-
-
-def write_xlsx(sheets: dict[str, DataFrame], path: str) -> None:
-    """A workbook, where openpyxl is installed; otherwise ImportError says so."""
-    import openpyxl
-
-    book = openpyxl.Workbook()
-    book.remove(book.active)
-    for name, df in sheets.items():
-        sheet = book.create_sheet(name[:31])
-        sheet.append(df.columns)
-        for row in flat(df).limit(10_000).collect():
-            sheet.append(list(row))
-    raw = io.BytesIO()
-    book.save(raw)
-    Path(path).write_bytes(normalise_zip(raw.getvalue()))
