@@ -72,8 +72,7 @@ def stem(token: Column, lang: str) -> Column:
 def stems(keyword: Column, lang: Column) -> Column:
     """Stems of tokens that are no stop words and have three letters."""
     def of(code):
-        stops = F.array(*(F.lit(w) for w in L.STOP_WORDS[code]))
-        return F.transform(F.filter(words(keyword), lambda t: (F.length(t) >= 3) & ~F.array_contains(stops, t)), lambda t: stem(t, code))
+        return F.transform(F.filter(words(keyword), lambda t: (F.length(t) >= 3) & ~t.isin(*L.STOP_WORDS[code])), lambda t: stem(t, code))
 
     return by_language(lang, of)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import numeric as N
+from .clusters import settle
 
 ANSWER_LABELS = ("question", "question_and_paa", "paa_only")
 
@@ -45,7 +46,7 @@ def readiness(signals: DataFrame, authority: DataFrame | None = None, coverage:
         "eligibility": F.col("eligibility"), "query_family": F.col("coverage"), "entity_coverage": F.col("authority"), "extractability": F.col("extractability"),
         "structured_demand": F.col("structured_demand"), "freshness": freshness(F.col("state")),
     })
-    df = df.select("cluster_index", score.alias("readiness"), "demand").withColumn("w", F.col("readiness") * F.col("demand"))
+    df = settle(df.select("cluster_index", score.alias("readiness"), "demand").withColumn("w", F.col("readiness") * F.col("demand")))  # one row a cluster, read twice below
     total = df.agg(F.sum("w").alias("total"))
     shared = df.crossJoin(F.broadcast(total))  # one row of one number
     return shared.select("cluster_index", "readiness", F.when(F.col("total") > 0, F.round(100 * F.col("w") / F.col("total"), 4)).otherwise(0.0).alias("expected_share"))

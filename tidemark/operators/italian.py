@@ -48,8 +48,8 @@ def _array(words) -> Column:
 
 def votes(df: DataFrame, words: Gazetteer = Gazetteer()) -> DataFrame:
     """it_score and engine_score of each keyword (keyword, language, language_confidence)."""
-    cues = _array(sorted({*words.cues, *words.pronouns}))
-    it = F.size(F.filter(X.words(F.col("keyword")), lambda t: F.array_contains(cues, t))) + F.when(F.col("keyword").rlike(f"[{L.IT_DIACRITICS}]"), 2).otherwise(0)
+    cues = sorted({*words.cues, *words.pronouns})
+    it = F.size(F.filter(X.words(F.col("keyword")), lambda t: t.isin(*cues))) + F.when(F.col("keyword").rlike(f"[{L.IT_DIACRITICS}]"), 2).otherwise(0)
     engine = F.when(F.col("language_confidence") < 0.5, 0).otherwise(F.bround((F.col("language_confidence") - 0.5) / 0.15, 0).cast("int"))
     return df.withColumns({"it_score": it, "engine_score": engine})
 

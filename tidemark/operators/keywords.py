@@ -47,11 +47,10 @@ def _pick(pairs: list[tuple[str, Column]]) -> Column:
 
 def language(df: DataFrame) -> DataFrame:
     """language, language_confidence: letters count two votes, stop words one each."""
-    token = X.words(F.col("keyword"))
+    df = df.withColumn("_words", X.words(F.col("keyword")))  # split once for all languages
 
     def votes(code):
-        stop = F.array(*(F.lit(w) for w in L.STOP_WORDS[code]))
-        n = F.size(F.filter(token, lambda t: F.array_contains(stop, t)))
+        n = F.size(F.filter("_words", lambda t: t.isin(*L.STOP_WORDS[code])))  # a hash set, as whole texts are voted on too
         return n + F.when(F.col("keyword").rlike(f"[{L.LANGUAGE_CHARS[code]}]"), 2).otherwise(0) if code in L.LANGUAGE_CHARS else n
 
     df = df.withColumns({f"_v_{c}": votes(c) for c in L.LANGUAGES})
@@ -59,7 +58,7 @@ def language(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "language": _pick([(c, F.col(f"_v_{c}")) for c in L.LANGUAGES]),  # without a vote, the first
         "language_confidence": F.when(best == 0, 0.4).otherwise(F.least(F.lit(1.0), 0.5 + best * 0.15)),
-    }).drop(*(f"_v_{c}" for c in L.LANGUAGES))
+    }).drop("_words", *(f"_v_{c}" for c in L.LANGUAGES))
 
 
 def intent_weights(keyword: Column, features: Column, raw: Column, markers: dict, pronouns: list[str]) -> dict[str, Column]:
