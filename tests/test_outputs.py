@@ -30,7 +30,7 @@ def run(spark, tmp_path_factory):
 def test_report_has_its_sections(run):
     text = reports.report(run.keywords, run.clusters, AT, "label", "client.example")
     heads = [x[3:] for x in text.splitlines() if x.startswith("## ")]
-    assert text.startswith("# Keyword intelligence report") and heads == [
+    assert text.startswith("# Keyword report") and heads == [
         "Engagement context", "Corpus summary", "Composite scoring distribution", "Top opportunities", "Recommended actions", "Cluster analysis", "Gap analysis", "AIO and GEO routing", "Methodology and parameters",
     ]
     assert "Total keywords in canonical corpus: 5" in text

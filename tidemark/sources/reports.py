@@ -105,7 +105,7 @@ def report(keywords: DataFrame, clusters: DataFrame, pinned_at: str, label: str
     largest = clusters.orderBy(F.col("volume_total").desc(), "cluster_index").select("cluster_index", "head", "size", "volume_total", "dominant_intent").limit(30)
     listed = [f"### {g}\n\n{whole(x['count'])} keywords" + (f"; first {len(x['samples'])} listed\n\n" if x["count"] > len(x["samples"]) else "\n\n") + "\n".join(f"- {cut(k)}" for k in x["samples"]) for g, x in f["gaps"].items()]
     parts = [
-        "# Keyword intelligence report",
+        "# Keyword report",
         section("Engagement context", f"- Engagement label: `{label or '(no label)'}`\n- Run timestamp: {pinned_at}\n- Client domain: {client or '(not set)'}\n- Source tools: {', '.join(sorted(f['by_source']))}\n- Languages observed: {', '.join(sorted(f['by_language'])) or 'n/a'}\n- Methodology version: {METHODOLOGY}"),
         section("Corpus summary", f"**Demand Opportunity Score: {f['demand_opportunity_score']:.1f} / 100.**", f"Total keywords in canonical corpus: {whole(f['total_keywords'])}", *(f"### Distribution by {n}\n\n{_bars(list(f['by_' + n].items()))}" for n in ("source", "language", "intent"))),
         section("Composite scoring distribution", *spread), section("Top opportunities", *best), section("Recommended actions", _bars(list(f["by_action"].items()))),
