@@ -43,7 +43,7 @@ def plain(v):
 
 
 FAST = ["canonical_records", "keyword_language", "text_language", "intent_vector", "composite_scores", "demand_opportunity_score", "keyword_gaps", "parent_clusters", "entity_extract", "mann_kendall", "theil_sen", "citation_shares", "sibling_heads", "bm25_scores", "keyword_bands", "audit_rows", "italian_forms", "difficulty_scale",
-        "corrected_language", "norm_keys", "observed_clicks", "unmatched_queries", "month_unpivot", "stems_of_texts", "entity_gaps", "gap_heads", "top_opportunities", "reanchored_bands", "citation_checklist", "intent_shift", "gap_changes", "dominant_language", "citation_readiness", "demand_states"]
+        "corrected_language", "norm_keys", "observed_clicks", "unmatched_queries", "month_unpivot", "stems_of_texts", "entity_gaps", "gap_heads", "top_opportunities", "reanchored_bands", "citation_checklist", "intent_shift", "gap_changes", "dominant_language", "citation_readiness", "demand_states", "fan_out", "gatekeepers"]
 
 
 @pytest.mark.parametrize("name", FAST)
@@ -191,6 +191,30 @@ def test_hot_stems_pair_only_plain_sets(spark):
     assert got == {(a, b): share(a, b) for a in sets for b in sets if share(a, b) >= 0.6}
 
 
+@pytest.mark.parametrize(("hot", "many"), [(200, 8), (2, 8), (2, 1)])
+def test_siblings_equal_brute_force(spark, monkeypatch, hot, many):
+    """Paired by shared tokens, by sets of hot tokens, or (heads of many hot ones) by each hot token: the same siblings."""
+    monkeypatch.setattr(O, "MANY", many)
+    rnd = random.Random(5)
+    words = [f"w{c}" for c in "abcdefghijkl"]
+    heads = [" ".join(rnd.choices(words, [40, 20, 10, 8, 5, 4, 3, 2, 1, 1, 1, 1], k=rnd.randint(1, 4))) for _ in range(70)] + ["", "?", None]
+    df = spark.createDataFrame(list(enumerate(heads)), "cluster_index long, head string")
+    got = {(r.cluster_index, r["rank"]): (r.sibling, round(r.jaccard, 9)) for r in O.siblings(df, hot=hot).collect()}
+    sets = [set((h or "").split()) - {"?"} for h in heads]
+    want = {}
+    for a, s in enumerate(sets):
+        near = sorted((-len(s & t) / len(s | t), heads[b], b) for b, t in enumerate(sets) if s & t and s != t)[:3]
+        want |= {(a, k): (h, round(-j, 9)) for k, (j, h, _) in enumerate(near, 1)}
+    assert got == want
+
+
+def test_numbers_follow_the_order(spark):
+    at = random.Random(1).sample(range(1000), 60)
+    df = C.settle(spark.createDataFrame([(x,) for x in at], "at long"))
+    for found in (C.numbered(df, "at", "n", bits=4), C.numbered_by_range(df, "at", "n")):
+        assert sorted((r.n, r.at) for r in found.collect()) == list(enumerate(sorted(at)))
+
+
 def test_bm25_and_coverage(spark):
     docs = spark.createDataFrame([(0, 0, "running shoes"), (0, 1, "trail shoes"), (0, 2, "dog food")], "cluster_index long, kw_idx long, keyword string")
     q = spark.createDataFrame([(0, "shoes", "shoes", "related"), (0, "dog", "dog", "implicit"), (0, "cat", "cat", "recent")], "cluster_index long, query string, norm string, archetype string")

@@ -39,12 +39,32 @@ def settle(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, at: str, name: str, bits: int = 20) -> DataFrame:
+    """Consecutive numbers from 0 by the distinct non-negative whole numbers `at`, counted within blocks of 2^bits of these.
+
+    Only the blocks' totals, one row for 2^bits values, are ordered in one task.
+    """
+    return _by_block(df.withColumn("_block", F.shiftright(F.col(at).cast("long"), bits)), at, name)
+
+
+def numbered_by_range(df: DataFrame, at: str, name: str) -> DataFrame:
+    """Consecutive numbers from 0 by any distinct sortable values, counted within ranges of these; df should be stored."""
+    return _by_block(settle(df.repartitionByRange(F.col(at)).withColumn("_block", F.spark_partition_id())), at, name)
+
+
+def _by_block(dealt: DataFrame, at: str, name: str) -> DataFrame:
+    """Numbers within ascending blocks, after the rows of the blocks before."""
+    totals = dealt.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = totals.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # one row a block
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_block").orderBy(at)))
+    return own.join(before, "_block").withColumn(name, (F.col("_before") + F.col("_own") - 1).cast("long")).drop("_block", "_own", "_before")
+
+
 def parent_clusters(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(clusters, membership) of the parent topics, numbered by first appearance. df: kw_idx, keyword, volume, parent_topic."""
     own = df.where("parent_topic is not null and parent_topic <> ''").select("parent_topic", "kw_idx", "keyword", F.coalesce("volume", F.lit(0)).alias("v"))
     heads = own.groupBy("parent_topic").agg(F.min("kw_idx").alias("first"), F.max_by(F.struct("kw_idx", "keyword"), F.struct("v", -F.col("kw_idx"))).alias("h"))
-    numbered = heads.withColumn("cluster_index", (F.row_number().over(Window.orderBy("first")) - 1).cast("long"))  # one row a topic
-    clusters = numbered.select("cluster_index", F.col("h.keyword").alias("head"), F.col("h.kw_idx").alias("head_idx"), "parent_topic", F.lit(0.95).alias("confidence"))
+    clusters = numbered(heads, "first", "cluster_index").select("cluster_index", F.col("h.keyword").alias("head"), F.col("h.kw_idx").alias("head_idx"), "parent_topic", F.lit(0.95).alias("confidence"))
     membership = own.select("parent_topic", "kw_idx").join(clusters.select("parent_topic", "cluster_index"), "parent_topic").select("kw_idx", "cluster_index")
     return clusters, membership
 
@@ -92,10 +112,9 @@ def leader_clusters(df: DataFrame, overlap: float = 0.60) -> tuple[DataFrame, Da
         left = open_.select("set")
         edges = settle(edges.join(left.select(F.col("set").alias("s")), "s", "left_semi").join(left.select(F.col("set").alias("h")), "h", "left_semi"))
     seeds_n = seeds.count()
-    numbered = heads.withColumn("cluster_index", F.row_number().over(Window.orderBy("at")) - 1 + F.lit(seeds_n).cast("long"))  # one row a head
-    numbered = settle(numbered)
-    made = numbered.join(free.select("kw_idx", "keyword"), F.col("at.i") == F.col("kw_idx")).select("cluster_index", F.col("keyword").alias("head"), F.col("kw_idx").alias("head_idx"), F.lit(None).cast("string").alias("parent_topic"), F.lit(0.7).alias("confidence"))
-    all_heads = seed_heads.withColumn("at", F.struct(F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("i"))).unionByName(numbered.select("set", "cluster_index", "at"))
+    indexed = settle(numbered_by_range(heads, "at", "cluster_index").withColumn("cluster_index", F.col("cluster_index") + F.lit(seeds_n).cast("long")))
+    made = indexed.join(free.select("kw_idx", "keyword"), F.col("at.i") == F.col("kw_idx")).select("cluster_index", F.col("keyword").alias("head"), F.col("kw_idx").alias("head_idx"), F.lit(None).cast("string").alias("parent_topic"), F.lit(0.7).alias("confidence"))
+    all_heads = seed_heads.withColumn("at", F.struct(F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("i"))).unionByName(indexed.select("set", "cluster_index", "at"))
     near = settle(_candidates(distinct, all_heads.select("set").distinct(), overlap)).join(all_heads.select(F.col("set").alias("h"), "cluster_index", F.col("at").alias("ha")), "h")
     ranked = free.select("kw_idx", F.col("set").alias("s"), "at").join(near, "s").where("ha.i is null or ha <= at")
     best = ranked.groupBy("kw_idx").agg(F.max_by("cluster_index", F.struct("overlap", -F.col("cluster_index"))).alias("cluster_index"))

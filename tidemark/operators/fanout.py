@@ -7,19 +7,39 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from .clusters import settle
 
 K1, B = 1.2, 0.75
 ARCHETYPES = ("related", "implicit", "comparative", "recent", "personalized", "reformulation", "entity_expanded")
 MOST = 12
+#: Heads of one token that are all paired with each other, and hot tokens of a head whose sets are all formed.
+HOT, MANY = 200, 8
 
 
-def siblings(heads: DataFrame, top: int = 3) -> DataFrame:
-    """(cluster_index, sibling, jaccard, rank): the heads most alike, but not equal, by shared tokens. heads: cluster_index, head."""
-    h = heads.select("cluster_index", "head", F.array_distinct(X.tokens(F.col("head"))).alias("t"))
-    a = h.select("cluster_index", F.size("t").alias("na"), F.explode("t").alias("token"))
-    b = h.select(F.col("cluster_index").alias("other"), F.col("head").alias("sibling"), F.size("t").alias("nb"), F.explode("t").alias("token"))
-    both = a.join(b, "token").where("cluster_index <> other").groupBy("cluster_index", "other", "sibling", "na", "nb").agg(F.count("*").alias("n"))
-    alike = both.select("cluster_index", "other", "sibling", (F.col("n") / (F.col("na") + F.col("nb") - F.col("n"))).alias("jaccard")).where("jaccard < 1")
+def siblings(heads: DataFrame, top: int = 3, hot: int = HOT) -> DataFrame:
+    """(cluster_index, sibling, jaccard, rank): the heads most alike, but not equal, by shared tokens. heads: cluster_index, head.
+
+    Heads that share a token of at most `hot` heads are paired by it. Heads that share only hotter ones meet on the set of
+    these: among the heads that hold a set, the shortest are most alike, so that 2 * top of them are enough, if at most `top`
+    have the same tokens (those equal to a head aren't its siblings). Heads of over MANY hot tokens are paired by each of them.
+    """
+    t = heads.select("cluster_index", "head", F.explode(F.array_distinct(X.tokens(F.col("head")))).alias("token"))
+    common = t.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("token", F.lit(True).alias("hot"))
+    listed = lambda c: F.array_sort(F.collect_list(c))
+    h = settle(t.join(common, "token", "left").groupBy("cluster_index", "head").agg(listed("token").alias("set"), listed(F.when(F.col("hot"), F.col("token"))).alias("hs")))
+    a, b = h.select("cluster_index", F.col("set").alias("s"), "hs"), h.select(F.col("cluster_index").alias("other"), F.col("head").alias("sibling"), F.col("set").alias("o"), "hs")
+    each = lambda df, tokens: df.withColumn("token", F.explode(tokens)).drop("hs")
+    rare, broad = F.array_except(F.col("s"), "hs"), F.size("hs") > MANY
+    pairs = each(a, rare).join(each(b, F.array_except(F.col("o"), "hs")), "token")
+    pairs = pairs.unionByName(each(a.where(broad), "hs").join(each(b, "hs"), "token")).unionByName(each(a, "hs").join(each(b.where(broad), "hs"), "token")).drop("token")
+    subsets = F.explode(F.expr("transform(sequence(1, shiftleft(1, size(hs)) - 1), m -> filter(hs, (x, i) -> shiftright(m, i) % 2 = 1))"))
+    some = (F.size("hs") > 0) & ~broad
+    held = b.where(some).select("other", "sibling", "o", subsets.alias("key"))
+    first = held.withColumn("r", F.row_number().over(Window.partitionBy("key", "o").orderBy("sibling", "other"))).where(F.col("r") <= top)
+    few = first.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.size("o"), "sibling", "other"))).where(F.col("r") <= 2 * top).drop("r")  # group limits, cut before the shuffle
+    pairs = pairs.unionByName(a.where(some).select("cluster_index", "s", subsets.alias("key")).join(few, "key").drop("key"))
+    n = F.size(F.array_intersect("s", "o"))
+    alike = pairs.dropDuplicates(["cluster_index", "other"]).select("cluster_index", "other", "sibling", (n / (F.size("s") + F.size("o") - n)).alias("jaccard")).where("jaccard < 1")
     order = Window.partitionBy("cluster_index").orderBy(F.col("jaccard").desc(), "sibling", "other")
     return alike.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("cluster_index", "sibling", "jaccard", "rank")
 

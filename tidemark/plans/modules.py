@@ -270,34 +270,55 @@ def query_coverage(spark, sf):
     return O.coverage(queries, O.bm25(queries, docs))[1]
 
 
-@query()
-def fan_out(spark, sf):
-    """Generated sub-queries with their coverage; order-dependent generation, tested on fixtures."""
+_TERMS3 = f"""ft_a as (select cluster_index, kw_idx, unnest(t) as term, unnest(range(len(t))) as p from dc), ft_b as (select cluster_index, term, count(*) as n, min(kw_idx * 1000 + p) as first from ft_a group by 1, 2),
+ft as (select *, row_number() over (partition by cluster_index order by n desc, first) as rank from ft_b where not exists (select 1 from hx where hx.cluster_index = ft_b.cluster_index and hx.token = ft_b.term))"""
+
+
+@query(Q.chain(_SIB, _BM, _TERMS3) + "select cluster_index, term, rank from ft where rank <= 3")
+def frequent_member_terms(spark, sf):
     df, clusters, membership = clustered(spark, sf)
-    docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
-    made = C.settle(O.sub_queries(C.settle(clusters), docs))
-    queries = made.select("cluster_index", F.col("norm").alias("query"), "norm", "archetype")
-    return O.coverage(queries, O.bm25(queries, docs))[0]
+    return O.frequent_terms(membership.join(df.select("kw_idx", "keyword"), "kw_idx"), clusters).select("cluster_index", "term", F.col("rank").cast("long"))
 
 
-@query()
-def gatekeepers(spark, sf):
-    """Central sub-queries that no keyword with demand targets."""
+_YEAR = 2026
+_SWAPS = ", ".join(f"({Q.q(w)}, {k}, {Q.q(o)})" for w, others in L.SYNONYMS.items() for k, o in enumerate(others))
+_ASKED = f"""fo_a as (select cluster_index, 0 as a, rank as pos, concat(head, ' ', term) as text from ft join hd using (cluster_index) where rank <= 3
+ union all select cluster_index, 1, p, concat(w, ' ', head) from hd, (values (0, 'what'), (1, 'why'), (2, 'how'), (3, 'when')) x(p, w)
+ union all select cluster_index, 2, rank, concat(head, ' vs ', sibling) from sb join hd using (cluster_index) where rank <= 3
+ union all select cluster_index, 3, p, concat(head, ' ', y) from hd, (values (0, {_YEAR}), (1, {_YEAR + 1}), (2, {_YEAR - 1})) x(p, y)
+ union all select cluster_index, 5, (i - 1) * 100 + k, array_to_string(list_transform(t, lambda x, j: case when j = i then s else x end), ' ')
+  from (select cluster_index, t, unnest(range(1, len(t) + 1)) as i from (select cluster_index, {_TOK.replace('keyword', 'head')} as t from cl) b) c join (values {_SWAPS}) x(w, k, s) on w = t[i]),
+fo_b as (select f.cluster_index, a, pos, {_NORM.replace('keyword', 'text')} as norm, {_NORM.replace('keyword', 'head')} as own from fo_a f join hd using (cluster_index)),
+fo_c as (select cluster_index, norm, min(a * 1000000 + pos) as place from fo_b where norm <> '' and norm <> own group by 1, 2),
+fo_d as (select cluster_index, norm, place // 1000000 as a, row_number() over (partition by cluster_index, place // 1000000 order by place) as turn from fo_c),
+fo as (select cluster_index, norm, [{", ".join(map(Q.q, O.ARCHETYPES))}][a + 1] as archetype, row_number() over (partition by cluster_index order by turn, a) as rank from fo_d qualify rank <= {O.MOST})"""
+_DOCS, _SCORED = _BM.split("\nbq as (", 1)
+_SCORED = "bq as (select cluster_index, norm as query from fo), " + _SCORED[_SCORED.index("bt as (") :]
+_FAN = f"""fq_a as (select fo.cluster_index, norm as query, archetype, round(coalesce(max(score), 0), 6) as max_bm25 from fo left join bs on bs.cluster_index = fo.cluster_index and bs.query = norm group by all),
+fq_b as (select *, round(median(max_bm25) over (partition by cluster_index), 6) as tau from fq_a),
+fq as (select b.cluster_index, b.query, any_value(archetype) as archetype, any_value(max_bm25) as max_bm25, count(*) filter (tau > 0 and score >= tau) as centrality, any_value(max_bm25 >= tau and max_bm25 > 0) as covered from fq_b b left join bs on bs.cluster_index = b.cluster_index and bs.query = b.query group by 1, 2)"""
+_FAN_OUT = Q.chain(_SIB, _DOCS.rstrip().rstrip(","), _TERMS3, _ASKED, _SCORED, _FAN)
+
+
+def _fan_out(spark, sf):
     df, clusters, membership = clustered(spark, sf)
     docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
-    made = C.settle(O.sub_queries(C.settle(clusters), docs))
+    made = C.settle(O.sub_queries(C.settle(clusters), docs, year=_YEAR))
     queries = made.select("cluster_index", F.col("norm").alias("query"), "norm", "archetype")
-    return O.gatekeepers(O.coverage(queries, O.bm25(queries, docs))[0], df.select(X.norm_key(F.col("keyword")).alias("norm"), "volume"))
+    return df, O.coverage(queries, O.bm25(queries, docs))[0]
 
 
-_TERMS3 = f"""ft_a as (select cluster_index, kw_idx, unnest(t) as term, unnest(range(len(t))) as p from dc), ft_b as (select cluster_index, term, count(*) as n, min(kw_idx * 1000 + p) as first from ft_a group by 1, 2),
-ft as (select *, row_number() over (partition by cluster_index order by n desc, first) as rank from ft_b where not exists (select 1 from hx where hx.cluster_index = ft_b.cluster_index and hx.token = ft_b.term))"""
+@query(_FAN_OUT + "select * from fq")
+def fan_out(spark, sf):
+    """Generated sub-queries with their coverage."""
+    return _fan_out(spark, sf)[1]
 
 
-@query(Q.chain(_SIB, _BM, _TERMS3) + "select cluster_index, term, rank from ft where rank <= 3")
-def frequent_member_terms(spark, sf):
-    df, clusters, membership = clustered(spark, sf)
-    return O.frequent_terms(membership.join(df.select("kw_idx", "keyword"), "kw_idx"), clusters).select("cluster_index", "term", F.col("rank").cast("long"))
+@query(_FAN_OUT + f"select cluster_index, query, centrality from fq where centrality >= 2 and query not in (select {_NORM} from ac where volume > 0)")
+def gatekeepers(spark, sf):
+    """Central sub-queries that no keyword with demand targets."""
+    df, covered = _fan_out(spark, sf)
+    return O.gatekeepers(covered, df.select(X.norm_key(F.col("keyword")).alias("norm"), "volume"))
 
 
 # ---------------------------------------------------------------- comparison and audit
