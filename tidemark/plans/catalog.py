@@ -194,9 +194,31 @@ def cluster_membership(spark, sf):
     return clustered(spark, sf)[2]
 
 
-@query()
+def _stem_sql(c: str) -> str:
+    """A stem of token t in language c: the first suffix that leaves three letters goes."""
+    whens = " ".join(f"when ends_with(t, {Q.q(s)}) and len(t) - {len(s)} >= 3 then " + ("concat(t[:-4], 'y')" if (c, s) == ("en", "ies") else f"t[:-{len(s) + 1}]") for s in L.STEM_SUFFIXES[c])
+    return f"list_sort(list_distinct(list_transform(list_filter(ws, lambda t: len(t) >= 3 and not list_contains({Q.array(L.STOP_WORDS[c])}, t)), lambda t: case when len(t) <= 3 then t {whens} else t end)))"
+
+
+_NEAR = "len(list_intersect({0}, {1}))::double / greatest(len({0}), len({1}))".format
+#: The rule as it is stated: sets are visited one by one; those without a head of enough overlap become heads.
+_LEADERS = f"""lc as (select kw_idx, keyword, coalesce(volume, 0) as v, parent_topic, row_number() over (order by coalesce(volume, 0) desc, kw_idx) as place, {Q.by_lang(_stem_sql)} as s from la),
+sh as (select cluster_index, s, 0 as place from cl join lc on kw_idx = head_idx where len(s) > 0),
+nd as (select s, place, row_number() over (order by place) as step from (select s, min(place) as place from lc where parent_topic is null and len(s) > 0 group by 1) b),
+vs as (select 0 as step, 0 as place, [0]::bigint[] as made, (select coalesce(list(s), []) from sh) as heads
+ union all select nd.step, nd.place, case when far then list_append(made, nd.place) else made end, case when far then list_append(heads, s) else heads end
+  from (select vs.made, vs.heads, nd.*, len(list_filter(vs.heads, lambda h: {_NEAR('h', 'nd.s')} >= 0.6::double)) = 0 as far from vs join nd on nd.step = vs.step + 1) nd),
+nh as (select place, row_number() over (order by place) - 1 + (select count(*) from cl) as cluster_index from (select unnest(arg_max(made, step)[2:]) as place from vs) b),
+ah as (select cluster_index, s, place from sh union all select cluster_index, s, place from nh join lc using (place)),
+lm as (select kw_idx, arg_max(ah.cluster_index, struct_pack(o := {_NEAR('lc.s', 'ah.s')}, c := -ah.cluster_index)) as cluster_index from lc join ah on ah.place <= lc.place where parent_topic is null and {_NEAR('lc.s', 'ah.s')} >= 0.6::double group by 1)"""
+
+
+@query(
+    Q.chain(_LEADERS).replace("with kw", "with recursive kw", 1)
+    + "select kw_idx, cluster_index, head, 0.95::double as confidence from mb join cl using (cluster_index) union all select lm.kw_idx, cluster_index, lc.keyword, case when nh.place is null then 0.95::double else 0.7::double end from lm left join nh using (cluster_index) left join cl using (cluster_index) join lc on lc.place = nh.place or lc.kw_idx = cl.head_idx"
+)
 def leader_clusters(spark, sf):
-    """Both clustering passes; sequential by nature, so tests compare it with a direct version."""
+    """Both clustering passes, as rounds; the SQL and the tests visit keywords one by one."""
     df = K.language(B.keywords(spark, sf))
     clusters, membership = C.leader_clusters(df)
     return membership.join(clusters, "cluster_index").select("kw_idx", "cluster_index", "head", "confidence")
@@ -214,12 +236,6 @@ def stems_english(spark, sf):
     return K.language(B.keywords(spark, sf)).where("language = 'en'").select("kw_idx", F.array_join(F.array_sort(F.array_distinct(X.stems(F.col("keyword"), F.col("language")))), " ").alias("stems"))
 
 
-def _stem_sql(c: str) -> str:
-    """A stem of token t in language c: the first suffix that leaves three letters goes."""
-    whens = " ".join(f"when ends_with(t, {Q.q(s)}) and len(t) - {len(s)} >= 3 then " + ("concat(t[:-4], 'y')" if (c, s) == ("en", "ies") else f"t[:-{len(s) + 1}]") for s in L.STEM_SUFFIXES[c])
-    return f"list_sort(list_distinct(list_transform(list_filter(ws, lambda t: len(t) >= 3 and not list_contains({Q.array(L.STOP_WORDS[c])}, t)), lambda t: case when len(t) <= 3 then t {whens} else t end)))"
-
-
 @query(Q.texts() + "select doc_id, lang, array_to_string(case lang " + " ".join(f"when {Q.q(c)} then {_stem_sql(c)}" for c in L.LANGUAGES) + " end, ' ') as stems from lt")
 def stems_of_texts(spark, sf):
     """Stems of whole texts by their own language, all four."""
