@@ -563,6 +563,16 @@ def test_media_column(docs, none):
     assert jpeg.media_column(none).count() == 0
 
 
+def test_strips_change_nothing(monkeypatch):
+    payload = jpeg.padded("".join(chr(32 + k * k % 900) for k in range(90_000)))[1]
+    whole = jpeg.rgb(frame := jpeg.decode(jpeg.store(payload)))
+    assert frame.height > 32 and jpeg.payload_of(frame) == payload
+    monkeypatch.setattr(jpeg, "STRIP", 1 << 10)
+    strips = jpeg.decode(jpeg.store(payload))
+    assert all((a.coefficients == b.coefficients).all() for a, b in zip(strips.components, frame.components, strict=True))
+    assert (jpeg.rgb(strips) == whole).all() and jpeg.payload_of(strips) == payload
+
+
 def general_jpeg(planes, width, height, sampling, restart=0):
     """A progressive file with zero runs, end-of-band runs and new coefficients in refinement; all symbols at eight bits."""
     out = [b"\xff\xd8", jpeg._segment(0xDB, bytes([0]) + bytes(range(1, 65)))]

@@ -30,6 +30,10 @@ from .common import rows
 #: Fixed values of the format: place in the block of each coefficient in zigzag order, by walking the diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda k: (k // 8 + k % 8, (k // 8 if (k // 8 + k % 8) % 2 else k % 8))))
 MARKER = re.compile(rb"\xff[^\x00\xff\xd0-\xd7]")
+#: Samples or coefficients that are transformed at a time.
+STRIP = 1 << 20
+#: Bytes of media and tensors after which rows are handed on.
+HELD = 1 << 25
 RESTART = re.compile(rb"\xff[\xd0-\xd7]")
 SIDE = 4095  # MCUs of 16 samples
 FIRST_BITS = 1  # the first scans leave out so many low bits; refinement scans add them
@@ -200,10 +204,11 @@ def _ac_first(part: bytes, block: np.ndarray, table: _Huffman, start: int, end:
     n, band = len(block), end - start + 1
     if table.only and 0 < table.only[1] < 16 and len(table.only[0]) + table.only[1] == 8 and len(part) == n * band:
         size = table.only[1]
-        words = np.frombuffer(part, np.uint8).reshape(n, band).astype(np.int32)
-        if (words >> size).any():
-            raise ValueError("no such code word")
-        block[:, start : end + 1] = np.where(words >> size - 1, words, words - (1 << size) + 1) << low
+        for at in range(0, n, STRIP // 64):
+            words = np.frombuffer(part, np.uint8).reshape(n, band)[at : at + STRIP // 64].astype(np.int32)
+            if (words >> size).any():
+                raise ValueError("no such code word")
+            block[at : at + STRIP // 64, start : end + 1] = np.where(words >> size - 1, words, words - (1 << size) + 1) << low
         # a negative value's magnitude is shifted, as the first scan divides towards zero
         return
     bits, at, run = _bits(part), 0, 0
@@ -234,8 +239,10 @@ def _ac_refine(part: bytes, block: np.ndarray, table: _Huffman, start: int, end:
     n, band, one = len(block), end - start + 1, 1 << low
     part_of = block[:, start : end + 1]
     if table.only and table.only[1] == 0 and len(table.only[0]) + band == 64 and len(part) == 8 * n and part_of.all():
-        got = np.unpackbits(np.frombuffer(part, np.uint8)).reshape(n, 64)[:, 64 - band :]
-        block[:, start : end + 1] = part_of + np.sign(part_of) * (got.astype(np.int32) << low)
+        for at in range(0, n, STRIP // 64):
+            got = np.unpackbits(np.frombuffer(part, np.uint8)[8 * at : 8 * at + STRIP // 8]).reshape(-1, 64)[:, 64 - band :]
+            some = part_of[at : at + STRIP // 64]
+            some += np.sign(some) * (got.astype(np.int32) << low)
         return
     bits, at, run = _bits(part), 0, 0
 
@@ -347,29 +354,41 @@ def decode(data: bytes) -> Frame:
 
 
 def rgb(frame: Frame) -> np.ndarray:
-    """The frame as an RGB tensor (height, width, 3) of bytes: inverse transform, chroma upsampling, colours."""
-    planes = []
+    """The frame as an RGB tensor (height, width, 3) of bytes: inverse transform, chroma upsampling, colours.
+
+    Done by strips of rows of blocks, so that only the tensor grows with the frame.
+    """
     most_h, most_v = max(c.h for c in frame.components), max(c.v for c in frame.components)
-    for c in frame.components:
-        flat = (c.coefficients * frame.quantisers[c.quantiser]).reshape(-1, 64).astype(float)
-        samples = np.clip(np.floor(flat @ BASIS.T * 2.0**-14 + 128.5), 0, 255).astype(np.int32)
-        plane = samples.reshape(c.high, c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * c.high, 8 * c.wide)
-        planes.append(plane.repeat(most_v // c.v, 0).repeat(most_h // c.h, 1)[: frame.height, : frame.width])
-    if len(planes) == 1:
-        return np.repeat(planes[0][:, :, None], 3, 2).astype(np.uint8)
-    y, blue, red = planes[0] << 16, planes[1] - 128, planes[2] - 128
-    out = np.empty((*y.shape, 3), np.uint8)  # fixed values: the format's colour weights times 65,536
-    out[:, :, 0] = np.clip((y + 91881 * red + 32768) >> 16, 0, 255)
-    out[:, :, 1] = np.clip((y - 22554 * blue - 46802 * red + 32768) >> 16, 0, 255)
-    out[:, :, 2] = np.clip((y + 116130 * blue + 32768) >> 16, 0, 255)
+    out = np.empty((frame.height, frame.width, 3), np.uint8)
+    step = max(1, STRIP // (8 * most_v * frame.width))
+    for first in range(0, -(-frame.height // (8 * most_v)), step):
+        part = out[8 * most_v * first : 8 * most_v * (first + step)]
+        planes = []
+        for c in frame.components:
+            own = c.coefficients[c.v * first : c.v * (first + step)]
+            flat = (own * frame.quantisers[c.quantiser]).reshape(-1, 64).astype(float)
+            samples = np.clip(np.floor(flat @ BASIS.T * 2.0**-14 + 128.5), 0, 255).astype(np.int32)
+            plane = samples.reshape(len(own), c.wide, 8, 8).transpose(0, 2, 1, 3).reshape(8 * len(own), 8 * c.wide)
+            planes.append(plane.repeat(most_v // c.v, 0).repeat(most_h // c.h, 1)[: len(part), : frame.width])
+        if len(planes) == 1:
+            part[:] = planes[0][:, :, None]
+            continue
+        y, blue, red = planes[0] << 16, planes[1] - 128, planes[2] - 128  # fixed values: the format's colour weights times 65,536
+        part[:, :, 0] = np.clip((y + 91881 * red + 32768) >> 16, 0, 255)
+        part[:, :, 1] = np.clip((y - 22554 * blue - 46802 * red + 32768) >> 16, 0, 255)
+        part[:, :, 2] = np.clip((y + 116130 * blue + 32768) >> 16, 0, 255)
     return out
 
 
 def payload_of(frame: Frame) -> bytes:
     """The stored payload, from the coefficients."""
     n = int(frame.comment.removeprefix(b"payload-blocks="))
-    c = np.concatenate([x.coefficients.reshape(-1, 64) for x in frame.components])[:n]
-    return np.where(c < 0, c + 255, c).astype(np.uint8).tobytes()
+    parts = []
+    for c in frame.components:
+        for row in range(0, c.high, step := max(1, STRIP // (64 * c.wide))):
+            part = c.coefficients[row : row + step]
+            parts.append(np.where(part < 0, part + 255, part).astype(np.uint8).tobytes())
+    return b"".join(parts)[: 64 * n]
 
 
 def feature(tensor: np.ndarray) -> str:
@@ -388,19 +407,25 @@ def media_column(docs: DataFrame, keep: bool = False) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"] + ["media", "rgb", "height", "width"] * keep
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()] + [pa.binary(), pa.binary(), pa.int32(), pa.int32()] * keep
 
+    def made(out, id_type):
+        columns = list(zip(*out, strict=True)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [id_type, *kinds], strict=True)], names=names)
+
     def run(batches):
         for batch in batches:
-            for at in range(0, max(1, batch.num_rows), 256):
-                out = []
-                for doc_id, text in rows(batch.slice(at, 256)):
-                    n, payload = padded(text)
-                    media = store(payload)
-                    frame = decode(media)
-                    back, tensor = payload_of(frame), rgb(frame)
-                    row = (doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor))
-                    out.append((*row, media, tensor.tobytes(), *tensor.shape[:2]) if keep else row)
-                columns = list(zip(*out, strict=True)) if out else [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [batch.schema.field(0).type, *kinds], strict=True)], names=names)
+            id_type, out, held = batch.schema.field(0).type, [], 0
+            for doc_id, text in rows(batch):
+                n, payload = padded(text)
+                media = store(payload)
+                frame = decode(media)
+                back, tensor = payload_of(frame), rgb(frame)
+                row = (doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(tensor))
+                out.append((*row, media, tensor.tobytes(), *tensor.shape[:2]) if keep else row)
+                held += (len(media) + tensor.nbytes) * keep
+                if len(out) == 256 or held > HELD:
+                    yield made(out, id_type)
+                    out, held = [], 0
+            yield made(out, id_type)
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, rgb binary, height int, width int" * keep
