@@ -16,10 +16,12 @@ from .lattice_lm import score_documents
 from .minhash import near_documents
 from .packing import pack
 from .pii import find
+from .sequence_packing import pack_in_order
+from .source_audit import divergence
 from .token_counts import length_histogram, limit_table
 from .url_rules import judge
 
-BYTE_RANKS, WORD_MODEL, PIECE_MODEL = (tokenizers.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"))
+BYTE_RANKS, WORD_MODEL, PIECE_MODEL, BYTE_MODEL = (tokenizers.path(x) for x in ("byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model", "byte_bpe_50k.json"))
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +64,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(read(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_in_order(read(spark, sf_dir, "documents"), BYTE_MODEL, tokenizers.PATTERN)
+
+
 _ALL = (
     op1_byte_bpe, op2_cross_polytope, op3_lattice_lm, op4_pii_boosting, op5_best_fit_packing,
     op6_token_counts, op7_odd_sketches, op8_url_rules, op9_progressive_jpeg, op10_language_id,
+    op11_source_divergence, op13_order_packing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
-#: Only whole operators are here: a tokenizer or a trained model (operators 1, 3 to 6, 8, 10) and stored media (9) are beyond SQL; tests compare those with brute force.
+#: Only whole operators are here: a tokenizer or a trained model (operators 1, 3 to 6, 8, 10, 13) and stored media (9) are beyond SQL; tests compare those with brute force.
 ORACLES: dict[str, str] = {
     "op2_cross_polytope": """
         WITH RECURSIVE v AS (
@@ -95,4 +106,26 @@ ORACLES: dict[str, str] = {
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(l.b, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(l.b, d.doc_id)) AS kept
         FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN least l ON l.a = d.doc_id
     """,
+    "op11_source_divergence": r"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+        w AS (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+        kt AS (SELECT lang, term, count(*) AS n_lang FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+        kl AS (SELECT lang, count(*) AS v, sum(n_lang) AS total FROM kt GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN kt ON kt.lang = w.lang AND kt.term = w.term GROUP BY ALL),
+        gn AS (SELECT g.lang, g.source, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS n FROM g),
+        s AS (
+            SELECT g.lang, g.source, kt.term, coalesce(c.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (g.n + 5 * kl.v)::HUGEINT AS p,
+                1 + (1000000000::HUGEINT * (kt.n_lang + 5)) // (kl.total + 5 * kl.v)::HUGEINT AS q
+            FROM gn g JOIN kt ON kt.lang = g.lang JOIN kl ON kl.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = kt.term
+        ),
+        x AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce((SELECT sum(abs(p.p - q.p)) FROM s p JOIN s q ON p.lang = q.lang AND p.term = q.term WHERE p.lang = a.lang AND p.source = a.source AND q.source = b.source), 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q
+        ),
+        r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50
+    """,
 }
