@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe import bpe_codec
 from .common import read
 from .embedding_dedup import near_vectors
+from .expiring_dedup import expiring_clicks
 from .jpeg import media_column
 from .language_id import language_id
 from .lattice_lm import score_documents
@@ -68,6 +69,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(read(spark, sf_dir, "documents"))
 
 
+def op12_expiring_clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return expiring_clicks(read(spark, sf_dir, "clicks"))
+
+
 def op13_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_in_order(read(spark, sf_dir, "documents"), BYTE_MODEL, tokenizers.PATTERN)
 
@@ -75,7 +80,7 @@ def op13_order_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_byte_bpe, op2_cross_polytope, op3_lattice_lm, op4_pii_boosting, op5_best_fit_packing,
     op6_token_counts, op7_odd_sketches, op8_url_rules, op9_progressive_jpeg, op10_language_id,
-    op11_source_divergence, op13_order_packing,
+    op11_source_divergence, op12_expiring_clicks, op13_order_packing,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 #: Only whole operators are here: a tokenizer or a trained model (operators 1, 3 to 6, 8, 10, 13) and stored media (9) are beyond SQL; tests compare those with brute force.
@@ -128,4 +133,38 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM x)
         SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50
     """,
+    "op12_expiring_clicks": r"""
+        WITH RECURSIVE r AS (
+            SELECT row_number() OVER () AS id, click_id, client_id, kind, value, ts, props, floor(epoch_us(arrived_at) / 3600000000)::BIGINT AS arrived FROM clicks
+            WHERE click_id IS NOT NULL AND arrived_at IS NOT NULL
+        ),
+        j AS (SELECT r.*, unnest(range(0, click_id % 3 + 1)) AS j FROM r),
+        crc AS (SELECT b.b::BIGINT AS b, list_reduce(list_prepend(b.b::BIGINT, range(8)), lambda a, x: xor(a >> 1, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) AS b(b)),
+        tab AS (SELECT list(v ORDER BY b) AS t FROM crc),
+        c AS (
+            SELECT j.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(click_id || ':' || j, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])), 4294967295) AS c FROM j, tab
+        ),
+        h AS (SELECT *, arrived + 6 * j * (c % 10) AS hour FROM c),
+        l AS (SELECT *, hour + (c // 10) % 200 AS late FROM h),
+        e AS (
+            SELECT click_id, hour, ((late - min(late) OVER ()) * 8 // (max(late) OVER () - min(late) OVER () + 1))::INT AS batch,
+                sha256(concat(coalesce(client_id::VARCHAR, ''), '|', coalesce(kind, ''), '|', coalesce(floor(100 * value + 0.5)::BIGINT::VARCHAR, ''), '|', coalesce(epoch_us(ts)::VARCHAR, ''), '|', coalesce(props, ''), '|', c % 3)) AS hash
+            FROM l
+        ),
+        m AS (SELECT b AS batch, (SELECT max(hour) FROM e WHERE e.batch < b) AS m FROM range(9) AS t(b)),
+        k AS (SELECT click_id, hour, e.batch, hash, row_number() OVER (PARTITION BY click_id ORDER BY e.batch, hour, hash) AS n FROM e JOIN m ON m.batch = e.batch WHERE e.batch = 0 OR hour >= m.m - 96),
+        until AS (SELECT k.*, coalesce((SELECT min(a.batch) FROM m a WHERE a.batch > k.batch AND a.batch < 8 AND k.hour + 24 < a.m - 96), 8) - 1 AS expires FROM k),
+        w AS (
+            SELECT click_id, n, batch, hash, hour AS start_hour, hash AS first_hash, expires, n AS opener FROM until WHERE n = 1
+            UNION ALL
+            SELECT u.click_id, u.n, u.batch, u.hash, CASE WHEN again THEN u.hour ELSE w.start_hour END, CASE WHEN again THEN u.hash ELSE w.first_hash END, CASE WHEN again THEN u.expires ELSE w.expires END, CASE WHEN again THEN u.n ELSE w.opener END
+            FROM w JOIN until u ON u.click_id = w.click_id AND u.n = w.n + 1, LATERAL (SELECT u.batch > w.expires OR u.hour > w.start_hour + 24 AS again)
+        ),
+        f AS (
+            SELECT click_id, opener, any_value(start_hour) AS start_hour, any_value(first_hash) AS hash, any_value(expires) AS expires, max(batch) FILTER (n = opener) AS opened, count(*) - 1 AS n_repeats, count(*) FILTER (w.hash <> first_hash) AS n_conflicts,
+                coalesce(sum(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(w.hash, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: xor(a >> 8, t[xor(a, x) % 256 + 1])), 4294967295)) FILTER (w.hash <> first_hash), 0) AS conflict_crc
+            FROM w, tab GROUP BY click_id, opener
+        )
+        SELECT click_id, start_hour, least(expires, coalesce(lead(opened) OVER (PARTITION BY click_id ORDER BY opener), 8))::BIGINT AS closed_batch, n_repeats::BIGINT AS n_repeats, n_conflicts::BIGINT AS n_conflicts, conflict_crc::BIGINT AS conflict_crc, hash FROM f
+    """,
 }
