@@ -30,7 +30,7 @@ def parameters(brands=(), client_domain: str = "") -> list[tuple]:
     return out
 
 
-def file_checks(path: Path) -> list[tuple]:
+def file_checks(path: Path, most_bytes: int = exports.MOST_BYTES) -> list[tuple]:
     """Checks of one file that need its first bytes only."""
     out = []
     add = lambda severity, category, message: out.append((severity, category, message, str(path), None))
@@ -40,11 +40,11 @@ def file_checks(path: Path) -> list[tuple]:
         add("CRITICAL", "not_a_file", "not a file")
     elif path.stat().st_size == 0:
         add("CRITICAL", "empty_file", "the file is empty")
-    elif path.stat().st_size > exports.MOST_BYTES:
-        add("CRITICAL", "oversized_file", f"over {exports.MOST_BYTES} bytes")
+    elif path.stat().st_size > most_bytes:
+        add("CRITICAL", "oversized_file", f"over {most_bytes} bytes")
     if out:
         return out
-    if path.stat().st_size > LARGE * exports.MOST_BYTES:
+    if path.stat().st_size > LARGE * most_bytes:
         add("WARNING", "large_file", "near the size limit")
     with path.open("rb") as f:
         head = f.read(1 << 16)
@@ -67,27 +67,20 @@ def file_checks(path: Path) -> list[tuple]:
 
 
 def ragged(spark: SparkSession, path: Path) -> DataFrame:
-    """Rows whose number of cells isn't the header's (row, cells, expected).
-
-    The file is parsed as the scan parses it, as one ordered unit: quoted cells may span lines, and rows count as there.
-    """
+    """Rows whose number of cells isn't the header's (row, cells, expected), as the scan finds and numbers them."""
     s = exports.sniff(path)
-    schema = ", ".join(f"c{k} string" for k in range(len(s.headers))) + ", broken string"
-    rows = exports.reader(spark, s).schema(schema).option("columnNameOfCorruptRecord", "broken").csv(str(path)).withColumn("row", F.monotonically_increasing_id() + 2)
-    bare = F.regexp_replace("broken", r'"[^"]*"', "")
-    cells = F.length(bare) - F.length(F.replace(bare, F.lit(s.separator), F.lit(""))) + 1
-    held = F.length(F.concat_ws("", "c0", "broken")) > 0  # names another column too, as the reader refuses a scan of the broken one alone
-    return rows.where(F.col("broken").isNotNull() & (F.trim("broken") != "") & held).select(F.col("row").cast("int").alias("row"), cells.alias("cells"), F.lit(len(s.headers)).alias("expected"))
+    rows = exports.raw_rows(spark, s).where(F.col("n_cells") != len(s.headers))
+    return rows.select(F.col("source_row").cast("int").alias("row"), F.col("n_cells").alias("cells"), F.lit(len(s.headers)).alias("expected"))
 
 
-def audit(spark: SparkSession, inputs, brands=(), client_domain: str = "") -> DataFrame:
-    """All findings of the given files and parameters."""
+def audit(spark: SparkSession, inputs, brands=(), client_domain: str = "", most_bytes: int = exports.MOST_BYTES) -> DataFrame:
+    """All findings of the given files and parameters. The scan itself has no limit of size; most_bytes is the audit's."""
     found = parameters(brands, client_domain)
     if not inputs:
         found.append(("CRITICAL", "no_inputs", "no inputs", None, None))
     out = None
     for path in map(Path, inputs):
-        own = file_checks(path)
+        own = file_checks(path, most_bytes)
         found += own
         if any(f[0] == "CRITICAL" for f in own):
             continue

@@ -1,7 +1,8 @@
 """Keyword exports, monthly series and observed captures as DataFrames.
 
-Files are sniffed on the driver (encoding, separator, header); the data are read by Spark. Row order is data: kw_idx
-counts rows by (file order, row), from the file's own line numbers and not from partition ids.
+Files are sniffed on the driver (encoding, separator, header); the data are read by Spark, a file by as many tasks as it
+has splits (see splits). Row order is data: kw_idx counts rows by (file order, row), from the file's own row numbers and
+not from partition ids.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from .splits import read_cells
 
+#: Files that can't be split (UTF-16) may be no larger; the audit calls larger files oversized.
 MOST_BYTES = 500 * 1024 * 1024
 SNIFF_BYTES = 4096
 SEPARATORS = (",", ";", "\t", "|")
@@ -36,6 +39,7 @@ class Sniffed:
     encoding: str
     separator: str
     headers: tuple[str, ...]
+    line_break: str = "\n"
 
 
 def expand(inputs, suffixes=(".csv", ".tsv"), unique: bool = True) -> list[Path]:
@@ -80,18 +84,18 @@ def separator_of(lines: list[str]) -> str:
 
 def sniff(path: str | Path) -> Sniffed:
     path = Path(path)
-    if path.stat().st_size > MOST_BYTES:
-        raise SourceError(f"{path}: over {MOST_BYTES} bytes")
     with path.open("rb") as f:
         raw = f.read(1 << 20)
     encoding = encoding_of(raw[:SNIFF_BYTES])
+    if encoding == "utf-16" and path.stat().st_size > MOST_BYTES:
+        raise SourceError(f"{path}: over {MOST_BYTES} bytes of UTF-16, which one task has to read")
     lines = raw.decode(encoding, "replace").splitlines()
     if not lines or not lines[0].strip():
         raise SourceError(f"{path}: no header")
     separator = separator_of(lines)
     import csv
 
-    return Sniffed(str(path), encoding, separator, tuple(next(csv.reader([lines[0]], delimiter=separator))))
+    return Sniffed(str(path), encoding, separator, tuple(next(csv.reader([lines[0]], delimiter=separator))), "\r" if b"\r" in raw and b"\n" not in raw else "\n")
 
 
 def tool_of(headers) -> str:
@@ -125,19 +129,21 @@ def show_mapping(spark: SparkSession, paths) -> DataFrame:
     return spark.createDataFrame(rows, "file string, tool string, header string, field string")
 
 
-def reader(spark: SparkSession, s: Sniffed):
-    """A CSV reader of the file's dialect. A multi-line file is read by one task from start to end, so that row ids count its rows."""
-    encoding = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "utf-8": "UTF-8", "iso-8859-1": "ISO-8859-1"}[s.encoding]
-    return spark.read.option("header", True).option("enforceSchema", True).option("sep", s.separator).option("quote", '"').option("escape", '"').option("multiLine", True).option("encoding", encoding)
-
-
 def raw_rows(spark: SparkSession, s: Sniffed) -> DataFrame:
-    """The file's cells as strings, with source_row (the header is row 1); a file without rows is an error."""
-    schema = ", ".join(f"c{k} string" for k in range(len(s.headers)))
-    rows = reader(spark, s).schema(schema).csv(s.path)
-    if not rows.limit(1).count():
+    """The file's cells as strings, with source_row (the header is row 1), n_cells, and the block of the file that holds them; a file without rows is an error.
+
+    Only UTF-16, whose line breaks can't be found from the middle of a file, is read by one task from start to end.
+    """
+    if s.encoding == "utf-16":
+        schema = ", ".join(f"c{k} string" for k in range(len(s.headers)))
+        dialect = {"header": True, "enforceSchema": True, "sep": s.separator, "quote": '"', "escape": '"', "multiLine": True, "encoding": "UTF-16"}
+        rows = spark.read.options(**dialect).schema(schema).csv(s.path).withColumn("source_row", F.monotonically_increasing_id() + 2)
+        rows, n = rows.withColumns({"block": F.lit(0).cast("long"), "n_cells": F.lit(len(s.headers))}), rows.limit(1).count() + 1
+    else:
+        rows, n = read_cells(spark, s.path, s.separator, {"utf-8-sig": "utf-8"}.get(s.encoding, s.encoding), len(s.headers), s.line_break)
+    if n < 2:
         raise SourceError(f"{s.path}: no rows")
-    return rows.withColumn("source_row", F.monotonically_increasing_id() + 2)
+    return rows
 
 
 def _field(s: Sniffed, mapping: dict[str, str], name: str) -> Column:
@@ -152,14 +158,14 @@ def canonical(spark: SparkSession, path, order: int, tool: str | None = None, ov
     seozoom = is_seozoom(s.headers)
     tool = "generic" if override or seozoom else tool or tool_of(s.headers)
     mapping = {**mapping_of(tool, override), **(SEOZOOM if seozoom else {})}
-    cells = raw_rows(spark, s).select("source_row", *(_field(s, mapping, f).alias(f) for f in FIELDS))
+    cells = raw_rows(spark, s).select("source_row", "block", *(_field(s, mapping, f).alias(f) for f in FIELDS))
     c = {f: F.col(f) for f in FIELDS}
     ascii_ = ~c["keyword"].rlike(r"[^\x00-\x7F]")
     plain = X.normalize_keyword(c["keyword"])
     keyword = F.when(ascii_, plain).otherwise(X.normalize_keyword(c["keyword"], compose=True))
     position = X.coerce_int(c["position"])
     rows = cells.select(
-        F.lit(order).alias("file_order"), F.lit(str(path)).alias("source_file"), F.col("source_row").cast("int"), F.lit(tool).alias("source"), keyword.alias("keyword"), F.trim(c["keyword"]).alias("keyword_original"),
+        F.lit(order).alias("file_order"), "block", F.lit(str(path)).alias("source_file"), F.col("source_row").cast("int"), F.lit(tool).alias("source"), keyword.alias("keyword"), F.trim(c["keyword"]).alias("keyword_original"),
         "country", X.coerce_int(c["volume"]).alias("volume"), X.coerce_difficulty(c["difficulty"]).alias("d"), X.coerce_float(c["cpc"]).alias("cpc"), F.when(position <= 100, position).cast("int").alias("position"),
         X.serp_features(c["serp_features"]).alias("serp_features"), X.coerce_int(c["traffic_potential"]).alias("traffic_potential"), "intent_label_raw", X.coerce_int(c["clicks"]).alias("clicks"),
         X.coerce_int(c["impressions"]).alias("impressions"), X.coerce_float(c["ctr"]).alias("ctr"), "parent_topic", "competitor_url", X.coerce_int(c["domain_rank"]).alias("domain_rank"),
@@ -180,11 +186,11 @@ def read_exports(spark: SparkSession, inputs, override: dict[str, str] | None =
     else:
         parts = [canonical(spark, p, k, override=override) for k, p in enumerate(paths)]
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    counts = every.groupBy("file_order").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("file_order").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a file
-    offsets = counts.select("file_order", before.alias("before"))
-    in_file = F.row_number().over(Window.partitionBy("file_order").orderBy("source_row"))  # a file has 500 MB at most
-    return every.withColumn("r", in_file).join(F.broadcast(offsets), "file_order").withColumn("kw_idx", F.col("before") + F.col("r") - 1).drop("before", "r", "file_order")
+    counts = every.groupBy("file_order", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file_order", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row for each split of a file
+    offsets = counts.select("file_order", "block", before.alias("before"))
+    in_block = F.row_number().over(Window.partitionBy("file_order", "block").orderBy("source_row"))  # a split
+    return every.withColumn("r", in_block).join(offsets, ["file_order", "block"]).withColumn("kw_idx", F.col("before") + F.col("r") - 1).drop("before", "r", "file_order", "block")
 
 
 def _number(cell: Column, what: str) -> Column:
