@@ -198,6 +198,8 @@ def _session(spark: SparkSession) -> SparkSession:
     own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no space taken in advance
+    own.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")  # every batch is another run, which opens its own stores
     own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
     return own
