@@ -12,27 +12,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write df once in the session's shared checkpoint folder and read it back: cuts the lineage without computing it twice.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared checkpoint folder. Only a local master may do without spark.checkpoint.dir; it then gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
-    Only a local master may do without spark.checkpoint.dir; it then gets a temporary folder.
-    """
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write df once in the session's shared checkpoint folder and read it back: cuts the lineage without computing it twice."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        sc = spark.sparkContext
-        if not sc._jsc.sc().getCheckpointDir().isDefined():
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
-        folder = sc._jsc.sc().getCheckpointDir().get()
-    path = f"{folder}/settled-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import norm_cdf
+from ..functions.numeric import norm_tail
+from . import ranks
 
 MIN_POINTS, ALPHA, MOMENTUM_WINDOW = 8, 0.05, 3
 PERIOD, SEASONAL_STRENGTH = 12, 0.5
@@ -21,32 +22,48 @@ def cluster_series(series: DataFrame, membership: DataFrame) -> DataFrame:
     return summed.select("grp", (F.row_number().over(Window.partitionBy("grp").orderBy("period")) - 1).cast("long").alias("pos"), "v")
 
 
-def _pairs(series: DataFrame) -> DataFrame:
-    """Each group's ordered pairs, from its array: a group is one series, as long as the calendar."""
-    whole = series.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("pos", "v"))).alias("x"))
-    return whole.select("grp", F.explode("x").alias("b"), "x").select("grp", "b", F.explode(F.filter("x", lambda a: a["pos"] < F.col("b.pos"))).alias("a"))
+def trends(series: DataFrame) -> DataFrame:
+    """grp, n, s, ties, slope, intercept of each group's points, in one grouped pass of O(n log n).
+
+    s: rising less falling pairs; ties: the sum of t (t - 1) (2 t + 5) over runs of equal values; slope: the median pairwise
+    slope, 0 for one point; intercept: the median of v - slope * pos. Null values are no points. A group is one series, as
+    long as the calendar.
+    """
+    kind = series.schema["grp"].dataType.simpleString()
+
+    def fit(key, rows):
+        rows = rows.sort_values("pos")
+        pos, v = rows["pos"].to_numpy(np.int64), rows["v"].to_numpy(float)
+        t = np.unique(v, return_counts=True)[1].astype(object)  # exact for any length
+        slope = ranks.median_slope(pos, v) or 0.0
+        return pd.DataFrame({"grp": [key[0]], "n": [len(v)], "s": [ranks.kendall(v)], "ties": [int((t * (t - 1) * (2 * t + 5)).sum())], "slope": [slope], "intercept": [float(np.median(v - slope * pos))]})
+
+    points = series.select("grp", "pos", F.col("v").cast("double").alias("v")).where("v is not null")
+    return points.groupBy("grp").applyInPandas(fit, f"grp {kind}, n long, s long, ties long, slope double, intercept double")
+
+
+def tested(found: DataFrame) -> DataFrame:
+    """found (see trends) with var_s, z, p_value (null when there are fewer than 3 points or no variance) and tau."""
+    few = F.col("n") < 3
+    found = found.withColumns({"s": F.when(few, 0).otherwise(F.col("s")), "var_s": F.when(few, 0.0).otherwise(F.expr("(n * (n - 1) * (2 * n + 5) - ties) / 18"))})
+    z = F.when(F.col("var_s") <= 0, None).when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var_s")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var_s")).otherwise(0.0)
+    found = found.withColumn("z", z)
+    return found.withColumns({"p_value": F.when(F.col("z").isNotNull(), F.least(F.lit(1.0), 2 * norm_tail(F.abs("z")))), "tau": F.when(~few, F.col("s") / (F.col("n") * (F.col("n") - 1) / 2))})
+
+
+def _test_columns() -> list:
+    direction = F.when(F.col("s") > 0, "up").when(F.col("s") < 0, "down").otherwise("flat")
+    return ["grp", "n", "s", *(F.round(c, 6).alias(c) for c in ("var_s", "z", "p_value", "tau")), direction.alias("direction")]
 
 
 def mann_kendall(series: DataFrame) -> DataFrame:
     """grp, n, s, var_s, z, p_value, tau, direction; p null when there are fewer than 3 points or no variance."""
-    n = series.groupBy("grp").agg(F.count("*").alias("n"))
-    ties = series.groupBy("grp", "v").agg(F.count("*").alias("t")).groupBy("grp").agg(F.sum(F.expr("t * (t - 1) * (2 * t + 5)")).alias("ties"))
-    s = _pairs(series).groupBy("grp").agg(F.sum(F.signum(F.col("b.v") - F.col("a.v"))).cast("long").alias("s"))
-    out = n.join(ties, "grp").join(s, "grp", "left").select("grp", "n", F.when(F.col("n") < 3, 0).otherwise(F.coalesce("s", F.lit(0))).alias("s"), F.when(F.col("n") < 3, 0.0).otherwise(F.expr("(n * (n - 1) * (2 * n + 5) - ties) / 18")).alias("var_s"))
-    z = F.when(F.col("var_s") <= 0, None).when(F.col("s") > 0, (F.col("s") - 1) / F.sqrt("var_s")).when(F.col("s") < 0, (F.col("s") + 1) / F.sqrt("var_s")).otherwise(0.0)
-    out = out.withColumn("z", z)
-    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2 * (1 - norm_cdf(F.abs("z")))))
-    return out.select(
-        "grp", "n", "s", F.round("var_s", 6).alias("var_s"), F.round("z", 6).alias("z"), F.when(F.col("z").isNotNull(), F.round(p, 6)).alias("p_value"),
-        F.when(F.col("n") >= 3, F.round(F.col("s") / (F.col("n") * (F.col("n") - 1) / 2), 6)).alias("tau"), F.when(F.col("s") > 0, "up").when(F.col("s") < 0, "down").otherwise("flat").alias("direction"),
-    )
+    return tested(trends(series)).select(_test_columns())
 
 
 def theil_sen(series: DataFrame) -> DataFrame:
     """grp, slope, intercept: median pairwise slope; median of v - slope * pos with the unrounded slope."""
-    slope = _pairs(series).groupBy("grp").agg(F.median((F.col("b.v") - F.col("a.v")) / (F.col("b.pos") - F.col("a.pos"))).alias("slope"))
-    both = series.join(slope, "grp", "left").withColumn("slope", F.coalesce("slope", F.lit(0.0)))
-    return both.groupBy("grp").agg(F.round(F.first("slope"), 6).alias("slope"), F.round(F.median(F.col("v") - F.col("slope") * F.col("pos")), 6).alias("intercept"))
+    return trends(series).select("grp", F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
 def momentum(series: DataFrame, window: int = MOMENTUM_WINDOW) -> DataFrame:
@@ -58,7 +75,8 @@ def momentum(series: DataFrame, window: int = MOMENTUM_WINDOW) -> DataFrame:
 
 def states(series: DataFrame, seasonal: DataFrame | None = None) -> DataFrame:
     """grp, state and the tests behind it; with seasonal (see seasonal_strength) a strong cycle makes the state `seasonal`."""
-    all_ = mann_kendall(series).join(theil_sen(series), "grp").join(momentum(series), "grp")
+    tests = tested(trends(series)).select(*_test_columns(), F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
+    all_ = tests.join(momentum(series), "grp")
     all_ = all_.join(seasonal.select("grp", "seasonal_strength"), "grp", "left") if seasonal is not None else all_.withColumn("seasonal_strength", F.lit(None).cast("double"))
     firm = F.coalesce(F.col("p_value") < ALPHA, F.lit(False))
     state = F.when(F.col("n") < MIN_POINTS, "unknown").when(F.col("seasonal_strength") >= SEASONAL_STRENGTH, "seasonal").when(firm & (F.col("slope") > 0), "rising").when(firm & (F.col("slope") < 0), "declining").otherwise("flat")

@@ -71,4 +71,12 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monthly.select("grp", (F.row_number().over(Window.partitionBy("grp").orderBy("m")) - 1).cast("long").alias("pos"), "v")
 
 
+def event_series(spark: SparkSession, sf_dir: str, unit: str) -> DataFrame:
+    """Sums of events' values by type and unit of time: (grp, pos, v), positions dense from 0."""
+    from pyspark.sql import Window
+
+    summed = read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("grp"), F.date_trunc(unit, "ts").alias("m")).agg(F.round(F.sum("value"), 2).alias("v")).where("v is not null")
+    return summed.select("grp", (F.row_number().over(Window.partitionBy("grp").orderBy("m")) - 1).cast("long").alias("pos"), "v")
+
+
 SERIES_SQL = "sr as (select grp, row_number() over (partition by grp order by m) - 1 as pos, v from (select o_orderpriority as grp, date_trunc('month', o_orderdate) as m, cast(count(*) as double) as v from orders group by 1, 2) b)"

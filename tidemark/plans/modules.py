@@ -93,9 +93,22 @@ mk as (select n.grp, n.n, cast(p.s as bigint) as s, (n.n * (n.n - 1) * (2 * n.n
 sl as (select grp, median(slope) as slope from pr group by 1)"""
 
 
-@query(Q.monthly(_MK) + "select grp, n, s, round(var_s, 6) as var_s, round(case when var_s <= 0 then null when s > 0 then (s - 1) / sqrt(var_s) when s < 0 then (s + 1) / sqrt(var_s) else 0 end, 6) as z, round(s / (n * (n - 1) / 2.0::double), 6) as tau, case when s > 0 then 'up' when s < 0 then 'down' else 'flat' end as direction from mk")
+_Z = "zs as (select *, case when var_s <= 0 then null when s > 0 then (s - 1) / sqrt(var_s) when s < 0 then (s + 1) / sqrt(var_s) else 0 end as z from mk)"
+_TESTS = f"grp, n, s, round(var_s, 6) as var_s, round(z, 6) as z, round(case when z is not null then least(1.0::double, 2 * ({Q.norm_tail('abs(z)')})) end, 6) as p_value, round(s / (n * (n - 1) / 2.0::double), 6) as tau, case when s > 0 then 'up' when s < 0 then 'down' else 'flat' end as direction"
+
+
+@query(Q.monthly(_MK, _Z) + f"select {_TESTS} from zs")
 def mann_kendall(spark, sf):
-    return P.mann_kendall(B.series(spark, sf)).drop("p_value")
+    return P.mann_kendall(B.series(spark, sf))
+
+
+_INTERCEPT = "ic as (select sr.grp, median(v - slope * pos) as intercept from sr join sl using (grp) group by 1)"
+
+
+@query(Q.events_by("hour", _MK, _Z, _INTERCEPT) + f"select {_TESTS}, round(slope, 6) as slope, round(intercept, 6) as intercept from zs join sl using (grp) join ic using (grp)")
+def hourly_trends(spark, sf):
+    """Trend tests of series of hundreds of points, which take the inversion counts and the slope selection."""
+    return P.states(B.event_series(spark, sf, "hour")).drop("momentum", "seasonal_strength", "state")
 
 
 @query(Q.monthly(_MK) + "select sr.grp, round(any_value(slope), 6) as slope, round(median(v - slope * pos), 6) as intercept from sr join sl using (grp) group by 1")
@@ -103,6 +116,14 @@ def theil_sen(spark, sf):
     return P.theil_sen(B.series(spark, sf))
 
 
+@query(Q.events_by("day", _MK, _Z, _INTERCEPT) + f"select {_TESTS}, round(slope, 6) as slope, round(intercept, 6) as intercept from zs join sl using (grp) join ic using (grp)".replace(", case when s > 0 then 'up' when s < 0 then 'down' else 'flat' end as direction", ""))
+def stream_trends(spark, sf):
+    """Daily trends of events that come as a stream, in four parts by time: the state after the last equals batch."""
+    from ..streaming import trends as T
+
+    return T.replay(B.read(spark, sf, "events"), "event_type", "value", "ts", "day", digits=2)
+
+
 @query(Q.monthly() + "select grp, round(avg(v) filter (r <= 3) / avg(v) filter (r between 4 and 6) - 1, 6) as momentum from (select *, row_number() over (partition by grp order by pos desc) as r from sr) b group by 1")
 def momentum(spark, sf):
     return P.momentum(B.series(spark, sf))

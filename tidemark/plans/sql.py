@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicon as L
+from ..functions import numeric as N
 from .bindings import CLIENT, WHOLE_TEXTS_SQL, SERIES_SQL, keywords_sql
 
 q = lambda s: "'" + s.replace("'", "''") + "'"
@@ -87,3 +88,23 @@ def texts(*more: str) -> str:
 
 def monthly(*more: str) -> str:
     return "with " + ",\n".join([SERIES_SQL, *more]) + "\n"
+
+
+def events_by(unit: str, *more: str) -> str:
+    """Sums of events' values by type and unit of time, with positions dense from 0."""
+    own = f"sr as (select grp, row_number() over (partition by grp order by m) - 1 as pos, v from (select event_type as grp, date_trunc('{unit}', ts) as m, round(sum(value), 2) as v from events group by 1, 2 having sum(value) is not null) b)"
+    return "with " + ",\n".join([own, *more]) + "\n"
+
+
+def norm_tail(x: str) -> str:
+    """The normal tail beyond x >= 0, as numeric.norm_tail writes it."""
+    def polynomial(factors):
+        out = f"{factors[0]!r}::double"
+        for c in factors[1:]:
+            out = f"({out} * {x} + {c!r}::double)"
+        return out
+
+    fraction = "0.65::double"
+    for k in (4, 3, 2, 1):
+        fraction = f"({k} / ({x} + {fraction}))"
+    return f"case when {x} > {N.LAST_TAIL} then 0 when {x} < {N.FIRST_FRACTION}::double then exp(-{x} * {x} / 2) * {polynomial(N.TAIL_ABOVE)} / {polynomial(N.TAIL_BELOW)} else exp(-{x} * {x} / 2) / ({x} + {fraction}) / 2.506628274631::double end"
