@@ -5,7 +5,8 @@ SPAN hours after its start repeat it, and one beyond closes it and opens another
 a batch comes a punctuation, one control row for every bucket, that carries the batch's number and the hour below which
 nothing counts any more. Each bucket of clicks is one key of a transformWithState query. It folds the data of the batch
 first; then the punctuation scans the bucket's MapState, hands on the windows that have expired, and is remembered, so
-that the next batch drops what comes too late.
+that the next batch drops what comes too late. The map holds pages of windows by the day they started on, as one call for
+each window would cost more than all else.
 
 Batches are written under spark.checkpoint.dir and published in order by renaming their folder; for each the query is
 started anew on one checkpoint, reads what is new in one micro-batch, and ends. Its sink is a Parquet folder with a commit
@@ -77,18 +78,29 @@ def click_copies(clicks: DataFrame, batches: int = BATCHES) -> DataFrame:
     return out.select("click_id", "hour", F.unhex("hex").alias("hash"), F.crc32(F.col("hex").cast("binary")).alias("crc"), "batch")
 
 
+def _hashes(values: list[bytes]) -> np.ndarray:
+    """Hashes of 32 bytes as four numbers each, which sort as the bytes do."""
+    return np.frombuffer(b"".join(values), ">u8").astype(np.uint64).reshape(-1, 4)
+
+
 class Windows:
-    """Open and closed windows of one bucket, as columns."""
-
-    def __init__(self, rows: list[tuple]):
-        """rows: (click_id, start_hour, hash, n_repeats, n_conflicts, conflict_crc), one open window for each click."""
-        rows = sorted(rows, key=lambda r: r[0])
-        self.stored = len(rows)
-        self.click, self.start = (np.array([r[k] for r in rows], np.int64) for k in (0, 1))
-        self.hash = np.array([r[2] for r in rows], "S32")
-        self.counts = np.array([r[3:] for r in rows], np.int64).reshape(len(rows), 3)
-        self.closed = np.full(len(rows), -1, np.int64)
-        self.changed = np.zeros(len(rows), bool)
+    """Open and closed windows of one bucket, as columns; counts are repeats, conflicts, sum of conflicts' crc."""
+
+    COLUMNS = (("click", np.int64, ()), ("start", np.int64, ()), ("hash", np.uint64, (4,)), ("counts", np.int64, (3,)))
+
+    def __init__(self, pages: list[tuple[bytes, ...]]):
+        """pages: the columns' bytes (see page) of open windows, one window for each click."""
+        for k, (name, kind, shape) in enumerate(self.COLUMNS):
+            setattr(self, name, np.frombuffer(b"".join(p[k] for p in pages), kind).reshape(-1, *shape))
+        order = np.argsort(self.click, kind="stable")
+        for name, _, _ in self.COLUMNS:
+            setattr(self, name, getattr(self, name)[order])
+        self.stored = len(order)
+        self.closed = np.full(self.stored, -1, np.int64)
+        self.changed = np.zeros(self.stored, bool)
+
+    def page(self, rows: np.ndarray) -> tuple[bytes, ...]:
+        return tuple(getattr(self, name)[rows].tobytes() for name, _, _ in self.COLUMNS)
 
     def fold(self, batch: int, click: np.ndarray, hour: np.ndarray, hashes: np.ndarray, crc: np.ndarray, n: np.ndarray) -> None:
         """Take in n equal events of each (click, hour, hash), one row for each, in that order."""
@@ -103,12 +115,10 @@ class Windows:
         current = np.where(known, at, -1)
         mark, opens = np.full(len(click), -1, np.int64), np.zeros(len(click), bool)
         mark[first] = current
-        todo, here = np.arange(len(clicks)), first.copy()
-        starts, made = [self.start], self.stored
+        todo, here, made = np.arange(len(clicks)), first.copy(), self.stored
         while len(todo):  # one round for each window that a click opens in this batch
-            start = np.concatenate(starts)
             own = current[todo]
-            limit = np.where(own >= 0, start[own] + SPAN if len(start) else 0, low - 1)
+            limit = np.where(own >= 0, self.start[own] + SPAN if len(self.start) else 0, low - 1)
             end = np.searchsorted(rank, todo * width + np.clip(limit - low, -1, width - 1), side="right")
             here[todo] = np.maximum(here[todo], end)
             todo = todo[here[todo] < until[todo]]
@@ -117,21 +127,20 @@ class Windows:
             opens[new] = True
             mark[new] = current[todo] = made + np.arange(len(todo))
             made += len(todo)
-            starts.append(hour[new])
             self._open(click[new], hour[new], hashes[new])
             here[todo] = new + 1
             todo = todo[here[todo] < until[todo]]
         of = mark[np.maximum.accumulate(np.where(mark >= 0, np.arange(len(click)), 0))]
-        repeats = n - opens
-        conflicts = np.where(hashes != self.hash[of], n, 0)
-        for k, x in enumerate((repeats, conflicts, conflicts * crc)):
+        conflicts = np.where((hashes != self.hash[of]).any(1), n, 0)
+        self.counts = self.counts.copy()
+        for k, x in enumerate((n - opens, conflicts, conflicts * crc)):
             np.add.at(self.counts[:, k], of, x)
         self.changed[of] = True
 
     def _open(self, click: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> None:
-        self.click, self.start, self.hash = np.concatenate([self.click, click]), np.concatenate([self.start, start]), np.concatenate([self.hash, hashes])
-        self.counts = np.concatenate([self.counts, np.zeros((len(click), 3), np.int64)])
-        self.closed, self.changed = np.concatenate([self.closed, np.full(len(click), -1)]), np.concatenate([self.changed, np.ones(len(click), bool)])
+        new = {"click": click, "start": start, "hash": hashes, "counts": np.zeros((len(click), 3), np.int64), "closed": np.full(len(click), -1), "changed": np.ones(len(click), bool)}
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
 
     def expire(self, batch: int, before: int) -> None:
         self.closed[(self.closed < 0) & (self.start + SPAN < before)] = batch
@@ -140,53 +149,67 @@ class Windows:
 def added_up(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     """(click, hour, hash, crc, n) in order of the first three, with equal ones added up."""
     click, hour, hashes, crc, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.lexsort((hashes, hour, click))
+    order = np.lexsort((hashes[:, 0], hour, click))
     click, hour, hashes, crc, n = (x[order] for x in (click, hour, hashes, crc, n))
-    new = np.concatenate([[True], (click[1:] != click[:-1]) | (hour[1:] != hour[:-1]) | (hashes[1:] != hashes[:-1])])
+    alike = (click[1:] == click[:-1]) & (hour[1:] == hour[:-1])
+    if (alike & (hashes[1:, 0] == hashes[:-1, 0]) & (hashes[1:] != hashes[:-1]).any(1)).any():  # hashes that begin alike
+        order = np.lexsort((*hashes.T[::-1], hour, click))
+        click, hour, hashes, crc, n = (x[order] for x in (click, hour, hashes, crc, n))
+    new = np.concatenate([[True], (click[1:] != click[:-1]) | (hour[1:] != hour[:-1]) | (hashes[1:] != hashes[:-1]).any(1)])
     return click[new], hour[new], hashes[new], crc[new], np.add.reduceat(n, np.flatnonzero(new))
 
 
 class ExpiringWindows(StatefulProcessor):
-    """State of one bucket: its open windows by click, and the hour below which events are late."""
+    """State of one bucket: its open windows, in a map of pages by the day they started on, and the hour below which events are late."""
 
     def init(self, handle) -> None:
-        self.open = handle.getMapState("windows", "click_id long", "start_hour long, hash binary, n_repeats long, n_conflicts long, conflict_crc long")
+        self.open = handle.getMapState("windows", "day long", "click_id binary, start_hour binary, hash binary, counts binary")
         self.clock = handle.getValueState("clock", "close_before long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         late_before = (self.clock.get() or (-NEVER,))[0]
         parts, held, punctuation = [], 0, None
         for frame in rows:
-            control = frame["batch"].to_numpy() >= 0
-            if control.any():
-                punctuation = tuple(frame.loc[control, ["batch", "close_before"]].astype("int64").iloc[0].tolist())
-            frame = frame[~control & (frame["hour"].to_numpy() >= late_before)]
-            if len(frame):
-                click, hour, crc = (frame[c].to_numpy(np.int64) for c in ("click_id", "hour", "crc"))
-                parts.append((click, hour, np.array(frame["hash"].tolist(), "S32"), crc, np.ones(len(frame), np.int64)))
-                held += len(frame)
+            control, hour = frame["batch"].to_numpy() >= 0, frame["hour"].to_numpy(np.int64)
+            for batch, before in zip(frame["batch"].to_numpy()[control].tolist(), frame["close_before"].to_numpy()[control].tolist(), strict=True):
+                punctuation = batch, before
+            taken = ~control & (hour >= late_before)
+            if taken.any():
+                click, crc = (frame[c].to_numpy(np.int64)[taken] for c in ("click_id", "crc"))
+                parts.append((click, hour[taken], _hashes(frame["hash"].to_numpy()[taken].tolist()), crc, np.ones(len(click), np.int64)))
+                held += len(click)
                 if held > HELD:
                     parts = [added_up(parts)]
                     held = len(parts[0][0])
         if punctuation is None:
             raise ValueError(f"bucket {key[0]} got no punctuation")
         batch, close_before = punctuation
-        windows = Windows([(k[0], *v) for k, v in self.open.iterator()])
+        pages = {k[0]: tuple(v) for k, v in self.open.iterator()}
+        windows = Windows(list(pages.values()))
         if parts:
             windows.fold(batch, *added_up(parts))
         windows.expire(batch, close_before)
         gone = windows.closed >= 0
-        still = set(windows.click[~gone].tolist())
-        for click in windows.click[: windows.stored][gone[: windows.stored]].tolist():
-            if click not in still:
-                self.open.removeKey((click,))
-        for k in np.flatnonzero(windows.changed & ~gone).tolist():
-            self.open.updateValue((int(windows.click[k]),), (int(windows.start[k]), windows.hash[k].ljust(32, b"\0"), *windows.counts[k].tolist()))
+        self.keep(pages, windows, gone)
         self.clock.update((close_before,))
         if gone.any():
             columns = {"click_id": windows.click[gone], "start_hour": windows.start[gone], "closed_batch": windows.closed[gone]}
             columns |= {c: windows.counts[gone, k] for k, c in enumerate(("n_repeats", "n_conflicts", "conflict_crc"))}
-            yield pd.DataFrame(columns | {"hash": [x.ljust(32, b"\0").hex() for x in windows.hash[gone].tolist()]})
+            hexes = windows.hash[gone].astype(">u8").tobytes().hex()
+            yield pd.DataFrame(columns | {"hash": [hexes[k : k + 64] for k in range(0, len(hexes), 64)]})
+
+    def keep(self, pages: dict, windows: Windows, gone: np.ndarray) -> None:
+        """Write the pages whose windows have changed, remove those without any."""
+        day = windows.start // 24
+        touched = np.unique(day[windows.changed | gone])
+        open_ = np.flatnonzero(~gone)
+        open_ = open_[np.argsort(day[open_], kind="stable")]
+        first, until = (np.searchsorted(day[open_], touched, side=s) for s in ("left", "right"))
+        for d, a, b in zip(touched.tolist(), first.tolist(), until.tolist(), strict=True):
+            if a < b:
+                self.open.updateValue((d,), windows.page(open_[a:b]))
+            elif d in pages:
+                self.open.removeKey((d,))
 
     def close(self) -> None:
         pass
