@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from array import array
 from collections import Counter
@@ -15,6 +16,8 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import embedding_dedup, jpeg, minhash, pii
 from tidemark.llm.bpe import Bpe, bpe_codec
 from tidemark.llm.embedding_dedup import near_vectors
@@ -316,7 +319,6 @@ def test_added_spans_and_decoys(spark, docs):
 
 def test_trees_on_fresh_examples(docs):
     """Precision and recall of the trees over values planted anew, by kind; the labels are what was planted."""
-    from pyspark.sql import functions as F
 
     score, thresholds = pii.learn(docs)
     assert set(thresholds) == set(pii.KINDS)
@@ -547,6 +549,33 @@ def test_mined_rules_equal_brute_force(spark, labelled):
     assert 0 < sum(r["verdict"] == "block" for r in own) < len(own)
 
 
+def test_mining_is_bounded_however_many_tokens_meet(spark):
+    """Twenty query keys on the same pages, and eighteen that meet often but not always; equal to counting all combinations."""
+    from itertools import combinations
+
+    import tidemark.llm.url_rules as U
+
+    rnd, began = random.Random(7), time.time()
+    keys = "&".join(f"k{k}=1" for k in range(20))
+    data = [(k, f"http://h{k % 50}.biz/{'buy' if k % 2 else 'read'}?{keys}") for k in range(100_000)]
+    pages = U.split_url(spark.createDataFrame(data, "page_id long, url string").repartition(4)).select(U.tokens().alias("tokens"), F.when(F.col("path") == "/buy", "block").otherwise("allow").alias("verdict"))
+    rules = U.mine(pages, 0.005, 0.95)
+    assert [["path=buy"]] in rules and all(len(r) == 1 for r in rules) and time.time() - began < 90
+    baskets = []
+    for _ in range(1500):
+        keys = sorted(f"k{k}" for k in range(18) if rnd.random() < 0.85)
+        baskets.append((keys, "allow" if {"k1", "k2", "k3"} - {*keys} else "block"))
+    rules = U.mine(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.005, 0.95)
+    n, blocked = Counter(), Counter()
+    for keys, verdict in baskets:
+        for size in (1, 2, 3):
+            for combo in combinations(keys, size):
+                n[combo] += 1
+                blocked[combo] += verdict == "block"
+    want = [c for c in n if blocked[c] >= 0.005 * len(baskets) and U.implies(blocked[c], n[c], 0.95)]
+    assert sorted(tuple(t for part in r for t in part) for r in rules) == sorted(c for c in want if not any({*d} < {*c} for d in want)) == [("k1", "k2", "k3")]
+
+
 # ---------------------------------------------------------------- 9
 
 
@@ -718,7 +747,6 @@ def test_language_id(spark, none):
 
 
 def test_language_sample_is_the_same_each_time(spark):
-    from pyspark.sql import functions as F
 
     from tidemark.llm.language_id import learn
 

@@ -7,8 +7,13 @@ seen on a few decided pages judge no others. Pages without a verdict are what is
 the given rules allow no page at all, so that any token would imply block, they count as allowed. Rules with more tokens
 than one that already blocks are dropped; the rest are matched by an inverted index from token to rules, within the row.
 
-Rules have LONGEST tokens at most, so that their number is bounded by the tokens of a URL and the support threshold, not by
-the table; longer ones are dropped before the rules are collected. Where pages have labels of their own, judge takes them.
+Rules have `longest` tokens at most (LONGEST unless asked otherwise). FP-growth makes every frequent combination of every
+size before any could be dropped, which doubles with each token that URLs share. It is therefore given little to combine,
+without losing a rule: tokens on too few blocked pages go; those that imply block by themselves are rules already, so that
+longer ones with them would be dropped; tokens that are on the same pages stand for each other; and where URLs still have
+more than AT_ONCE tokens, the tokens are dealt into groups, and each choice of `longest` groups, which together hold no
+more than AT_ONCE tokens of any URL, is mined by itself: every combination of so many tokens lies in one choice. Where
+pages have labels of their own, judge takes them.
 
 Edge cases: a null url, or one without `://`, has empty host and path and is allowed; hosts are lower-cased in A-Z only;
 repeated rows get repeated results; an empty table gives no rows; extra columns are ignored.
@@ -17,7 +22,9 @@ repeated rows get repeated results; an empty table gives no rows; extra columns
 from __future__ import annotations
 
 import json
+import math
 import string
+from itertools import combinations
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -27,6 +34,8 @@ MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.95
 #: Tokens of a mined rule, at most: with it, rules number at most (combinations of so many of a URL's tokens) / MIN_SUPPORT.
 LONGEST = 3
+#: Tokens of a URL that are mined at once, at most: a run then makes 2^(AT_ONCE + 1) / MIN_SUPPORT combinations at most.
+AT_ONCE = 12
 BLOCKED = "verdict=block"
 #: verdict, host, path
 RULES = (
@@ -66,37 +75,88 @@ def tokens() -> Column:
     return F.when(F.col("host") != "", every).otherwise(F.array().cast("array<string>"))
 
 
-def mine(labelled: DataFrame, support: float, confidence: float, longest: int = LONGEST) -> list[list[str]]:
-    """Token combinations that imply block, smallest first, none containing another. labelled: tokens, verdict (null if undecided)."""
+class Vocabulary:
+    """Tokens on enough blocked pages: those that imply block by themselves, and the rest, by the one that stands for all on the same pages."""
+
+    def __init__(self, labelled: DataFrame, need: int, confidence: float):
+        page = F.xxhash64("tokens", F.coalesce("verdict", F.lit("")))
+        parts = [F.shiftrightunsigned(page, k * 32).bitwiseAND(F.lit((1 << 32) - 1)).alias(f"h{k}") for k in (0, 1)]
+        each = labelled.select(F.explode("tokens").alias("token"), "verdict", *parts)
+        found = each.groupBy("token").agg(F.count("*").alias("n"), F.count_if(F.col("verdict") == "block").alias("blocked"), F.sum("h0").alias("h0"), F.sum("h1").alias("h1"))
+        rows = sorted(found.where(F.col("blocked") >= need).collect(), key=lambda r: (-r.blocked, r.token))  # (tokens of a URL) / support at most
+        self.alone = sorted(r.token for r in rows if implies(r.blocked, r.n, confidence))
+        self.alike: dict[str, list[str]] = {}
+        first: dict[tuple, str] = {}
+        for r in rows:
+            if not implies(r.blocked, r.n, confidence):
+                self.alike.setdefault(first.setdefault((r.n, r.blocked, r.h0, r.h1), r.token), []).append(r.token)
+
+
+def implies(blocked: int, n: int, confidence: float) -> bool:
+    return blocked >= confidence * n and (blocked + 1) / (n + 2) >= confidence
+
+
+def _of(column: str, tokens: list[str]) -> Column:
+    return F.filter(column, lambda t: t.isin(*tokens))
+
+
+def choices(baskets: DataFrame, tokens: list[str], longest: int) -> list[list[str]]:
+    """Sets of tokens that hold every combination of `longest` tokens and at most AT_ONCE tokens of any basket."""
+    largest = baskets.agg(F.max(F.size("items"))).first()[0] or 0
+    if largest <= AT_ONCE:
+        return [tokens]
+    groups = math.ceil(longest * largest / AT_ONCE)
+    while True:
+        groups = min(groups, len(tokens))
+        dealt = [tokens[k::groups] for k in range(groups)]  # tokens of like frequency, which meet often, go apart
+        inside = F.sort_array(F.array(*(F.size(_of("items", g)) for g in dealt)), asc=False)
+        top = F.aggregate(F.slice(inside, 1, longest), F.lit(0), lambda a, x: a + x)
+        if groups == len(tokens) or baskets.agg(F.max(top)).first()[0] <= max(AT_ONCE, longest):
+            return [[t for g in chosen for t in g] for chosen in combinations(dealt, longest)]
+        groups += max(1, groups // 4)
+
+
+def mine(labelled: DataFrame, support: float, confidence: float, longest: int = LONGEST) -> list[list[list[str]]]:
+    """Rules that imply block, smallest first, none containing another: of each part of a rule, any of the listed tokens. labelled: tokens, verdict (null if undecided)."""
     total, decided, allowed = labelled.agg(F.count("*"), F.count("verdict"), F.count_if(F.col("verdict") == "allow")).first()
     if allowed:
         labelled, total = labelled.where("verdict is not null"), decided
-    baskets = labelled.select(F.when(F.col("verdict") == "block", F.array_append("tokens", F.lit(BLOCKED))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    blocked = F.round(F.col("support") * total)
-    expected = (blocked + 1) / (F.round(blocked / F.col("confidence")) + 2)
-    found = model.associationRules.where(F.array_contains("consequent", BLOCKED) & (F.size("antecedent") <= longest) & (expected >= confidence)).select("antecedent").collect()
-    kept: list[set] = []
-    for row in sorted(sorted(r.antecedent) for r in found):
-        kept.append(set(row))
-    kept.sort(key=lambda r: (len(r), sorted(r)))
-    least: list[set] = []
-    for r in kept:
-        if not any(x <= r for x in least):
-            least.append(r)
-    return [sorted(r) for r in least]
-
-
-def blocked_by(rules: list[list[str]]) -> Column:
-    """Whether all tokens of some rule are among the row's, by an inverted index from token to (rule, its size)."""
+    need = max(1, math.ceil(round(support * total, 9)))
+    vocabulary = Vocabulary(labelled, need, confidence)
+    rules = [[[t]] for t in vocabulary.alone]
+    tokens = list(vocabulary.alike)
+    if longest < 2 or len(tokens) < 2:
+        return rules
+    baskets = labelled.select(_of("tokens", tokens).alias("items"), F.coalesce(F.col("verdict") == "block", F.lit(False)).alias("blocked")).where(F.size("items") > 1)
+    n = baskets.count()
+    found: dict[frozenset, tuple[int, int]] = {}
+    for chosen in choices(baskets, tokens, longest):
+        own = _of("items", chosen)
+        marked = baskets.select(F.when(F.col("blocked"), F.array_append(own, F.lit(BLOCKED))).otherwise(own).alias("items"))
+        model = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / max(n, need)).fit(marked)
+        frequent = {frozenset(r.items): r.freq for r in model.freqItemsets.where(F.size("items") <= longest + 1).collect()}
+        for x, pages in frequent.items():
+            if BLOCKED not in x and 1 < len(x) <= longest and (blocked := frequent.get(x | {BLOCKED}, 0)) >= need:
+                found[x] = (blocked, pages)
+    least: list[frozenset] = []
+    for x in sorted((x for x, (blocked, pages) in found.items() if implies(blocked, pages, confidence)), key=lambda x: (len(x), sorted(x))):
+        if not any(y <= x for y in least):
+            least.append(x)
+    return rules + [[vocabulary.alike[t] for t in sorted(x)] for x in least]
+
+
+def blocked_by(rules: list[list[list[str]]]) -> Column:
+    """Whether some rule has one of each of its parts' tokens among the row's, by an inverted index from token to (rule, part, number of parts)."""
     if not rules:
         return F.lit(False)
     index: dict[str, list] = {}
     for k, rule in enumerate(rules):
-        for token in rule:
-            index.setdefault(token, []).append({"r": k, "n": len(rule)})
-    postings = F.from_json(F.lit(json.dumps(index)), "map<string,array<struct<r:int,n:int>>>")
-    hits = F.flatten(F.transform("tokens", lambda t: F.coalesce(F.element_at(postings, t), F.array().cast("array<struct<r:int,n:int>>"))))
+        for part, tokens in enumerate(rule):
+            for token in tokens:
+                index.setdefault(token, []).append({"r": k, "p": part, "n": len(rule)})
+    kind = "array<struct<r:int,p:int,n:int>>"
+    postings = F.from_json(F.lit(json.dumps(index)), f"map<string,{kind}>")
+    hits = F.array_distinct(F.flatten(F.transform("tokens", lambda t: F.coalesce(F.element_at(postings, t), F.array().cast(kind)))))
     return F.exists(hits, lambda h: F.size(F.filter(hits, lambda g: g["r"] == h["r"])) == h["n"])
 
 
