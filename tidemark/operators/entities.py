@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from .keyphrases import keyphrases
 
 TOP_ENTITIES, TOP_NODES, TOP_GAPS = 200, 60, 50
 OWNED_TO = 20
@@ -43,7 +44,7 @@ def extract(df: DataFrame, min_df: int = 2, max_ngram: int = 2) -> DataFrame:
 
 
 #: Extractors by name: functions of a corpus that return (term, tf, df, idf, position_factor, score); more may be registered.
-EXTRACTORS = {"ngram": extract}
+EXTRACTORS = {"ngram": extract, "statistical": keyphrases}
 
 
 def extractor(name: str = "ngram"):

@@ -60,6 +60,36 @@ def entity_degrees(spark, sf):
     return E.degrees(E.graph(*_entities(spark, sf)))
 
 
+_PHRASES = rf"""with tx as (select doc_id as kw_idx, text, lower(lang) as language from documents),
+ss as (select kw_idx, case language {" ".join(f"when {Q.q(c)} then {Q.array(L.ENTITY_STOPS[c])}" for c in L.ENTITY_STOPS)} else {Q.array(sorted({w for ws in L.ENTITY_STOPS.values() for w in ws}))} end as stop, regexp_extract_all(text, '[^.!?
+]+') as sl from tx),
+su as (select kw_idx, stop, sl, unnest(range(len(sl))) as sentence from ss),
+pa as (select kw_idx, sentence, stop, list_filter(regexp_extract_all(sl[sentence + 1], '[\p{{L}}\p{{N}}_]+'), lambda t: len(t) >= 2) as raw from su),
+pt as (select *, list_transform(raw, lambda r: lower(r)) as t from pa where len(raw) > 0),
+pu as (select kw_idx, sentence, stop, raw, t, unnest(range(1, len(t) + 1)) as i from pt),
+ws as (select sentence, raw[i] as raw, t[i] as term, t[i - 1] as l, t[i + 1] as r, list_position(t, t[i]) = i as new, i > 1 as inn from pu where not list_contains(stop, t[i])),
+wf as (select term, count(*) as tf, greatest(count(*) filter (inn and raw[1] <> lower(raw[1])), count(*) filter (upper(raw) = raw and lower(raw) <> raw)) as cased, median(sentence) as mid, count(*) filter (new) as spread from ws group by 1),
+wl as (select term, count(distinct l) / count(l)::double as l from ws where l is not null group by 1),
+wr as (select term, count(distinct r) / count(r)::double as r from ws where r is not null group by 1),
+wt as (select avg(tf) + stddev_pop(tf) as usual, max(tf) as most, (select count(*) from pt) as sentences from wf),
+wx as (select term, tf, cased, mid, spread, 1 + (coalesce(l, 0) + coalesce(r, 0)) * tf / most as related, usual, sentences from wf left join wl using (term) left join wr using (term), wt),
+sc as (select term, related * ln(ln(3 + mid)) / (cased / (1 + ln(tf)) + (tf / usual + spread::double / sentences) / related) as s from wx),
+ph as (select kw_idx, sentence, t[i] as term from pu where not list_contains(stop, t[i]) union all select kw_idx, sentence, concat(t[i], ' ', t[i + 1]) from pu where i < len(t) and not list_contains(stop, t[i]) and not list_contains(stop, t[i + 1])),
+pf as (select term, count(*) as tf, count(distinct kw_idx) as df, median(sentence) as mid from ph group by 1 having count(distinct kw_idx) >= 2),
+pw as (select term, unnest(string_split(term, ' ')) as word from pf),
+pc as (select pw.term, sum(ln(s)) as product, sum(s) as total from pw join sc on sc.term = word group by 1),
+pr as (select term, tf, df, round(ln((select count(*) from tx)::double / df), 6) as idf, round(ln(ln(3 + mid)), 6) as position_factor, round(ln(tf) + ln(1 + total) - product, 6) as score,
+  array_to_string(list_sort(list_distinct(list_transform(string_split(term, ' '), lambda w: case when len(w) > 3 and w[-1] = 's' then w[:-2] else w end))), ' ') as signature from pf join pc using (term))
+"""
+
+
+@query(_PHRASES + "select term, tf, df, idf, position_factor, score from (select *, row_number() over (partition by signature order by score desc, term) as k from pr) b where k = 1")
+def statistical_keyphrases(spark, sf):
+    """The second extractor over whole texts."""
+    docs = B.read(spark, sf, "documents")
+    return E.extractor("statistical")(docs.select(F.col("doc_id").alias("kw_idx"), F.col("text").alias("keyword"), F.col("lang").alias("language")))
+
+
 #: For gaps: keywords that hold these words have no rank, so that some entities are not owned.
 UNRANKED = ("anvil", "rod")
 _GAP_TERMS = _TERMS.replace("a.position > 0", "not regexp_matches(a.keyword, '" + "|".join(UNRANKED) + "') and a.position > 0")
