@@ -155,7 +155,7 @@ def scopes(df: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def scores(df: DataFrame, config: Config = Config()) -> DataFrame:
-    """Four composite scores; clustered (boolean) tells whether the keyword is in a cluster."""
+    """Four composite scores; clustered (boolean) tells whether the keyword is in a cluster, cannibalisation (if there, see cannibal) the risk that pages compete."""
     volume = F.coalesce(N.volume_score(F.col("volume"), config.volume_reference), F.lit(0.0))
     ease = F.coalesce((100 - F.col("difficulty")).cast("double"), F.lit(50.0))
     place = N.position_score(F.col("position"))
@@ -173,6 +173,8 @@ def scores(df: DataFrame, config: Config = Config()) -> DataFrame:
     quick = 0.30 * ease + 0.25 * volume + 0.15 * near + 0.15 * N.intent_score(F.col("query_type"), "quick_win") + F.lit(0.10 * 60) + 0.05 * serp
     strategic = F.lit(0.30 * 70) + 0.20 * volume + 0.15 * N.intent_score(F.col("query_type"), "main") + F.lit(0.15 * 50) + 0.10 * F.col("geo_score") + 0.10 * ease
     defence = 0.30 * F.when(F.col("branded"), 100.0).otherwise(30.0) + 0.20 * F.col("geo_score") + 0.15 * F.col("aio_score") + 0.10 * volume
+    if "cannibalisation" in df.columns:
+        defence = defence + 0.25 * F.coalesce("cannibalisation", F.lit(0.0))
     wins = F.col("quick_win") == "quick_win"
     return df.withColumns({
         "score_main": F.round(main, 1), "confidence_main": F.round(sure, 3),

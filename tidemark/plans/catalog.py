@@ -282,4 +282,4 @@ def labels_and_escapes(spark, sf):
     return B.read(spark, sf, "customer").select("c_custkey", X.label(F.col("c_name")).alias("label"), X.escape_html(F.concat(F.lit("<"), "c_mktsegment", F.lit("&>"))).alias("escaped"))
 
 
-from . import modules, lookups, portfolio  # noqa: E402, F401, I001  they register their queries
+from . import modules, lookups, portfolio, extensions  # noqa: E402, F401, I001  they register their queries
