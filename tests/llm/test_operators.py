@@ -428,6 +428,27 @@ def test_local_search_of_many_middling_lengths():
         assert sum((Counter({x: n * k for x, k in Counter(p).items()}) for p, n in bins.groups.items()), Counter()) == histogram and all(sum(p) <= 2048 for p in bins.groups)
 
 
+def test_the_search_does_not_grow_with_the_counts():
+    from tidemark.llm import packing
+
+    rnd, began = random.Random(3), time.process_time()
+    histogram = {x: rnd.randint(1, 1_140_000) for x in range(400, 1100)}  # 4e8 documents of 700 lengths
+    bins = best_fit(dict(histogram))
+    before = bins.count()
+    local_search(bins)
+    assert time.process_time() - began < 30 and bins.count() < 0.99 * before
+    held: Counter = Counter()
+    for p, n in bins.groups.items():
+        for x in p:
+            held[x] += n
+    assert held == histogram
+    under = packing.Underfull(2048)
+    for p in bins.groups:
+        if sum(p) < 2048:
+            under.add(p)
+    assert not any(packing._change(p, n, under, 2048) for p, n in bins.groups.items() if sum(p) < 2048)  # no improving pair is left
+
+
 # ---------------------------------------------------------------- 7
 
 

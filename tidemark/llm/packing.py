@@ -296,7 +296,30 @@ def _change(pattern: tuple[int, ...], count: int, under: Underfull, capacity: in
     return found
 
 
+#: Bits of a count that one level of the search looks at first, and that each further level adds.
+FIRST_LEVEL, LEVEL = 6, 1
+
+
 def local_search(bins: Bins) -> Bins:
+    """Raise the sum of squared fills until no pair of underfull bins allows it, by levels of the counts (see settled).
+
+    All counts are first divided by a power of two that leaves FIRST_LEVEL bits, and the changes found there are applied so
+    many times over. Each further level takes in LEVEL bits more: what earlier levels have settled meets remainders of a few
+    bins only. So steps follow the lengths and the number of levels, the logarithm of the largest count, and not the
+    counts; the last level leaves no improving pair.
+    """
+    top = max(bins.groups.values(), default=0).bit_length()
+    for shift in [*range(max(0, top - FIRST_LEVEL), 0, -LEVEL), 0]:
+        level = Bins(bins.capacity)
+        level.groups = {p: n >> shift for p, n in bins.groups.items() if n >> shift}
+        rest = {p: n & (1 << shift) - 1 for p, n in bins.groups.items()}
+        bins.groups = {p: n << shift for p, n in settled(level).groups.items()}
+        for p, n in rest.items():
+            bins.add(p, n)
+    return bins
+
+
+def settled(bins: Bins) -> Bins:
     """Raise the sum of squared fills until no pair of underfull bins allows it, the fullest first and from the least filled.
 
     A change moves one or two pieces of bin b to a fuller-or-equal bin a, for one piece of a or none. Moving weight d
