@@ -230,12 +230,6 @@ def top_clusters(spark, sf):
     return C.describe(clusters, membership, df).orderBy(F.col("volume_total").desc(), "cluster_index").select("cluster_index", "head", "volume_total").limit(12)
 
 
-@query(CHAIN + "select kw_idx, list_sort(list_distinct(list_transform(list_filter(ws, lambda t: len(t) >= 3 and not list_contains(" + Q.array(L.STOP_WORDS["en"]) + ", t)), lambda t: case when len(t) <= 3 then t when ends_with(t, 'ies') and len(t) >= 6 then concat(t[:-4], 'y') "
-       + " ".join(f"when ends_with(t, '{s}') and len(t) - {len(s)} >= 3 then t[:-{len(s) + 1}]" for s in L.STEM_SUFFIXES["en"][1:]) + " else t end))).array_to_string(' ') as stems from la where language = 'en'")
-def stems_english(spark, sf):
-    return K.language(B.keywords(spark, sf)).where("language = 'en'").select("kw_idx", F.array_join(F.array_sort(F.array_distinct(X.stems(F.col("keyword"), F.col("language")))), " ").alias("stems"))
-
-
 @query(Q.texts() + "select doc_id, lang, array_to_string(case lang " + " ".join(f"when {Q.q(c)} then {_stem_sql(c)}" for c in L.LANGUAGES) + " end, ' ') as stems from lt")
 def stems_of_texts(spark, sf):
     """Stems of whole texts by their own language, all four."""
@@ -282,4 +276,4 @@ def labels_and_escapes(spark, sf):
     return B.read(spark, sf, "customer").select("c_custkey", X.label(F.col("c_name")).alias("label"), X.escape_html(F.concat(F.lit("<"), "c_mktsegment", F.lit("&>"))).alias("escaped"))
 
 
-from . import modules, lookups, portfolio, extensions  # noqa: E402, F401, I001  they register their queries
+from . import modules, lookups, portfolio, extensions, composed  # noqa: E402, F401, I001  they register their queries

@@ -18,16 +18,6 @@ from .modules import _OBSERVED, _TOK, _cited, _snapshot_sql, _snapshots
 _values = lambda rows: "(values " + ", ".join("(" + ", ".join(str(v) if isinstance(v, (int, float)) else Q.q(v) for v in r) + ")" for r in rows) + ")"
 
 
-@query("select cast(r as int) as rank, cast(c as double) as ctr, p as provenance from " + _values([(r, c, "confirmed" if r in (1, 2, 3, 10) else "interpolated" if r < 10 else "extrapolated") for r, c in L.CTR.items()]) + " t(r, c, p)")
-def ctr_table(spark, sf):
-    return capture.ctr_table(spark)
-
-
-@query("select token, cast(p as int) as pos, s as synonym from " + _values([(k, n, s) for k, v in L.SYNONYMS.items() for n, s in enumerate(v)]) + " t(token, p, s)")
-def synonym_table(spark, sf):
-    return capture.synonyms(spark)
-
-
 _SYN = "sy as (select * from " + _values([(k, n, s) for k, v in L.SYNONYMS.items() for n, s in enumerate(v)]) + " t(token, p, s))"
 
 
@@ -55,7 +45,8 @@ def composite_keys(spark, sf):
 
 @query(Q.chain() + "select kw_idx, feature, count(*) over (partition by feature) as n from (select kw_idx, unnest(serp_features) as feature from kw) b")
 def feature_counts(spark, sf):
-    return B.keywords(spark, sf).select("kw_idx", F.explode("serp_features").alias("feature")).withColumn("n", F.count("*").over(Window.partitionBy("feature")))
+    rows = B.keywords(spark, sf).select("kw_idx", F.explode("serp_features").alias("feature"))
+    return rows.join(F.broadcast(rows.groupBy("feature").agg(F.count("*").alias("n"))), "feature").select("kw_idx", "feature", "n")  # a row for each of a closed set of features
 
 
 @query(Q.chain() + "select cluster_index, feature, n, r from (select cluster_index, feature, count(*) as n, row_number() over (partition by cluster_index order by count(*) desc, feature) as r from (select cluster_index, unnest(serp_features) as feature from mb join ac using (kw_idx)) b group by 1, 2) c where r <= 8")
@@ -84,9 +75,10 @@ def label_shift(spark, sf):
 @query("select domain, query, round(sum(weight / n::double), 6) as weight, grouping(query) as total from (select page_id % 40 as query, (page_id % 40) % 7 + 1 as weight, regexp_replace(regexp_extract(lower(url), '://([^/?#]*)', 1), '^www\\.', '') as domain, count(*) over (partition by page_id % 40) as n from pages) b group by grouping sets ((query, domain), (domain))")
 def citation_grouping_sets(spark, sf):
     cited = _cited(spark, sf)
-    per = cited.withColumn("n", F.count("*").over(Window.partitionBy("query")))
-    per.createOrReplaceTempView("tidemark_cited")
-    return spark.sql("select domain, query, round(sum(weight / n), 6) as weight, cast(grouping(query) as bigint) as total from tidemark_cited group by grouping sets ((query, domain), (domain))")
+    each = cited.groupBy("query", "domain").agg(F.sum("weight").alias("weight"), F.count("*").alias("own"))  # a hot query arrives as one row a task and domain
+    per = each.join(each.groupBy("query").agg(F.sum("own").alias("n")), "query")
+    sets = per.groupingSets([[F.col("query"), F.col("domain")], [F.col("domain")]], F.col("query"), F.col("domain"))
+    return sets.agg(F.round(F.sum(F.col("weight") / F.col("n")), 6).alias("weight"), F.grouping("query").cast("bigint").alias("total")).select("domain", "query", "weight", "total")
 
 
 @query("select doc_id, nfc_normalize(text) as composed from documents")
