@@ -12,6 +12,7 @@ from ..operators import clusters as C
 from ..operators import entities as E
 from ..operators import graphs as G
 from ..operators import keywords as K
+from ..operators import neighbours as near
 from ..operators import reconcile as V
 from ..operators import subclusters as U
 from . import bindings as B
@@ -134,3 +135,13 @@ def defence_scores(spark, sf):
     df = B.keywords(spark, sf).withColumn("clustered", F.col("parent_topic").isNotNull())
     scoped = K.scopes(K.enrich(df, CONFIG), CONFIG)
     return K.scores(N.with_risk(scoped, N.keyword_risk(_pages(spark, sf))), CONFIG).select("kw_idx", "cannibalisation", "score_aeo")
+
+
+# ---------------------------------------------------------------- embeddings
+
+
+@query()
+def embedding_clusters(spark, sf):
+    """Clusters of a graph of nearest neighbours; SQL has no counterpart, tests hold recall and planted clusters."""
+    vectors = B.read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return near.embedding_clusters(vectors).select(F.col("id").alias("vec_id"), "cluster")
