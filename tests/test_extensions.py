@@ -92,6 +92,18 @@ def test_subclusters_equal_a_sequential_split(spark):
     assert empty[0].count() == empty[1].count() == 0
 
 
+def test_briefs_list_keywords_as_written(spark):
+    from tidemark.operators import summary as S
+
+    rows = [(0, "red shoes", "Red Shoes", 5), (1, "red shoes", "RED shoes", 9), (2, "how to clean shoes", "How to clean shoes?", 3), (3, "plain", None, 1)]
+    df = spark.createDataFrame([(*r, r[0] == 2, "create") for r in rows], "kw_idx long, keyword string, keyword_original string, volume long, question_shape boolean, action string")
+    clusters = spark.createDataFrame([(0, "red shoes", 4, 18, "informational")], "cluster_index long, head string, size long, volume_total long, dominant_intent string")
+    membership = spark.createDataFrame([(k, 0) for k in range(4)], "kw_idx long, cluster_index long")
+    got = S.briefs(df, clusters, membership).first()
+    assert (got.primary, got.secondaries, got.questions) == ("Red Shoes", "How to clean shoes?|plain", "How to clean shoes?")
+    assert S.briefs(df.drop("keyword_original"), clusters, membership).first().primary == "red shoes"
+
+
 def test_pages_that_compete(spark):
     columns = "keyword string, competitor_url string, position int, source string, branded boolean"
     early = spark.createDataFrame([("x", "https://www.c.example/1", 4, "gsc", False), ("x", "https://rival.example/c.example", 1, "gsc", False), ("y", "https://c.example/1", None, "moz", None), ("brand", "https://c.example/9", 1, "gsc", True)], columns)

@@ -66,10 +66,12 @@ def briefs(df: DataFrame, clusters: DataFrame, membership: DataFrame, secondarie
     """cluster_index, head, size, volume_total, intent, format, action, primary, secondaries, questions (joined by a bar).
 
     The primary keyword has the most volume (the first of equals), secondaries follow it without repeats; questions are in
-    the corpus's order; the action is that of most members (the first seen of equals).
+    the corpus's order; the action is that of most members (the first seen of equals). Keywords are told apart by their
+    normal form and listed as they were written in the first of their rows, where df has keyword_original.
     """
-    rows = df.select("kw_idx", "keyword", F.coalesce("volume", F.lit(0)).alias("v"), "question_shape", "action").join(membership, "kw_idx")
-    distinct = rows.groupBy("cluster_index", "keyword").agg(F.max("v").alias("v"), F.min_by("kw_idx", F.struct(-F.col("v"), F.col("kw_idx"))).alias("at"), F.min(F.when(F.col("question_shape"), F.col("kw_idx"))).alias("asked"))
+    written = F.coalesce("keyword_original", "keyword") if "keyword_original" in df.columns else F.col("keyword")
+    rows = df.select("kw_idx", "keyword", written.alias("written"), F.coalesce("volume", F.lit(0)).alias("v"), "question_shape", "action").join(membership, "kw_idx")
+    distinct = rows.groupBy("cluster_index", "keyword").agg(F.max("v").alias("v"), F.min_by("kw_idx", F.struct(-F.col("v"), F.col("kw_idx"))).alias("at"), F.min(F.when(F.col("question_shape"), F.col("kw_idx"))).alias("asked"), F.min_by("written", "kw_idx").alias("written")).drop("keyword").withColumnRenamed("written", "keyword")
     by_volume = distinct.withColumn("r", F.row_number().over(Window.partitionBy("cluster_index").orderBy(F.col("v").desc(), "at"))).where(F.col("r") <= 1 + secondaries)
     listed = lambda order: F.transform(F.array_sort(F.collect_list(F.struct(order, "keyword"))), lambda x: x["keyword"])
     best = by_volume.groupBy("cluster_index").agg(F.min_by("keyword", "r").alias("primary"), F.array_join(F.slice(listed("r"), 2, secondaries), "|").alias("secondaries"))
