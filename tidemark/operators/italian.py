@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from .clusters import settle
 from .keywords import _pick, intent_weights
 
 PRIOR_SHARE, PRIOR_EVIDENCE, PRIOR_CONFIDENCE = 0.5, 10, 0.55
@@ -76,7 +77,7 @@ def evidence(voted: DataFrame) -> DataFrame:
 
 def correct(df: DataFrame, words: Gazetteer = Gazetteer()) -> DataFrame:
     """df with language, language_confidence and query_type corrected, and reason (null where nothing changed)."""
-    voted = votes(df, words)
+    voted = settle(votes(df, words))  # read twice: for the evidence of all rows, and row by row
     both = voted.crossJoin(F.broadcast(evidence(voted).select("prior")))  # one row of one flag
     k = F.col("keyword")
     zero = (F.col("it_score") == 0) & (F.col("engine_score") == 0)

@@ -47,7 +47,8 @@ def _pick(pairs: list[tuple[str, Column]]) -> Column:
 
 def language(df: DataFrame) -> DataFrame:
     """language, language_confidence: letters count two votes, stop words one each."""
-    df = df.withColumn("_words", X.words(F.col("keyword")))  # split once for all languages
+    every = sorted({w for c in L.LANGUAGES for w in L.STOP_WORDS[c]})
+    df = df.withColumn("_words", F.filter(X.words(F.col("keyword")), lambda t: t.isin(*every)))  # split once, and looked up once where no language has the word
 
     def votes(code):
         n = F.size(F.filter("_words", lambda t: t.isin(*L.STOP_WORDS[code])))  # a hash set, as whole texts are voted on too
