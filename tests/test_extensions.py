@@ -104,6 +104,22 @@ def test_briefs_list_keywords_as_written(spark):
     assert S.briefs(df.drop("keyword_original"), clusters, membership).first().primary == "red shoes"
 
 
+def test_serialised_records_and_orders(spark):
+    import json
+
+    from tidemark.operators import compare as R
+    from tidemark.operators import entities as E
+    from tidemark.sources import reports
+
+    df = spark.createDataFrame([(3, "b", 1.23456789, "p", "u", 1, "raw", ["x"]), (4, None, None, None, None, None, None, None)], "kw_idx long, keyword string, score double, parent_topic string, competitor_url string, domain_rank int, intent_label_raw string, serp_features array<string>")
+    got = {r.kw_idx: r.record for r in reports.serialised(df).collect()}
+    assert got[3] == '{"keyword":"b","score":1.234568,"serp_features":["x"]}' and json.loads(got[4]) == {}
+    weights = spark.createDataFrame([(0, 0.5, 7), (1, 0.1, 9), (2, 0.0, 7), (3, 1.0, 0)], "cluster_index long, authority double, weight long")
+    assert [r.cluster_index for r in E.in_order(weights).orderBy("place").collect()] == [1, 0, 2, 3]
+    base, current = (spark.createDataFrame([(k,) for k in ks], "k string") for ks in ("abcc", "bxyz"))
+    assert sorted(tuple(r) for r in R.samples(R.changes(base, current, "k"), "k", 2).collect()) == [("added", "x", 1), ("added", "y", 2), ("dropped", "a", 1), ("dropped", "c", 2)]
+
+
 def test_pages_that_compete(spark):
     columns = "keyword string, competitor_url string, position int, source string, branded boolean"
     early = spark.createDataFrame([("x", "https://www.c.example/1", 4, "gsc", False), ("x", "https://rival.example/c.example", 1, "gsc", False), ("y", "https://c.example/1", None, "moz", None), ("brand", "https://c.example/9", 1, "gsc", True)], columns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,6 +20,20 @@ def paired(base: DataFrame, current: DataFrame, fields: list[str], key: str = "k
     return b.join(c, key, "full_outer").withColumns({"in_base": F.coalesce("in_base", F.lit(False)), "in_current": F.coalesce("in_current", F.lit(False))})
 
 
+def changes(base: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """(key, added, dropped) of the keys that only one run has."""
+    keys = [df.select(key).distinct() for df in (base, current)]
+    only = lambda df, other, added: df.join(other, key, "left_anti").select(key, F.lit(added).alias("added"), F.lit(not added).alias("dropped"))
+    return only(keys[1], keys[0], True).unionByName(only(keys[0], keys[1], False))
+
+
+def samples(found: DataFrame, key: str, n: int = 20) -> DataFrame:
+    """(change, rank, key): the first n of added and of dropped keys, in order of the key; found: see changes."""
+    change = F.when(F.col("added"), "added").otherwise("dropped")
+    order = Window.partitionBy("change").orderBy(key)
+    return found.select(change.alias("change"), key).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)  # each task hands on its first n
+
+
 def resolution() -> Column:
     """Movement of a quick win between two runs, over paired()'s columns."""
     was, is_ = F.coalesce(F.col("b_quick_win") == "quick_win", F.lit(False)), F.coalesce(F.col("c_quick_win") == "quick_win", F.lit(False))

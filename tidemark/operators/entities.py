@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions import text as X
+from .clusters import numbered_by_range
 from .keyphrases import keyphrases
 
 TOP_ENTITIES, TOP_NODES, TOP_GAPS = 200, 60, 50
@@ -90,6 +91,12 @@ def authority(df: DataFrame, entities: DataFrame, membership: DataFrame) -> Data
     return got.select("cluster_index", F.when(F.col("weight") > 0, F.round(F.col("o") / F.col("weight"), 4)).otherwise(0.0).alias("authority"), "weight")
 
 
+def in_order(authority_: DataFrame) -> DataFrame:
+    """authority_ with place: 0 for the largest weight, the first cluster of equals; counted by ranges, not in one task."""
+    at = F.struct((-F.col("weight")).alias("w"), "cluster_index")
+    return numbered_by_range(authority_.withColumn("_at", at), "_at", "place").drop("_at")
+
+
 def spread(df: DataFrame, entities: DataFrame, membership: DataFrame) -> DataFrame:
     """(term, clusters, dominant_cluster): the clusters of an entity's keywords, and that of most of them (the first seen of equals)."""
     few = F.broadcast(entities.select("term"))

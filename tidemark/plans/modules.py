@@ -115,6 +115,14 @@ def topical_authority(spark, sf):
     return E.authority(df, entities, C.parent_clusters(df)[1])
 
 
+@query(Q.chain(_TERMS, _AUTHORITY) + "select row_number() over (order by weight desc, cluster_index) - 1 as place, cluster_index, cast(authority as double) as authority, weight from au")
+def authority_order(spark, sf):
+    """Clusters with entities, by weight."""
+    df, entities = _entities(spark, sf)
+    found = E.authority(df, entities, C.parent_clusters(df)[1])
+    return E.in_order(found).select("place", "cluster_index", "authority", "weight")
+
+
 # ---------------------------------------------------------------- trends
 
 _MK = """pr as (select a.grp, sign(b.v - a.v) as s, (b.v - a.v) / (b.pos - a.pos) as slope from sr a join sr b on a.grp = b.grp and a.pos < b.pos),
@@ -407,12 +415,25 @@ def fallers(spark, sf):
     return R.movers(_snapshots(spark, sf), "score_main", False)
 
 
-@query("select coalesce(a, b) as o_custkey, a is null as added, b is null as dropped from (select distinct o_custkey as a from orders where o_orderstatus = 'F') x full join (select distinct o_custkey as b from orders where o_orderstatus = 'O') y on a = b where a is null or b is null")
-def key_changes(spark, sf):
+_BEFORE = "o_orderdate < timestamp '1998-01-01 00:00:00'"
+_CHANGED = f"ch as (select coalesce(a, b) as o_custkey, a is null as added, b is null as dropped from (select distinct o_custkey as a from orders where {_BEFORE}) x full join (select distinct o_custkey as b from orders where not ({_BEFORE})) y on a = b where a is null or b is null)"
+
+
+def _changes(spark, sf):
+    """Customers of two runs that share the orders between them."""
     orders = B.read(spark, sf, "orders")
-    base, current = (orders.where(F.col("o_orderstatus") == s).select("o_custkey").distinct() for s in "FO")
-    change = lambda df, added: df.select("o_custkey", F.lit(added).alias("added"), F.lit(not added).alias("dropped"))
-    return change(current.join(base, "o_custkey", "left_anti"), True).unionByName(change(base.join(current, "o_custkey", "left_anti"), False))
+    return R.changes(orders.where(_BEFORE), orders.where(f"not ({_BEFORE})"), "o_custkey")
+
+
+@query(f"with {_CHANGED} select * from ch")
+def key_changes(spark, sf):
+    return _changes(spark, sf)
+
+
+@query(f"with {_CHANGED} select change, o_custkey, rank::int as rank from (select case when added then 'added' else 'dropped' end as change, o_custkey, row_number() over (partition by added order by o_custkey) as rank from ch) b where rank <= 20")
+def membership_samples(spark, sf):
+    """The first keys that opened and closed, in order."""
+    return R.samples(_changes(spark, sf), "o_custkey").select("change", "o_custkey", "rank")
 
 
 _AUDIT = "select count(*) as total, 0::bigint as empty, 0::bigint as too_long, count(*) filter (volume < 0) as negative_volume, count(*) filter (difficulty < 0 or difficulty > 100) as bad_difficulty, count(*) filter (position < 1 or position > 100) as bad_position, (select cast(sum(n - 1) as bigint) from (select count(*) as n from kw group by keyword) b) as duplicates from kw"

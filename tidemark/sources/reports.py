@@ -184,6 +184,17 @@ def audit_report(findings: DataFrame, form: str = "human") -> str:
 # ---------------------------------------------------------------- stored analyses
 
 
+#: What a serialised record leaves out.
+LEFT_OUT = ("parent_topic", "competitor_url", "domain_rank", "intent_label_raw")
+
+
+def serialised(df: DataFrame) -> DataFrame:
+    """(kw_idx, record): each keyword as one JSON object in order of its fields' names, without LEFT_OUT; null fields are left out, doubles have 6 places at most."""
+    kept = sorted(c for c in df.columns if c not in (*LEFT_OUT, "kw_idx"))
+    real = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.select("kw_idx", F.to_json(F.struct(*(F.round(c, 6).alias(c) if c in real else F.col(c) for c in kept))).alias("record"))
+
+
 def portable(path: str, root: str) -> str:
     """A path below the root relative to it, any other by its bare name: no prefix of a machine stays."""
     try:
@@ -193,7 +204,7 @@ def portable(path: str, root: str) -> str:
 
 
 def save_analysis(run, folder: str, pinned_at: str, inputs=(), config=None, root: str = "", client: str = "", fingerprint: str = "") -> dict:
-    """analysis.json, _metadata/ and the stage tables as Parquet (which may be in any store that Spark reaches).
+    """analysis.json, _metadata/, the stage tables as Parquet and the serialised records as lines of JSON, in any store that Spark reaches.
 
     The JSON files are small: figures, parameters, and one entry for each input file.
     """
@@ -201,6 +212,7 @@ def save_analysis(run, folder: str, pinned_at: str, inputs=(), config=None, root
         getattr(run, name).write.mode("overwrite").parquet(f"{folder}/stages/{name}")
     for name, df in run.slots.items():
         df.write.mode("overwrite").parquet(f"{folder}/stages/slot_{name}")
+    serialised(run.keywords).select("record").write.mode("overwrite").text(f"{folder}/records")
     files = [portable(str(p), root) for p in inputs]
     parameters = {k: list(v) if isinstance(v, tuple) else v for k, v in (vars(config) if config is not None else {}).items()}
     state = {"run_metadata": {"timestamp": pinned_at, "methodology_version": METHODOLOGY}, "corpus_summary": figures(run.keywords, client), "slots": sorted(run.slots), "inputs": files}
