@@ -65,6 +65,8 @@ def test_divergence_hands_on_counts_when_its_table_is_full(spark, monkeypatch):
     df = spark.createDataFrame(docs, "lang string, source string, text string")
     whole = sorted(tuple(r) for r in A.divergence(df, least=5).collect())
     monkeypatch.setattr(A, "MOST_COUNTS", 10)
+    monkeypatch.setattr(A, "PART", 5)
+    assert [w for part in A._words(b"Ab,cd  e-fghij klm 1") for w in part] == [b"ab", b"cd", b"e", b"fghij", b"klm"]
     assert sorted(tuple(r) for r in A.divergence(df, least=5).collect()) == whole == audit_brute(docs, 5)
 
 
@@ -233,10 +235,15 @@ def test_sequences_hold_the_librarys_ids_once(spark):
     assert S.pack_in_order(df.limit(0), BYTE_MODEL, P.PATTERN).count() == 0
 
 
-def test_encoding_equals_the_library():
+def test_encoding_equals_the_library(monkeypatch):
     codec, t, rnd = S.built(open(BYTE_MODEL, "rb").read(), P.PATTERN), library(), random.Random(1)
     for x in [y for y in ODD if y] + ["".join(rnd.choice("ab.!  \n\t\xa01é'日") for _ in range(rnd.randint(1, 40))) for _ in range(4000)]:
         assert codec.encode(x) == t.encode(x, add_special_tokens=False).ids
+    long = " ".join(rnd.choice(["word", "Wörter.", "\n\n", "  x", "1234"]) for _ in range(3000))
+    for size in (1, 2, 7, 100, 1 << 20):
+        monkeypatch.setattr(S, "PART", size)
+        for x in ("", "a", " ", "ab  c", long, "y" * 500):
+            assert codec.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids
     with pytest.raises(ValueError):
         S.ByteLevel(open(P.path("word_bpe_49k.json"), "rb").read(), P.PATTERN)
 

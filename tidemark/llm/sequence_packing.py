@@ -46,6 +46,8 @@ STRIDE = 128
 BLOCK = 1 << 19
 #: A run of so much white space overflows the stack of tiktoken's pattern engine; such a text goes to the tokenizers library.
 LONG_RUN = 10_000
+#: Characters that are encoded at once, about, and where such a part may end.
+PART, WORD_END = 1 << 20, re.compile(r"\S(?=\s)")
 #: How sentences end in ids: one that ends with a mark, before one that begins with white space.
 MARKS, SPACES = (b".", b"!", b"?"), (b" ", b"\n", b"\r", b"\t")
 
@@ -81,6 +83,16 @@ class ByteLevel:
         for token, k in ranks.items():
             self.ends[k], self.begins[k] = token.endswith(MARKS), token.startswith(SPACES)
 
+    def ids(self, text: str) -> np.ndarray:
+        """The text's ids. A long text goes by parts that end before white space, where a word always ends."""
+        found, at = [], 0
+        while at < len(text):
+            cut = WORD_END.search(text, at + PART - 1) if len(text) - at > PART else None
+            end = cut.end() if cut else len(text)
+            found.append(np.array(self.encode(text[at:end]), np.uint32))
+            at = end
+        return np.concatenate(found) if found else np.zeros(0, np.uint32)
+
     def encode(self, text: str) -> list[int]:
         if len(text) > LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
             if self.library is None:
@@ -174,7 +186,7 @@ def pack_in_order(docs: DataFrame, model_path: str, pattern: str, capacity: int
         for batch in batches:
             kind = batch.schema.field(0).type
             for doc_id, text in rows(batch):
-                own = np.array(codec.encode(text), np.uint32) if text else np.zeros(0, np.uint32)
+                own = codec.ids(text or "")
                 sentences.append(codec.sentence_ends(own) + held)
                 ids.frombytes(own.tobytes())
                 ids.append(END)

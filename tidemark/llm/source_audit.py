@@ -18,7 +18,7 @@ overflows.
 Edge cases: a null text, lang or source reads as ''; a source without terms, or a language without kept terms (V = 0),
 has pairs of value 0 (all shares are equal or there are none) and no `term` rows; a language with one source has no
 pairs; repeated rows are documents of their own; ties rank by the item's UTF-8 bytes; an empty table gives no rows; a
-very long text is counted like any other (it is split once, in its task); extra columns are ignored.
+very long text is split a part at a time; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +37,8 @@ SCALE = 1_000_000_000
 TOP = 50
 #: Entries of a task's table of counts; beyond it the counts so far are handed on.
 MOST_COUNTS = 400_000
+#: Bytes of a text that are split at once, about.
+PART = 1 << 20
 #: Bytes that end a term become blanks, A-Z become a-z; bytes of 0x80 and more belong to letters beyond ASCII.
 _TERM_BYTES = bytes(b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)).lower()
 
@@ -51,11 +53,12 @@ def term_counts(docs: DataFrame) -> DataFrame:
             lang, source, text = batch.columns
             for start in range(0, batch.num_rows, 256):
                 for a, b, t in zip(*(c.slice(start, 256).to_pylist() for c in (lang, source, text)), strict=True):
-                    words = t.translate(_TERM_BYTES).split()
                     total, found = seen.get((a, b)) or seen.setdefault((a, b), (Counter(), Counter()))
-                    before = len(total)
-                    total.update(words)
-                    found.update(set(words))
+                    before, own = len(total), set()
+                    for words in _words(t):
+                        total.update(words)
+                        own.update(words)
+                    found.update(own)
                     size += len(total) - before
                     if size > MOST_COUNTS:
                         yield from _as_batches(seen)
@@ -67,6 +70,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return got.mapInArrow(count, "lang string, source string, term binary, n long, docs long")
 
 
+def _words(text: bytes):
+    """The terms of a text, a part at a time; parts end between terms."""
+    text, at = text.translate(_TERM_BYTES), 0
+    while at < len(text):
+        end = text.find(b" ", at + PART)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
+        at = end
+
+
 def _named(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
