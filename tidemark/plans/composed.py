@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions import text as X
 from ..operators import answers as A
 from ..operators import clusters as C
 from ..operators import entities as E
@@ -13,8 +14,9 @@ from ..operators import fanout as O
 from ..operators import pulse as P
 from . import bindings as B
 from . import modules as M
+from . import pipeline
 from . import sql as Q
-from .catalog import clustered, query
+from .catalog import CONFIG, clustered, query
 
 _FAN = (M._SIB, M._DOCS.rstrip().rstrip(","), M._TERMS3, M._ASKED, M._SCORED, M._FAN)
 _COVERED = "cv as (select cluster_index, round(avg(case when covered then 1.0::double else 0 end), 4) as coverage from fq group by 1)"
@@ -78,3 +80,22 @@ def graph_fan_out(spark, sf):
     docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
     made = O.sub_queries(C.settle(clusters), docs, near.select("head", "term", "rank"), year=M._YEAR)
     return made.select("cluster_index", "archetype", "norm", F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def whole_run(spark, sf):
+    """One run of the engine with all five modules on leader clusters: a row for each cluster with what every slot says of it.
+
+    SQL has the parts (leader clusters, and each module on parent topics), not their composition.
+    """
+    kw = B.keywords(spark, sf)
+    run = pipeline.analyze(kw, CONFIG)
+    norm = kw.select(F.col("kw_idx").alias("l_partkey"), X.norm_key(F.col("keyword")).alias("norm_kw"))
+    shipped = B.read(spark, sf, "lineitem").groupBy("l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("period")).agg(F.sum("l_quantity").alias("q"))
+    series = C.settle(shipped.join(norm, "l_partkey").groupBy("norm_kw", "period").agg(F.sum("q").cast("double").alias("value")))
+    slots = pipeline.run_modules(run, series=series, year=M._YEAR).slots
+    keepers = slots["gatekeepers"].groupBy("cluster_index").agg(F.count("*").alias("gatekeepers"))
+    out = run.clusters.select("cluster_index", "head", "size", "volume_total", "dominant_intent")
+    for part in (slots["authority"].select("cluster_index", "authority"), slots["coverage"].select("cluster_index", "coverage"), slots["state"].select("cluster_index", "state", "p_value"), slots["readiness"], slots["bands"], keepers):
+        out = out.join(part, "cluster_index", "left")
+    return out.withColumn("gatekeepers", F.coalesce("gatekeepers", F.lit(0)))
