@@ -40,6 +40,8 @@ from .common import shared_dir
 BATCHES = 8
 #: Hours that a window covers after its start, and hours behind the latest that still count.
 SPAN, HORIZON = 24, 96
+#: Events of one partition of the state over all batches, at least: a small table is not dealt over all that the session has.
+PARTITION_EVENTS = 20_000
 #: Events of one bucket over all batches, about, and buckets for each partition of the state at least.
 BUCKET_EVENTS, BUCKETS_A_PARTITION = 200_000, 6
 #: Events that a bucket holds before equal ones are added up.
@@ -215,10 +217,10 @@ class ExpiringWindows(StatefulProcessor):
         pass
 
 
-def _session(spark: SparkSession) -> SparkSession:
+def _session(spark: SparkSession, total: int) -> SparkSession:
     """A session of its own, as the state needs settings that the caller's other queries should not get."""
     own = spark.newSession()
-    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.shuffle.partitions", str(max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PARTITION_EVENTS))))
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")  # many small stores: no space taken in advance
@@ -238,9 +240,10 @@ def expire_duplicates(events: DataFrame, batches: int = BATCHES) -> DataFrame:
     data = events.withColumns({"bucket": F.lit(-1), "part": F.col("batch"), "batch": F.lit(-1), "close_before": F.lit(0).cast("long")})
     data.write.option("compression", "zstd").partitionBy("part").parquet(f"{folder}/staged")
     told = {r.part: r for r in spark.read.schema(EVENT + ", part int").parquet(f"{folder}/staged").groupBy("part").agg(F.max("hour").alias("hour"), F.count("*").alias("n")).collect()}  # one row for each batch
-    own = _session(spark)
+    total = sum(r.n for r in told.values())
+    own = _session(spark, total)
     partitions = int(own.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(BUCKETS_A_PARTITION * partitions, sum(r.n for r in told.values()) // BUCKET_EVENTS)
+    buckets = max(BUCKETS_A_PARTITION * partitions, total // BUCKET_EVENTS)
     files.mkdirs(at(f"{folder}/in"))
     latest = None
     for batch in range(batches):
