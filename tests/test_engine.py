@@ -305,3 +305,17 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.demand for r in spark.sql("select * from d").collect()] == [5.0]
+
+
+@pytest.mark.parametrize("name", ["cluster_bands", "cluster_view", "question_examples", "authority_order", "citation_checklist"])
+def test_modules_read_the_stored_corpus(spark, name):
+    """The corpus is computed once and stored: no branch of the final plan goes back to the given tables."""
+    files = catalog.QUERIES[name](spark, SF).inputFiles()
+    assert files and not [f for f in files if "lineitem" in f or "part.parquet" in f]
+
+
+def test_keywords_are_dealt_over_all_partitions(spark):
+    """Few bytes of keywords are much work; one small file must not become one task."""
+    from tidemark.plans import bindings as B
+
+    assert B.keywords(spark, SF).rdd.getNumPartitions() == 4

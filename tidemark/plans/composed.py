@@ -16,7 +16,7 @@ from . import bindings as B
 from . import modules as M
 from . import pipeline
 from . import sql as Q
-from .catalog import CONFIG, clustered, query
+from .catalog import CONFIG, CORE, clustered, query
 
 _FAN = (M._SIB, M._DOCS.rstrip().rstrip(","), M._TERMS3, M._ASKED, M._SCORED, M._FAN)
 _COVERED = "cv as (select cluster_index, round(avg(case when covered then 1.0::double else 0 end), 4) as coverage from fq group by 1)"
@@ -32,11 +32,10 @@ _ALL = Q.chain(M._TERMS, M._AUTHORITY, M._SIGNALS, *_FAN, _COVERED, _SERIES, M._
 
 def _signals(spark, sf):
     """Everything the modules take, each computed once: corpus, membership, readiness, authority, coverage, state."""
-    df, clusters, membership = clustered(spark, sf)
-    df, membership = C.settle(df), C.settle(membership)
+    df, clusters, membership = clustered(spark, sf, CORE)
     authority = C.settle(E.authority(df, C.settle(E.salient(df)), membership))
     docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
-    made = C.settle(O.sub_queries(C.settle(clusters), docs, year=M._YEAR))
+    made = C.settle(O.sub_queries(clusters, docs, year=M._YEAR))
     queries = made.select("cluster_index", F.col("norm").alias("query"), "norm", "archetype")
     coverage = C.settle(O.coverage(queries, C.settle(O.bm25(queries, docs)))[1])
     shipped = B.read(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("kw_idx"), F.date_trunc("month", "l_shipdate").alias("period")).agg(F.sum("l_quantity").cast("double").alias("value"))
@@ -73,12 +72,12 @@ fo_b as"""
 @query(Q.chain(M._TERMS, M._SIB, M._DOCS.rstrip().rstrip(","), M._TERMS3, _NEAR, M._ASKED.replace("from ft join hd", "from fz join hd").replace("),\nfo_b as", _ALONG, 1)) + "select cluster_index, archetype, norm, rank from fo")
 def graph_fan_out(spark, sf):
     """Sub-queries with the neighbours of heads that are entities."""
-    df, clusters, membership = clustered(spark, sf)
+    df, clusters, membership = clustered(spark, sf, CORE)
     edges = C.settle(E.graph(df, C.settle(E.salient(df))))
     ways = edges.select(F.col("a").alias("head"), F.col("b").alias("term"), "weight").unionByName(edges.select(F.col("b").alias("head"), F.col("a").alias("term"), "weight"))
     near = ways.withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(F.col("weight").desc(), "term")))  # of at most 60 nodes
     docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
-    made = O.sub_queries(C.settle(clusters), docs, near.select("head", "term", "rank"), year=M._YEAR)
+    made = O.sub_queries(clusters, docs, near.select("head", "term", "rank"), year=M._YEAR)
     return made.select("cluster_index", "archetype", "norm", F.col("rank").cast("long").alias("rank"))
 
 
@@ -90,7 +89,7 @@ def whole_run(spark, sf):
     """
     kw = B.keywords(spark, sf)
     run = pipeline.analyze(kw, CONFIG)
-    norm = kw.select(F.col("kw_idx").alias("l_partkey"), X.norm_key(F.col("keyword")).alias("norm_kw"))
+    norm = run.keywords.select(F.col("kw_idx").alias("l_partkey"), X.norm_key(F.col("keyword")).alias("norm_kw"))
     shipped = B.read(spark, sf, "lineitem").groupBy("l_partkey", F.date_format("l_shipdate", "yyyy-MM").alias("period")).agg(F.sum("l_quantity").alias("q"))
     series = C.settle(shipped.join(norm, "l_partkey").groupBy("norm_kw", "period").agg(F.sum("q").cast("double").alias("value")))
     slots = pipeline.run_modules(run, series=series, year=M._YEAR).slots

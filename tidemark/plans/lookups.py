@@ -12,7 +12,7 @@ from ..operators import keywords as K
 from ..sources import capture
 from . import bindings as B
 from . import sql as Q
-from .catalog import clustered, engine, query
+from .catalog import CORE, clustered, engine, query
 from .modules import _OBSERVED, _TOK, _cited, _snapshot_sql, _snapshots
 
 _values = lambda rows: "(values " + ", ".join("(" + ", ".join(str(v) if isinstance(v, (int, float)) else Q.q(v) for v in r) + ")" for r in rows) + ")"
@@ -23,7 +23,7 @@ _SYN = "sy as (select * from " + _values([(k, n, s) for k, v in L.SYNONYMS.items
 
 @query(Q.chain(_SYN, f"ht as (select cluster_index, unnest({_TOK.replace('keyword', 'head')}) as token from cl)") + "select cluster_index, token, s as synonym from ht join sy using (token)")
 def head_synonyms(spark, sf):
-    clusters = clustered(spark, sf)[1]
+    clusters = clustered(spark, sf, CORE)[1]
     tokens = clusters.select("cluster_index", F.explode(X.tokens(F.col("head"))).alias("token"))
     return tokens.join(F.broadcast(capture.synonyms(spark)), "token").select("cluster_index", "token", "synonym")
 
@@ -51,7 +51,7 @@ def feature_counts(spark, sf):
 
 @query(Q.chain() + "select cluster_index, feature, n, r from (select cluster_index, feature, count(*) as n, row_number() over (partition by cluster_index order by count(*) desc, feature) as r from (select cluster_index, unnest(serp_features) as feature from mb join ac using (kw_idx)) b group by 1, 2) c where r <= 8")
 def cluster_features(spark, sf):
-    df, _, membership = clustered(spark, sf)
+    df, _, membership = clustered(spark, sf, CORE)
     counts = df.join(membership, "kw_idx").select("cluster_index", F.explode("serp_features").alias("feature")).groupBy("cluster_index", "feature").agg(F.count("*").alias("n"))
     order = Window.partitionBy("cluster_index").orderBy(F.col("n").desc(), "feature")
     return counts.withColumn("r", F.row_number().over(order).cast("long")).where("r <= 8")
@@ -59,7 +59,7 @@ def cluster_features(spark, sf):
 
 @query(Q.chain() + "select cluster_index, array_to_string(list_sort(list(distinct keyword))[1:8], '|') as examples from mb join ac using (kw_idx) where question_paa <> 'neither' group by 1")
 def question_examples(spark, sf):
-    df, _, membership = clustered(spark, sf)
+    df, _, membership = clustered(spark, sf, CORE)
     return df.where("question_paa <> 'neither'").join(membership, "kw_idx").groupBy("cluster_index").agg(F.array_join(F.slice(F.array_sort(F.collect_set("keyword")), 1, 8), "|").alias("examples"))
 
 

@@ -16,7 +16,7 @@ from ..sources import reports
 from . import bindings as B
 from . import modules as M
 from . import sql as Q
-from .catalog import _GAP, ORACLES, clustered, engine, query
+from .catalog import _GAP, ORACLES, clustered, engine, query, with_clusters
 
 BANDS = Q.chain(M._TERMS, M._AUTHORITY, M._SIGNALS, M._READY, M._BANDS)
 _SPREAD = "sp_a as (select term, cluster_index, count(*) as n, min(kw_idx) as first from ex_a join mb using (kw_idx) where term in (select term from sa) group by 1, 2), sp as (select term, list_sort(list(cluster_index)) as clusters, arg_max(cluster_index, n * 1000000000 - first) as dominant_cluster from sp_a group by 1)"
@@ -43,8 +43,8 @@ def gap_heads(spark, sf):
 
 
 def _bands(spark, sf):
-    df, membership, ready = M._ready(spark, sf)
-    return df, membership, A.keyword_bands(df.join(membership, "kw_idx"), ready)
+    df, _, membership, authority, ready = M._ready(spark, sf)
+    return membership, authority, A.keyword_bands(df.join(membership, "kw_idx"), ready)
 
 
 @query(BANDS + "select cluster_index, rank, kw_idx, cast(round_even(low, 0) as bigint) as low, cast(round_even(high, 0) as bigint) as high from (select *, row_number() over (partition by cluster_index order by round(high, 6) desc, kw_idx) as rank from kb) b where rank <= 6")
@@ -68,8 +68,8 @@ _WHOLE = "cast(round_even({}, 0) as bigint)".format
  from (select cluster_index, cast(sum(clicks) as bigint) as clicks, count(*) as matched, round(sum(position * impressions) filter (impressions > 0 and position is not null)::double / sum(impressions) filter (impressions > 0 and position is not null), 2) as mean_position from ob join nk using (norm) join mb using (kw_idx) group by 1) o left join cb using (cluster_index)"""
 )
 def reanchored_bands(spark, sf):
-    df, membership, bands = _bands(spark, sf)
-    found = A.cluster_bands(bands, authority=E.authority(df, E.salient(df), membership))
+    membership, authority, bands = _bands(spark, sf)
+    found = A.cluster_bands(bands, authority=authority)
     kw, observed = M._observed(spark, sf)
     return A.reanchored(found, A.observed_clicks(observed, kw, membership))
 
@@ -95,10 +95,10 @@ _MISSING = "fm as (select cluster_index, case when count(*) filter (m >= tau and
 )
 def citation_checklist(spark, sf):
     df, entities = M._gap_entities(spark, sf)
-    clusters, membership = C.parent_clusters(df)
-    spread = E.spread(df, entities, membership)
-    queries, docs = M._implicit(spark, sf)
-    covered = O.coverage(queries, O.bm25(queries, docs))[1]
+    _, clusters, membership = with_clusters(df)
+    spread = C.settle(E.spread(df, entities, membership))
+    queries, docs = M._asked(df, clusters, membership)
+    covered = O.coverage(queries, C.settle(O.bm25(queries, docs)))[1]
     fan = covered.select("cluster_index", F.array().cast("array<string>").alias("gatekeepers"), F.filter(F.split("missing", ","), lambda a: a != "").alias("missing"))
     return A.checklist(df, membership, spread, E.gap_heads(E.gaps(entities), spread, clusters), fan)
 
