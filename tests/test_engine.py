@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import lexicon as L
 from tidemark.functions import numeric as N
 from tidemark.functions import text as X
 from tidemark.operators import answers as A
@@ -319,3 +320,20 @@ def test_keywords_are_dealt_over_all_partitions(spark):
     from tidemark.plans import bindings as B
 
     assert B.keywords(spark, SF).rdd.getNumPartitions() == 4
+
+
+def test_scores_halfway_between_tenths_round_up(spark):
+    """Quick-win scores by exact arithmetic, for every difficulty and rank, with volumes whose logarithm is whole: many lie exactly halfway."""
+    from decimal import ROUND_HALF_UP
+
+    rows = [(100 * d + p, v, d, p) for v in (100, 1000) for d in range(36) for p in range(4, 31)]
+    df = spark.createDataFrame([(k + v * 10_000, v, d, p, "informational", [], "gsc", 0.65, 0.4, True, False, 0, 0, "quick_win", "not_striking") for k, v, d, p in rows],
+        "kw_idx long, volume long, difficulty int, position int, query_type string, serp_features array<string>, source string, language_confidence double, intent_confidence double, clustered boolean, branded boolean, geo_score int, aio_score int, quick_win string, striking string")
+    halfway = 0
+    for r in K.scores(df).select("volume", "difficulty", "position", "score_quick_win").collect():
+        p = r.position
+        place = Decimal(80 - (p - 4) * 5) if p <= 10 else Decimal(50 - (p - 11) * 3) if p <= 20 else max(Decimal(5), 25 - Decimal(p - 21) / 2)
+        exact = (30 * Decimal(100 - r.difficulty) + 25 * Decimal(40 if r.volume == 100 else 60) + 15 * place + 15 * Decimal(L.INTENT_SCORE["quick_win"]["informational"]) + 600 + 250) / 100
+        halfway += exact * 10 % 1 == Decimal("0.5")
+        assert Decimal(str(r.score_quick_win)) == exact.quantize(Decimal("0.1"), ROUND_HALF_UP), r
+    assert halfway > 100

@@ -129,7 +129,7 @@ def cluster_rivals(spark, sf):
     return N.cluster_rivals(_pages(spark, sf), membership.join(df.select("kw_idx", "keyword"), "kw_idx").select("keyword", "cluster_index"))
 
 
-@query(Q.chain(_PAGES) + "select kw_idx, coalesce(risk, 0) as cannibalisation, round(0.30::double * (case when branded then 100 else 30 end) + 0.20::double * geo_score + 0.15::double * aio_score + 0.10::double * vs + 0.25::double * coalesce(risk, 0), 1) as score_aeo from ac left join cr using (keyword)")
+@query(Q.chain(_PAGES) + "select kw_idx, coalesce(risk, 0) as cannibalisation, round(0.30::double * (case when branded then 100 else 30 end) + 0.20::double * geo_score + 0.15::double * aio_score + 0.10::double * vs + 0.25::double * coalesce(risk, 0) + 1e-9, 1) as score_aeo from ac left join cr using (keyword)")
 def defence_scores(spark, sf):
     """The defensive composite with the risk of cannibalisation in place of its constant 0."""
     df = B.keywords(spark, sf).withColumn("clustered", F.col("parent_topic").isNotNull())
