@@ -77,3 +77,10 @@ def test_salient_takes_either_extractor(spark):
         assert [r.rank for r in rows] == list(range(1, len(rows) + 1)) and {"solar", "wind"} <= {r.term for r in rows}
     with pytest.raises(ValueError):
         E.salient(df, by="none")
+
+
+def test_no_shuffle_of_every_occurrence(spark):
+    """Phrases are not grouped by row and sentence at once, which leaves nearly every occurrence to be shuffled."""
+    df = spark.createDataFrame(TEXTS, "kw_idx long, language string, keyword string")
+    plan = K.keyphrases(df)._jdf.queryExecution().toString()
+    assert "Aggregate [term#" in plan and not re.search(r"Aggregate \[term#\d+, kw_idx#\d+L?, sentence#", plan)
