@@ -322,6 +322,46 @@ def test_keywords_are_dealt_over_all_partitions(spark):
     assert B.keywords(spark, SF).rdd.getNumPartitions() == 4
 
 
+def test_keywords_stay_dealt_after_a_shuffled_join(spark):
+    """A shuffle by the join's own key would be left out, and the join's partitions merged into one."""
+    from tidemark.plans import bindings as B
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert B.keywords(spark, SF).rdd.getNumPartitions() == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_terms_mark_first_occurrences(spark):
+    """All n-grams of adjacent words that are no stop words, against plain Python; repeated ones are new once."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices(["red", "bolt", "the", "x", "rod", "a"], k=rng.randrange(0, 9))) for _ in range(200)]
+    df = spark.createDataFrame([(k, t, "en") for k, t in enumerate(texts)], "kw_idx long, keyword string, language string")
+    want = Counter()
+    for k, t in enumerate(texts):
+        words = [w for w in t.split() if len(w) >= 2]
+        seen = {}
+        for n in (1, 2, 3):
+            for i in range(len(words) - n + 1):
+                if not set(words[i : i + n]) & set(L.ENTITY_STOPS["en"]):
+                    seen.setdefault(" ".join(words[i : i + n]), []).append(i)
+        want.update((k, term, i, j == 0) for term, at in seen.items() for j, i in enumerate(at))
+    got = Counter(tuple(r) for r in E.terms(E.with_terms(df, 3), "kw_idx").select("kw_idx", "term", "first", "new").collect())
+    assert got == want and any(not new for _, _, _, new in got)
+
+
+def test_modules_read_stored_terms(spark):
+    """Terms are much work: no module's plan splits keywords again, and only counts of terms are shuffled."""
+    from tidemark.plans import modules as M
+
+    df, entities = M._entities(spark, SF)
+    membership = C.parent_clusters(df)[1]
+    for made in (E.authority(df, entities, membership), E.spread(df, entities, membership), E.graph(df, entities), E.extract(df)):
+        assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scores_halfway_between_tenths_round_up(spark):
     """Quick-win scores by exact arithmetic, for every difficulty and rank, with volumes whose logarithm is whole: many lie exactly halfway."""
     from decimal import ROUND_HALF_UP

@@ -16,7 +16,7 @@ from . import bindings as B
 from . import modules as M
 from . import pipeline
 from . import sql as Q
-from .catalog import CONFIG, CORE, clustered, query
+from .catalog import CONFIG, engine, query, with_clusters
 
 _FAN = (M._SIB, M._DOCS.rstrip().rstrip(","), M._TERMS3, M._ASKED, M._SCORED, M._FAN)
 _COVERED = "cv as (select cluster_index, round(avg(case when covered then 1.0::double else 0 end), 4) as coverage from fq group by 1)"
@@ -32,8 +32,9 @@ _ALL = Q.chain(M._TERMS, M._AUTHORITY, M._SIGNALS, *_FAN, _COVERED, _SERIES, M._
 
 def _signals(spark, sf):
     """Everything the modules take, each computed once: corpus, membership, readiness, authority, coverage, state."""
-    df, clusters, membership = clustered(spark, sf, CORE)
-    authority = C.settle(E.authority(df, C.settle(E.salient(df)), membership))
+    df, entities = M.with_entities(engine(spark, sf))
+    _, clusters, membership = with_clusters(df)
+    authority = C.settle(E.authority(df, entities, membership))
     docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
     made = C.settle(O.sub_queries(clusters, docs, year=M._YEAR))
     queries = made.select("cluster_index", F.col("norm").alias("query"), "norm", "archetype")
@@ -72,8 +73,9 @@ fo_b as"""
 @query(Q.chain(M._TERMS, M._SIB, M._DOCS.rstrip().rstrip(","), M._TERMS3, _NEAR, M._ASKED.replace("from ft join hd", "from fz join hd").replace("),\nfo_b as", _ALONG, 1)) + "select cluster_index, archetype, norm, rank from fo")
 def graph_fan_out(spark, sf):
     """Sub-queries with the neighbours of heads that are entities."""
-    df, clusters, membership = clustered(spark, sf, CORE)
-    edges = C.settle(E.graph(df, C.settle(E.salient(df))))
+    df, entities = M.with_entities(engine(spark, sf))
+    _, clusters, membership = with_clusters(df)
+    edges = C.settle(E.graph(df, entities))
     ways = edges.select(F.col("a").alias("head"), F.col("b").alias("term"), "weight").unionByName(edges.select(F.col("b").alias("head"), F.col("a").alias("term"), "weight"))
     near = ways.withColumn("rank", F.row_number().over(Window.partitionBy("head").orderBy(F.col("weight").desc(), "term")))  # of at most 60 nodes
     docs = C.settle(membership.join(df.select("kw_idx", "keyword"), "kw_idx"))
