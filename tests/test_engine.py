@@ -362,6 +362,13 @@ def test_modules_read_stored_terms(spark):
         assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_documents_of_bm25_are_stored(spark):
+    """Three branches of BM25 read them; none joins members and keywords again."""
+    from tidemark.plans import modules as M
+
+    assert "Join" not in M._implicit(spark, SF)[1]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_scores_halfway_between_tenths_round_up(spark):
     """Quick-win scores by exact arithmetic, for every difficulty and rank, with volumes whose logarithm is whole: many lie exactly halfway."""
     from decimal import ROUND_HALF_UP
