@@ -362,6 +362,17 @@ def test_modules_read_stored_terms(spark):
         assert "regexp_extract_all" not in made._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_terms_are_made_once_where_they_are_not_stored(spark):
+    """No filter inferred of the explode holds a copy of what makes the terms, rows without terms still count, and extract stores them."""
+    df = spark.createDataFrame([(1, "red bolt", "en"), (2, "red rod", "en"), (3, "the", "en"), (4, None, "en")], "kw_idx long, keyword string, language string")
+    loose = E.terms(E.with_terms(df), "kw_idx")
+    assert loose._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") <= 1
+    assert Counter(r.kw_idx for r in loose.collect()) == {1: 3, 2: 3}
+    got = E.extract(df)
+    assert "regexp_extract_all" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.term, r.tf, r.df, r.idf) for r in got.collect()] == [("red", 2, 2, round(math.log(4 / 2), 6))]
+
+
 def test_documents_of_bm25_are_stored(spark):
     """Three branches of BM25 read them; none joins members and keywords again."""
     from tidemark.plans import modules as M
