@@ -373,6 +373,22 @@ def test_terms_are_made_once_where_they_are_not_stored(spark):
     assert [(r.term, r.tf, r.df, r.idf) for r in got.collect()] == [("red", 2, 2, round(math.log(4 / 2), 6))]
 
 
+def test_stored_rows_are_not_gathered_on_the_driver(spark):
+    """Two million rows of a stored table, few bytes when compressed, are no broadcast, also where few of its columns are read."""
+    wide = C.settle(spark.range(2_000_000).select(F.col("id").alias("kw_idx"), F.lit("a keyword").alias("keyword"), *((F.col("id") % 2).alias(f"c{k}") for k in range(8))))
+    other = C.settle(spark.range(3_000_000).select(F.col("id").alias("kw_idx"), (F.col("id") % 7).alias("cluster_index")))
+    joined = other.join(wide.select("kw_idx", "keyword"), "kw_idx")
+    assert joined.count() == 2_000_000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    few = joined.join(C.settle(spark.range(7).select(F.col("id").alias("cluster_index"), F.lit("head").alias("head"))), "cluster_index")
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.sources.fileCompressionFactor", "250.0")
+    C.settle(spark.range(1))
+    assert spark.conf.get("spark.sql.sources.fileCompressionFactor") == "250.0"  # a larger factor stays
+    spark.conf.unset("spark.sql.sources.fileCompressionFactor")
+
+
 def test_documents_of_bm25_are_stored(spark):
     """Three branches of BM25 read them; none joins members and keywords again."""
     from tidemark.plans import modules as M
